@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celltrack.operators import compaction, proximity, regular_grid
+from celltrack.operators import anomalies, compaction, proximity, regular_grid
 from celltrack.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_series(spark, d).filter("filled").select("uid", "slot_epoch")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.track_anomalies(table(spark, d, "spatial"), table(spark, d, "linked"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return compaction.stored_twice(table(spark, d, "features"), table(spark, d, "linked"))
 
@@ -34,7 +38,7 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     return compaction.small_file_plan(table(spark, d, "stored_files"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_series, p7_found, p7_plan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_series, p6_found, p7_found, p7_plan)}
 
 SQL: dict[str, str] = {
     "p3_found": """
