@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celltrack.operators import anomalies, compaction, proximity, regular_grid
+from celltrack.operators import anomalies, compaction, drift, proximity, regular_grid
 from celltrack.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_series(spark, d).filter("filled").select("uid", "slot_epoch")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(table(spark, d, "spatial_files"))
+
+
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified(table(spark, d, "spatial_files"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.track_anomalies(table(spark, d, "spatial"), table(spark, d, "linked"))
 
@@ -38,7 +46,7 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     return compaction.small_file_plan(table(spark, d, "stored_files"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_series, p6_found, p7_found, p7_plan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_series, p5_found, p5_table, p6_found, p7_found, p7_plan)}
 
 SQL: dict[str, str] = {
     "p3_found": """
@@ -46,6 +54,25 @@ WITH s AS (SELECT DISTINCT uid, CAST(floor((epoch(timestamp) + 300) / 600) AS BI
            FROM trackingtable WHERE uid IS NOT NULL AND timestamp IS NOT NULL),
      g AS (SELECT uid, k, lead(k) OVER (PARTITION BY uid ORDER BY k) AS n FROM s)
 SELECT uid, unnest(range(k + 1, n)) * 600 AS slot_epoch FROM g WHERE n > k + 1""",
+    "p5_found": """
+WITH names(name, field) AS (VALUES ('u_opt','u_opt'),('U_OPT','u_opt'),('u-opt','u_opt'),('opt_u','u_opt'),('u_optical','u_opt'),
+       ('uOpt','u_opt'),('u_optflow','u_opt'),('u_spl','u_spl'),('u_split','u_spl'),('U_SPL','u_spl'),('uSpl','u_spl'),('u-spl','u_spl'),
+       ('spl_u','u_spl'),('method','method'),('vec_method','method'),('best_method','method'),('mtd','method'),('Method','method'),
+       ('far','far'),('fa_ratio','far'),('FAR','far'),('farRatio','far'),('false_alarm_ratio','far')),
+     k AS (SELECT file, payload, unnest(json_keys(payload)) AS name FROM spatial_files),
+     t AS (SELECT file, field, name, CASE json_type(payload, '$."' || name || '"') WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string'
+                  WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type FROM k JOIN names USING (name)),
+     s AS (SELECT file, field, list_sort(list(DISTINCT name)) AS names,
+                  list_sort(list(DISTINCT type) FILTER (type IS NOT NULL)) AS types FROM t GROUP BY ALL),
+     f AS (SELECT DISTINCT producer, file, file_ts FROM spatial_files),
+     e AS (SELECT f.*, q.field FROM f, (SELECT DISTINCT field FROM names) q),
+     j AS (SELECT e.*, s.names, s.types, s.file IS NOT NULL AS present FROM e LEFT JOIN s USING (file, field)),
+     l AS (SELECT *, lag(names) OVER w AS pn, lag(types) OVER w AS pt, lag(present) OVER w AS pp FROM j
+           WINDOW w AS (PARTITION BY producer, field ORDER BY file_ts, file))
+SELECT file, field, 'added' AS change FROM l WHERE present AND NOT pp
+UNION ALL SELECT file, field, 'removed' FROM l WHERE NOT present AND pp
+UNION ALL SELECT file, field, 'renamed' FROM l WHERE present AND pp AND names <> pn
+UNION ALL SELECT file, field, 'retyped' FROM l WHERE present AND pp AND len(types) > 0 AND len(pt) > 0 AND types <> pt""",
     "p7_found": """
 SELECT DISTINCT stage, frame, cidx FROM (
   SELECT 'features' AS stage, frame, cidx FROM features
