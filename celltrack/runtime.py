@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,9 +34,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back: no lineage, no inherited constraints.
+
+    A checkpoint keeps the constraints of the plan it cuts, which grow with every
+    round of an iteration; a table has none, and its size is known to the optimizer. Tables are
+    dropped by ``drop`` or when the application ends.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "stage")
+    df.write.parquet(path)
+    _written[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._celltrack_path = path
+    return back
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a ``cut`` that nothing reads any more."""
+    path = getattr(df, "_celltrack_path", None)
+    if path in _written:
+        spark = _written.pop(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the application is gone already; the folder's owner cleans it
+            return
 
 
 def new_path(spark: SparkSession, label: str) -> str:
