@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from celltrack.runtime import cut
+from celltrack.runtime import cut, drop
 
 WORTHWHILE = 0.3  # stripping goes on while a round removes this share of the vertices
 
@@ -45,7 +45,8 @@ def rank_chains(arcs: DataFrame) -> DataFrame:
         a = arcs.filter("NOT fin").select("v", "w", "nv", "nw", "low")
         b = arcs.select(F.col("v").alias("nv"), F.col("w").alias("nw"), "fin", "end", "core", F.col("nv").alias("nv2"), F.col("nw").alias("nw2"), F.col("low").alias("low2"))
         on = a.join(b, ["nv", "nw"]).select("v", "w", "fin", "end", "core", F.col("nv2").alias("nv"), F.col("nw2").alias("nw"), F.least("low", "low2").alias("low"))
-        arcs = cut(arcs.filter("fin").unionByName(on))
+        before, arcs = arcs, cut(arcs.filter("fin").unionByName(on))
+        drop(before)
 
 
 def reduce_once(edges: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
@@ -74,7 +75,10 @@ def reduce_once(edges: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     gone = degree.filter("d <= 2").select(F.col("v").alias("x"))
     bridged = of.filter("c0 < c1").select(F.col("c0").alias("a"), F.col("c1").alias("b"))
     kept = edges.join(gone.withColumnRenamed("x", "a"), "a", "left_anti").join(gone.withColumnRenamed("x", "b"), "b", "left_anti")
-    return cut(_simple(kept.select("a", "b").unionByName(bridged))), of.select("v", "p"), seen[1], seen[0]
+    left = cut(_simple(kept.select("a", "b").unionByName(bridged)))
+    drop(degree)
+    drop(ranked)
+    return left, of.select("v", "p"), seen[1], seen[0]
 
 
 def solve_core(edges: DataFrame) -> DataFrame:
@@ -87,7 +91,8 @@ def solve_core(edges: DataFrame) -> DataFrame:
         edges = _simple(large)
         down = edges.groupBy("b").agg(F.min("a").alias("m"))
         linked = edges.join(down, "b").select("a", "b", "m")
-        edges = cut(_simple(linked.select("a", F.col("m").alias("b")).unionByName(linked.select(F.col("b").alias("a"), F.col("m").alias("b")))))
+        before, edges = edges, cut(_simple(linked.select("a", F.col("m").alias("b")).unionByName(linked.select(F.col("b").alias("a"), F.col("m").alias("b")))))
+        drop(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -104,7 +109,9 @@ def groups(edges: DataFrame) -> DataFrame:
     left = cut(_simple(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))))
     removed: list[DataFrame] = []
     while not left.isEmpty():
-        left, gone, n_gone, n = reduce_once(left)
+        before = left
+        left, gone, n_gone, n = reduce_once(before)
+        drop(before)
         removed.append(gone)
         if n_gone < WORTHWHILE * n:
             break
@@ -112,7 +119,10 @@ def groups(edges: DataFrame) -> DataFrame:
     labels = labels.select("v", F.col("p").alias("root"))
     for gone in reversed(removed):
         up = labels.select(F.col("v").alias("p"), "root")
-        labels = cut(labels.unionByName(gone.join(up, "p", "left").select("v", F.coalesce("root", "p").alias("root"))))
+        hung = gone.join(up, "p", "left").select("v", F.coalesce("root", "p").alias("root"))
+        alone = hung.select(F.col("root").alias("v")).distinct().join(labels.select("v"), "v", "left_anti").join(gone.select("v"), "v", "left_anti")
+        before, labels = labels, cut(labels.unionByName(hung).unionByName(alone.select("v", F.col("v").alias("root"))))
+        drop(before)
     return labels
 
 
