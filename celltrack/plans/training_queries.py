@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celltrack.operators import anomalies, compaction, drift, proximity, regular_grid
+from celltrack.operators import anomalies, compaction, drift, hierarchy, proximity, regular_grid
 from celltrack.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_series(spark, d).filter("filled").select("uid", "slot_epoch")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.Hierarchy(hierarchy.parent_links(table(spark, d, "linked"))).pairs()
+
+
+def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.Hierarchy(hierarchy.parent_links(table(spark, d, "linked"))).report()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(table(spark, d, "spatial_files"))
 
@@ -46,9 +54,28 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     return compaction.small_file_plan(table(spark, d, "stored_files"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_series, p5_found, p5_table, p6_found, p7_found, p7_plan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_series, p4_found, p4_nodes, p5_found, p5_table, p6_found, p7_found, p7_plan)}
+
+P4_LINKS = """
+WITH RECURSIVE x AS (
+       SELECT uid AS c, unnest(list_concat(coalesce(prv_mrg_uids, []), [CAST(prv_spl_uid AS BIGINT)])) AS p FROM linked),
+     e AS (SELECT DISTINCT p, c FROM x WHERE c > 0 AND p > 0 AND p <> c),
+     r(a, u) AS (SELECT p, c FROM e UNION SELECT r.a, e.c FROM r JOIN e ON r.u = e.p)"""
 
 SQL: dict[str, str] = {
+    "p4_found": P4_LINKS + """
+SELECT a AS ancestor_uid, u AS uid FROM r""",
+    "p4_nodes": P4_LINKS + """,
+     n AS (SELECT p AS v FROM e UNION SELECT c FROM e),
+     t AS (SELECT c AS v, max(p) AS p FROM e WHERE p < c GROUP BY c),
+     w(v, root, depth, path) AS (
+       SELECT v, v, CAST(0 AS BIGINT), CAST(v AS VARCHAR) FROM n WHERE v NOT IN (SELECT v FROM t)
+       UNION ALL SELECT t.v, w.root, w.depth + 1, w.path || '/' || t.v FROM w JOIN t ON t.p = w.v),
+     tr(a, u) AS (SELECT p, v FROM t UNION ALL SELECT tr.a, t.v FROM tr JOIN t ON t.p = tr.u)
+SELECT w.v AS uid, t.p AS parent_uid, w.root AS root_uid, w.depth, w.path,
+       (SELECT count(*) FROM tr WHERE tr.a = w.v) AS n_tree, (SELECT count(*) FROM r WHERE r.u = w.v) AS n_ancestors,
+       (SELECT count(*) FROM r WHERE r.a = w.v) AS n_descendants, w.v IN (SELECT a FROM r WHERE a = u) AS in_cycle
+FROM w LEFT JOIN t ON t.v = w.v""",
     "p3_found": """
 WITH s AS (SELECT DISTINCT uid, CAST(floor((epoch(timestamp) + 300) / 600) AS BIGINT) AS k
            FROM trackingtable WHERE uid IS NOT NULL AND timestamp IS NOT NULL),
