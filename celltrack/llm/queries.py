@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from celltrack.llm import components
+from celltrack.llm import components, truncation
 from celltrack.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.record_groups(table(spark, d, "linked"), table(spark, d, "spatial"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found,)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.scored_ends(table(spark, d, "documents")).filter("truncated").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p10_found, p10_rates)}
 
 SQL: dict[str, str] = {}
