@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from celltrack.llm import components, truncation
+from celltrack.llm import components, leaks, mixing, truncation
 from celltrack.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.record_groups(table(spark, d, "linked"), table(spark, d, "spatial"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return leaks.without_leaks(docs, leaks.find_leaks(docs, table(spark, d, "eval_items"))).select("doc_id", "source", "n_chars")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.scored_ends(table(spark, d, "documents")).filter("truncated").select("doc_id").distinct()
 
@@ -24,6 +41,6 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p10_found, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p8_found, p8_clean, p9_mix, p9_shares, p10_found, p10_rates)}
 
 SQL: dict[str, str] = {}

@@ -28,7 +28,7 @@ ORDERS = (3, 6, 12, 24)
 SENTENCE_ORDER = 6
 BITS = 1 << 23
 THRESHOLD = 0.8  # decimal log-odds over the language's rate
-SENTENCE_THRESHOLD = 0.3
+SENTENCE_THRESHOLD = -0.7
 BACKOFF = 3.0
 FIRST_GUESS = 0.01
 CHARS_AT_ONCE = 1 << 20
