@@ -114,13 +114,21 @@ def _merge_tiles(labelled: DataFrame, radius: int, tile: int) -> DataFrame:
     return labelled.join(best, KEY, "left").select("frame", "level", F.coalesce("low", "label").alias("label"), "y", "x", "value")
 
 
+def centre(cfg: TrackConfig, axis: str) -> Column:
+    """Mean pixel centre in map units; without bounds the mean index itself."""
+    g = cfg.grid
+    if not g.geographic:
+        return F.avg(axis)
+    origin, res = (g.x0, g.x_res) if axis == "x" else (g.y0, g.y_res)
+    return origin + (F.avg(axis) + 0.5) * res
+
+
 def features(labelled: DataFrame, cfg: TrackConfig) -> DataFrame:
     """``(frame, level, label, size, min, mean, max, std, cx, cy, xmin, xmax, ymin, ymax)``; statistics skip NaN."""
-    g = cfg.grid
     v = F.when(~F.isnan("value"), F.col("value"))
     return labelled.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("size"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"),
-        (g.x0 + (F.avg("x") + 0.5) * g.x_res).alias("cx"), (g.y0 + (F.avg("y") + 0.5) * g.y_res).alias("cy"),
+        centre(cfg, "x").alias("cx"), centre(cfg, "y").alias("cy"),
         F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"),
     )
 
@@ -207,11 +215,10 @@ def vectors(feats: DataFrame, ev: DataFrame, edges: DataFrame, labelled: DataFra
     if cfg.spl_expansion:
         p = p - F.coalesce("news_size", F.lit(0))
     rate = 1e6 * ((F.col("size") - p) / (60.0 * cfg.delta_time)) / ((F.col("size") + p) / 2.0)
-    g = cfg.grid
     px = labelled.select("frame", "level", "y", "x", "label")
     part = ev.filter("split_parent IS NOT NULL").select(*KEY, "prev_frame", "split_parent")
     cut_px = px.join(part, KEY).join(px.select(F.col("frame").alias("prev_frame"), "level", "y", "x", F.col("label").alias("split_parent")), ["prev_frame", "level", "y", "x", "split_parent"])
-    spl = cut_px.groupBy(*KEY).agg((g.x0 + (F.avg("x") + 0.5) * g.x_res).alias("sx"), (g.y0 + (F.avg("y") + 0.5) * g.y_res).alias("sy"))
+    spl = cut_px.groupBy(*KEY).agg(centre(cfg, "x").alias("sx"), centre(cfg, "y").alias("sy"))
     minor = F.col("status") == "NEW/SPL"
     uv = base.join(spl, KEY, "left").select(
         *KEY, "status", (F.col("cx") - F.col("pcx")).alias("u_"), (F.col("cy") - F.col("pcy")).alias("v_"), rate.alias("expansion"),
@@ -321,7 +328,7 @@ def link(feats: DataFrame, ev: DataFrame, nested: DataFrame, frames: DataFrame,
     offset = frame_no.withColumn("start", F.coalesce(F.sum(F.greatest("n", F.lit(1))).over(before), F.lit(0))).select("frame", "start")
     number = F.row_number().over(Window.partitionBy("frame").orderBy("level", "label"))
     suffix = F.concat(F.col("uid").cast("string"), F.lit("."), F.repeat(F.lit("0"), F.col("level") - 1), F.lpad(F.col("rank").cast("string"), 4, "0")).cast("double")
-    path = F.concat(F.lit("LINESTRING ("), F.array_join(F.transform("path", lambda p: F.concat(F.format_number(p["x"], "0.0000"), F.lit(" "), F.format_number(p["y"], "0.0000"))), ", "), F.lit(")"))
+    path = F.concat(F.lit("LINESTRING ("), F.array_join(F.transform("path", lambda p: F.format_string("%.4f %.4f", p["x"], p["y"])), ", "), F.lit(")"))
     return known.join(ids, "id", "left").join(offset, "frame").select(
         *KEY, (F.col("start") + number).cast("bigint").alias("cindex"), F.col("uid").cast("bigint").alias("uid"),
         F.when(F.col("level") == 0, F.col("uid").cast("double")).otherwise(suffix).alias("iuid"), (F.col("life") + cfg.delta_time).cast("bigint").alias("lifetime"),
