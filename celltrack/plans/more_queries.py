@@ -64,7 +64,7 @@ def asof_nearest(g: Grid) -> DataFrame:
     return enrich.asof(g.frames, raster(g), "nearest").select("frame", "match_ts")
 
 
-@query(near_sql("WHERE abs(epoch_us(r.ts) - epoch_us(fr.ts)) <= 720 * 60000000") + " SELECT frame, match_ts FROM m")
+@query(near_sql("WHERE abs(epoch_us(r.ts) - epoch_us(fr.ts)) <= CAST(720 AS BIGINT) * 60000000") + " SELECT frame, match_ts FROM m")
 def asof_tolerance(g: Grid) -> DataFrame:
     return enrich.asof(g.frames, raster(g), "nearest", 720).select("frame", "match_ts")
 
