@@ -29,6 +29,7 @@ LEAST_SEEDS = 4  # item words that start a verbatim match
 REJOIN = 12  # letters that must follow an interruption
 INTERRUPTION = 700  # letters an interruption may have
 SETTLE = 5  # letters that must follow a slip
+RUN_ON = 20  # letters of a word from which on it counts as several run together
 SHARD_LETTERS = 1 << 20
 OVERLAP = 4096
 ITEM_BYTES = 4 << 20
@@ -67,12 +68,19 @@ def even(text: str) -> str:
 
 
 def stream(text: str) -> tuple[str, np.ndarray]:
-    """Letters and digits of a text, and the places where its words start."""
+    """Letters and digits of a text, and the places where its words start.
+
+    In a word of more than ``RUN_ON`` letters spaces were lost, so every place in it may start one.
+    """
     raw = np.frombuffer(even(text).encode("ascii", "replace"), np.uint8)
     keep = ((raw >= 97) & (raw <= 122)) | ((raw >= 48) & (raw <= 57))
     begins = keep & ~np.r_[False, keep[:-1]]
     place = np.cumsum(keep) - 1
-    return raw[keep].tobytes().decode("ascii"), place[begins]
+    starts = place[begins]
+    length = np.diff(np.r_[starts, int(keep.sum())])
+    if (length > RUN_ON).any():
+        starts = np.concatenate([np.arange(s, s + n) if n > RUN_ON else [s] for s, n in zip(starts.tolist(), length.tolist())])
+    return raw[keep].tobytes().decode("ascii"), starts
 
 
 def item_words(text: str) -> tuple[str, np.ndarray]:

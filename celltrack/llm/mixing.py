@@ -76,13 +76,13 @@ def targets(sizes: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
     return t.select("source", "weight", "max_repeats", "docs", "tokens", "share", "want", F.when(F.col("tokens") > 0, F.least(F.col("want") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0)).alias("copies"))
 
 
-def flight(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
+def flight(prob: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
     """Move probabilities to 0 or 1, three undecided documents at a time, keeping count and token totals.
 
-    At most two entries stay undecided. The walk is fixed by the order of the entries and the values alone.
+    At most two entries stay undecided. The walk is fixed by the entries and the seed alone.
     """
     p = prob.astype(float).copy()
-    rng = np.random.default_rng([len(p), int(size.sum())])
+    rng = np.random.default_rng([len(p), int(size.sum()), seed])
     draws = rng.random(len(p) + 1)
     trio: list[int] = []
     used = 0
