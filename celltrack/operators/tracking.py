@@ -311,9 +311,9 @@ def link(feats: DataFrame, ev: DataFrame, nested: DataFrame, frames: DataFrame,
     around = nested.filter("level = 0").select("frame", F.col("in_level").alias("level"), F.col("in_label").alias("label"), F.col("label").alias("b_label"))
     known = rows.join(around, KEY, "left").withColumn("b_label", F.when(F.col("level") == 0, F.col("label")).otherwise(F.col("b_label"))).join(base, ["frame", "b_label"], "left")
     known = cut(known.select(*KEY, "id", "parent", "root", "path", "life", "uid0"))
-    n_base = base_roots.agg(F.coalesce(F.max("base_uid"), F.lit(cfg.initial_uid - 1)).alias("__most"))
+    most = cfg.initial_uid - 1 + base_roots.count()
     loose = known.filter("uid0 IS NULL AND id = root").select("root").withColumn("__k", F.row_number().over(Window.orderBy("root")))
-    loose = loose.withColumn("__one", F.lit(1)).join(n_base.withColumn("__one", F.lit(1)), "__one").select("root", (F.col("__k") + F.col("__most")).cast("bigint").alias("loose_uid"))
+    loose = loose.select("root", (F.col("__k") + most).cast("bigint").alias("loose_uid"))
     known = cut(known.join(loose, "root", "left").withColumn("uid", F.coalesce("uid0", "loose_uid")))
     # a loose chain whose root was inside a base cluster keeps that root's uid
     rooted = known.filter("id = root").select("root", F.col("uid").alias("root_uid"))

@@ -83,9 +83,10 @@ def bubbles(spark: SparkSession, frames: int, size: int, count: int = 6, seed: i
     """Synthetic cells: ellipses that drift, steer, grow and fade, some meeting and parting."""
     rng = np.random.default_rng(seed)
     specs = [tuple(float(v) for v in row) for row in np.c_[rng.uniform(0, size, (count, 2)), rng.uniform(-1.5, 1.5, (count, 2)), rng.uniform(size / 14, size / 7, (count, 2)), rng.uniform(0, 6.28, count)]]
-    blobs = spark.createDataFrame(specs, "cx double, cy double, vx double, vy double, rx double, ry double, phase double")
+    names = ("cx", "cy", "vx", "vy", "rx", "ry", "phase")
+    blobs = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, spec))) for spec in specs))
     t = F.col("frame")
-    at = spark.range(frames).select(F.col("id").cast("int").alias("frame")).withColumn("__k", F.lit(1)).join(F.broadcast(blobs.withColumn("__k", F.lit(1))), "__k")  # blobs: ``count`` rows
+    at = spark.range(frames).select(F.col("id").cast("int").alias("frame"), F.explode(blobs).alias("b")).select("frame", "b.*")
     moved = at.select(
         "frame",
         (F.col("cx") + t * F.col("vx") + 2 * F.sin(t / 5 + F.col("phase"))).alias("mx"),
