@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from celltrack.llm.truncation import source_name
@@ -64,14 +64,10 @@ def targets(sizes: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
     )
     have = sizes.filter("n_tokens > 0").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     t = listed.join(have, "source", "left").withColumns({"docs": F.coalesce("docs", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0))})
-    usable = t.filter("tokens > 0").agg(F.sum("weight").alias("all_w"))
-    t = t.withColumn("__one", F.lit(1)).join(usable.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    t = t.withColumn("share", F.when(F.col("tokens") > 0, F.col("weight") / F.col("all_w")).otherwise(F.lit(0.0)))
-    if total_tokens is None:
-        room = t.filter("tokens > 0").agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("share")).alias("total"))
-        t = t.withColumn("__one", F.lit(1)).join(room.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    else:
-        t = t.withColumn("total", F.lit(float(total_tokens)))
+    every = Window.partitionBy(F.lit(0))  # a row for each target source
+    t = t.withColumn("share", F.when(F.col("tokens") > 0, F.col("weight") / F.sum(F.when(F.col("tokens") > 0, F.col("weight"))).over(every)).otherwise(F.lit(0.0)))
+    room = F.when(F.col("tokens") > 0, F.col("max_repeats") * F.col("tokens") / F.col("share"))
+    t = t.withColumn("total", F.min(room).over(every) if total_tokens is None else F.lit(float(total_tokens)))
     t = t.withColumn("want", F.least(F.col("share") * F.col("total"), (F.col("max_repeats") * F.col("tokens")).cast("double")))
     return t.select("source", "weight", "max_repeats", "docs", "tokens", "share", "want", F.when(F.col("tokens") > 0, F.least(F.col("want") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0)).alias("copies"))
 
@@ -172,10 +168,9 @@ def mix_shares(docs: DataFrame, mix_targets: DataFrame, total_tokens: int | None
     t = targets(sizes, mix_targets, total_tokens)
     chosen = mix(docs, mix_targets, total_tokens, tokenizer, sizes)
     used = chosen.groupBy("source").agg(F.sum("copies").alias("used_docs"), F.sum(F.col("copies") * F.col("n_tokens")).alias("used_tokens"))
-    all_ = used.agg(F.sum("used_tokens").alias("mixed")).withColumn("__one", F.lit(1))
-    weights = t.agg(F.sum("weight").alias("all_w")).withColumn("__one", F.lit(1))
-    j = t.join(used, "source", "left").withColumn("__one", F.lit(1)).join(all_, "__one").join(weights, "__one")
+    every = Window.partitionBy(F.lit(0))  # a row for each target source
     tokens: Column = F.coalesce("used_tokens", F.lit(0))
+    j = t.join(used, "source", "left").withColumns({"mixed": F.sum("used_tokens").over(every), "all_w": F.sum("weight").over(every)})
     return j.select(
         "source", "weight", "max_repeats", "docs", "tokens", (F.col("weight") / F.col("all_w")).alias("target_share"), F.col("want").alias("want_tokens"),
         F.coalesce("used_docs", F.lit(0)).alias("used_docs"), tokens.alias("used_tokens"), (tokens / F.col("mixed")).alias("share"),
