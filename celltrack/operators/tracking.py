@@ -346,3 +346,11 @@ def seam_partners(feats: DataFrame, labelled: DataFrame, cfg: TrackConfig) -> Da
     small_left = (F.col("size") < F.col("r_size")) | ((F.col("size") == F.col("r_size")) & (F.col("label") > F.col("r_label")))
     pair = both.select("frame", F.when(small_left, F.col("label")).otherwise(F.col("r_label")).alias("label"), F.when(small_left, F.col("r_label")).otherwise(F.col("label")).alias("other"), F.greatest("size", "r_size").alias("s"))
     return pair.groupBy("frame", "label").agg(F.min_by("other", F.struct(-F.col("s"), F.col("other"))).alias("board_label"))
+
+
+def share_identity(tracks: DataFrame, partners: DataFrame) -> DataFrame:
+    """Level-0 clusters with a partner across the border take its uid, iuid and status and are marked ``board``."""
+    other = tracks.filter("level = 0").select("frame", F.col("label").alias("board_label"), F.col("uid").alias("__u"), F.col("iuid").alias("__i"), F.col("status").alias("__s"))
+    pair = partners.join(other, ["frame", "board_label"]).withColumn("level", F.lit(0))
+    out = tracks.join(pair, KEY, "left")
+    return out.withColumns({"uid": F.coalesce("__u", "uid"), "iuid": F.coalesce("__i", "iuid"), "status": F.coalesce("__s", "status"), "board": F.col("board_label").isNotNull()}).drop("__u", "__i", "__s")

@@ -12,8 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from celltrack.api import Tracker
 from celltrack.config import GridSpec, Level, TrackConfig
-from celltrack.operators import tracking as T
 from celltrack.runtime import cut, table
 from celltrack.sources import frames as S
 
@@ -21,7 +21,7 @@ START, COUNT, STEP, SPAN = "2024-01-01 00:00:00", 57, 12, 48
 LEVELS = (Level(0, 80.0, 3), Level(1, 120.0, 2))
 
 
-class Grid:
+class Grid(Tracker):
     def __init__(self, spark: SparkSession, sf_dir: str, skip: tuple[int, ...] = (), empty: tuple[int, ...] = (), **settings):
         self.spark, self.dir, self.skip, self.empty = spark, sf_dir, skip, empty
         self.events = table(spark, sf_dir, "events")
@@ -39,56 +39,6 @@ class Grid:
         gone = [*self.skip, *self.empty]
         return cut(c.filter(~F.col("frame").isin(gone)) if gone else c)
 
-    @cached_property
-    def pixels(self) -> DataFrame:
-        return T.segment(self.cells, self.cfg)
-
-    @cached_property
-    def labelled(self) -> DataFrame:
-        return cut(T.label_components(self.pixels, self.cfg))
-
-    @cached_property
-    def feats(self) -> DataFrame:
-        return cut(T.features(self.labelled, self.cfg))
-
-    @cached_property
-    def pairs(self) -> DataFrame:
-        return T.frame_pairs(self.frames, self.cfg)
-
-    @cached_property
-    def edges(self) -> DataFrame:
-        return cut(T.overlay(self.labelled, self.pairs, self.cfg))
-
-    @cached_property
-    def ev(self) -> DataFrame:
-        return cut(T.events(self.feats, self.edges))
-
-    @cached_property
-    def nested(self) -> DataFrame:
-        return cut(T.inside(self.labelled))
-
-    @cached_property
-    def vecs(self) -> DataFrame:
-        return cut(T.vectors(self.feats, self.ev, self.edges, self.labelled, self.nested, self.cfg))
-
-    @cached_property
-    def links(self) -> DataFrame:
-        return cut(T.link(self.feats, self.ev, self.nested, self.frames, self.cfg))
-
-    @cached_property
-    def fars(self) -> DataFrame:
-        return cut(T.far_counts(self.labelled, self.ev, self.vecs, self.cfg))
-
-    @cached_property
-    def tracks(self) -> DataFrame:
-        """The tracking table without pixel lists."""
-        n = self.nested.groupBy(*T.KEY).agg(F.count(F.lit(1)).alias("inside_clusters"))
-        level = F.when(F.col("level") == 0, LEVELS[0].threshold).otherwise(LEVELS[1].threshold)
-        best = T.far_best(self.fars, self.feats).select(*T.KEY, "method", "far")
-        t = self.links.join(self.feats, T.KEY).join(self.ev.select(*T.KEY, "status", "past_label", "merge_labels", "split_parent"), T.KEY)
-        t = t.join(self.vecs.drop("status"), T.KEY).join(best, T.KEY).join(n, T.KEY, "left").join(self.frames.select("frame", "ts"), "frame")
-        return cut(t.withColumns({"threshold": level, "inside_clusters": F.coalesce("inside_clusters", F.lit(0))}))
-
 
 _grids: dict[tuple, Grid] = {}
 

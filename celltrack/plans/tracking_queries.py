@@ -376,10 +376,18 @@ def conv_boundaries(g: Grid) -> DataFrame:
     return g.vecs.filter("u_ IS NOT NULL").select(*K, F.round(F.when(a < 0, a + 360).otherwise(a), 6).alias("ang_"))
 
 
-@query("""
+SEAM = """
 , s AS (SELECT DISTINCT l.frame, l.label AS a, r.label AS b FROM lab l JOIN lab r ON r.frame = l.frame AND l.level = 0 AND r.level = 0 AND abs(l.y - r.y) <= 1, w WHERE l.x = 0 AND r.x = w - 1 AND l.label <> r.label),
 t AS (SELECT s.frame, CASE WHEN ca.size < cb.size OR (ca.size = cb.size AND a > b) THEN a ELSE b END AS label, CASE WHEN ca.size < cb.size OR (ca.size = cb.size AND a > b) THEN b ELSE a END AS other, greatest(ca.size, cb.size) AS z
-  FROM s JOIN clus ca ON ca.level = 0 AND ca.frame = s.frame AND ca.label = a JOIN clus cb ON cb.level = 0 AND cb.frame = s.frame AND cb.label = b)
-SELECT frame, label, arg_min(other, -z * 1e9 + other) AS board_label FROM t GROUP BY ALL""")
+  FROM s JOIN clus ca ON ca.level = 0 AND ca.frame = s.frame AND ca.label = a JOIN clus cb ON cb.level = 0 AND cb.frame = s.frame AND cb.label = b),
+bo AS (SELECT frame, label, arg_min(other, -z * 1e9 + other) AS board_label FROM t GROUP BY ALL)"""
+
+
+@query(SEAM + " SELECT frame, label, board_label FROM bo")
 def edges(g: Grid) -> DataFrame:
-    return T.seam_partners(g.feats, g.labelled, g.cfg)
+    return g.partners
+
+
+@query(SEAM + f", {TT} SELECT tt.frame, tt.label, coalesce(o.uid, tt.uid) AS uid, coalesce(o.status, tt.status) AS status, bo.label IS NOT NULL AS board FROM tt LEFT JOIN bo ON bo.frame = tt.frame AND bo.label = tt.label LEFT JOIN tt o ON o.frame = bo.frame AND o.label = bo.board_label")
+def link_edges(g: Grid) -> DataFrame:
+    return g.joined_tracks.filter("level = 0").select("frame", "label", "uid", "status", "board")
