@@ -81,6 +81,9 @@ def dense(y: np.ndarray, x: np.ndarray, v: np.ndarray, shape: tuple[int, int]) -
 
 def lucas_kanade(before: np.ndarray, after: np.ndarray, window: int = 2, steps: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Dense least-squares flow by iterated warping; ``(u, v, quality)``, quality being the smaller eigenvalue."""
+    if min(before.shape) < 3:
+        return np.zeros_like(before), np.zeros_like(before), np.zeros_like(before)
+    window = min(window, (min(before.shape) - 1) // 2)
     gy, gx = np.gradient(before)
     k = np.ones(2 * window + 1)
     smooth = lambda a: np.apply_along_axis(lambda r: np.convolve(r, k, "same"), 0, np.apply_along_axis(lambda r: np.convolve(r, k, "same"), 1, a))
@@ -105,19 +108,106 @@ def lucas_kanade(before: np.ndarray, after: np.ndarray, window: int = 2, steps:
     return u, v, quality
 
 
-def flow_vectors(cells: DataFrame, labelled: DataFrame, pairs: DataFrame, y_dim: int, x_dim: int, least: float = 0.01) -> DataFrame:
+def flow_vectors(cells: DataFrame, labelled: DataFrame, pairs: DataFrame, y_dim: int, x_dim: int, least: float = 0.01, method: str = "lucas-kanade") -> DataFrame:
     """``(frame, level, label, u_opt, v_opt)``: mean flow of the previous to the present image over a cluster.
 
-    A task holds the two images of one frame pair. Points of less than ``least`` of the best quality do not count.
+    A task holds the two images of one frame pair. With lucas-kanade, points of less than ``least`` of the best quality
+    do not count; with farneback, points that move by a cell or less.
     """
     now = cells.join(pairs.select("frame"), "frame").select("frame", "y", "x", "value", F.lit(1).alias("now"))
     old = cells.select(F.col("frame").alias("prev_frame"), "y", "x", "value").join(pairs.select("frame", "prev_frame"), "prev_frame").select("frame", "y", "x", "value", F.lit(0).alias("now"))
 
     def flow(rows: pd.DataFrame) -> pd.DataFrame:
         part = lambda k: dense(*(rows.loc[rows["now"] == k, c].to_numpy() for c in ("y", "x", "value")), (y_dim, x_dim))
-        u, v, q = lucas_kanade(part(0), part(1))
-        y, x = np.nonzero(q >= least * max(q.max(), 1e-12))
+        if method == "farneback":
+            u, v = polynomial_flow(part(0), part(1))
+            y, x = np.nonzero(np.hypot(u, v) > 1)
+        else:
+            u, v, q = lucas_kanade(part(0), part(1))
+            y, x = np.nonzero(q >= least * max(q.max(), 1e-12))
         return pd.DataFrame({"frame": rows["frame"].iat[0], "y": y.astype("int32"), "x": x.astype("int32"), "u": u[y, x], "v": v[y, x]})
 
     field = now.unionByName(old).groupBy("frame").applyInPandas(flow, "frame int, y int, x int, u double, v double")
     return labelled.join(field, ["frame", "y", "x"]).groupBy("frame", "level", "label").agg(F.avg("u").alias("u_opt"), F.avg("v").alias("v_opt"))
+
+
+def gabor(cells: DataFrame, size: int = 3, sigma: float = 2.0, theta: float = 0.0, wavelength: float = 5.0, gamma: float = 0.5) -> DataFrame:
+    """Gabor response; cells outside the data count as absent."""
+    w = {}
+    for dy in range(-size, size + 1):
+        for dx in range(-size, size + 1):
+            a, b = dx * math.cos(theta) + dy * math.sin(theta), -dx * math.sin(theta) + dy * math.cos(theta)
+            w[dy, dx] = math.exp(-(a * a + gamma * gamma * b * b) / (2 * sigma * sigma)) * math.cos(2 * math.pi * a / wavelength)
+    return _stencil(cells, w, lambda v, k: F.sum(v * k))
+
+
+def scale(cells: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    return by_frame(cells, lambda v, lo, hi, mu, sd: F.when(hi > lo, low + (v - lo) / (hi - lo) * (high - low)).otherwise(low))
+
+
+def noise(cells: DataFrame, sd: float = 1.0, seed: int = 0) -> DataFrame:
+    """Gaussian noise that depends on the place only, so every run adds the same."""
+    u = lambda k: (F.pmod(F.xxhash64("frame", "y", "x", F.lit(seed + k)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    return cells.select("frame", "y", "x", (F.col("value") + sd * F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))).alias("value"))
+
+
+def canny(cells: DataFrame, low: float, high: float) -> DataFrame:
+    """``(frame, y, x, value)``: 255 on edges, 0 elsewhere. A task holds one frame."""
+
+    def edges(rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
+        a = dense(y, x, rows["value"].to_numpy(), (int(y.max()) + 1, int(x.max()) + 1))
+        gy, gx = np.gradient(a) if min(a.shape) > 1 else (np.zeros_like(a), np.zeros_like(a))
+        m = np.hypot(gx, gy)
+        p = np.pad(m, 1)
+        sector = (np.round(np.arctan2(gy, gx) / (np.pi / 4)).astype(int)) % 4
+        ridge = np.zeros(a.shape, bool)
+        for k, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
+            ahead = p[1 + dy : 1 + dy + a.shape[0], 1 + dx : 1 + dx + a.shape[1]]
+            back = p[1 - dy : 1 - dy + a.shape[0], 1 - dx : 1 - dx + a.shape[1]]
+            ridge |= (sector == k) & (m >= ahead) & (m >= back)
+        weak, keep = ridge & (m >= low), ridge & (m >= high)
+        while True:
+            q = np.pad(keep, 1)
+            grown = weak & np.any([q[1 + dy : 1 + dy + a.shape[0], 1 + dx : 1 + dx + a.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+            if (grown == keep).all():
+                break
+            keep = grown
+        return pd.DataFrame({"frame": rows["frame"], "y": rows["y"], "x": rows["x"], "value": np.where(keep[y, x], 255.0, 0.0)})
+
+    return cells.groupBy("frame").applyInPandas(edges, "frame int, y int, x int, value double")
+
+
+def polynomial_flow(before: np.ndarray, after: np.ndarray, sigma: float = 1.2, radius: int = 3, window: int = 5, steps: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Dense flow from local quadratic fits of both images, averaged over a window and refined by moving the second fit."""
+    window = min(window, (min(before.shape) - 1) // 2)
+    d = np.arange(-radius, radius + 1)
+    g = np.exp(-(d**2) / (2 * sigma**2))
+    yy, xx = np.meshgrid(d, d, indexing="ij")
+    basis = np.stack([np.ones_like(xx), xx, yy, xx * xx, yy * yy, xx * yy]).reshape(6, -1).astype(float)
+    weight = np.outer(g, g).ravel()
+    solve = np.linalg.inv((basis * weight) @ basis.T) @ (basis * weight)
+
+    def fit(a: np.ndarray) -> np.ndarray:
+        views = np.lib.stride_tricks.sliding_window_view(np.pad(a, radius, mode="edge"), (2 * radius + 1,) * 2)
+        return views.reshape(*a.shape, -1) @ solve.T
+
+    p, q = fit(before), fit(after)
+    kernel = np.ones(2 * window + 1) / (2 * window + 1)
+    smooth = lambda a: np.apply_along_axis(lambda r: np.convolve(r, kernel, "same"), 0, np.apply_along_axis(lambda r: np.convolve(r, kernel, "same"), 1, a))
+    u, v = np.zeros_like(before), np.zeros_like(before)
+    y0, x0 = np.mgrid[: before.shape[0], : before.shape[1]]
+    for _ in range(steps):
+        ry, rx = np.rint(v).astype(int), np.rint(u).astype(int)
+        there = q[np.clip(y0 + ry, 0, before.shape[0] - 1), np.clip(x0 + rx, 0, before.shape[1] - 1)]
+        axx, ayy, axy = (p[..., 3] + there[..., 3]) / 2, (p[..., 4] + there[..., 4]) / 2, (p[..., 5] + there[..., 5]) / 4
+        bx = (p[..., 1] - there[..., 1]) / 2 + axx * rx + axy * ry
+        by = (p[..., 2] - there[..., 2]) / 2 + axy * rx + ayy * ry
+        g11, g22, g12 = smooth(axx**2 + axy**2), smooth(ayy**2 + axy**2), smooth(axy * (axx + ayy))
+        h1, h2 = smooth(axx * bx + axy * by), smooth(axy * bx + ayy * by)
+        det = g11 * g22 - g12**2
+        ok = det > 1e-9 * np.maximum((g11 + g22) ** 2, 1e-12)
+        with np.errstate(all="ignore"):
+            u = np.where(ok, (g22 * h1 - g12 * h2) / det, 0)
+            v = np.where(ok, (g11 * h2 - g12 * h1) / det, 0)
+    return u, v

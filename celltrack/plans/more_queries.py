@@ -259,6 +259,31 @@ def vec_opt(g: Grid) -> DataFrame:
     return imaging.flow_vectors(imaging.normalize(g.cells), g.labelled, g.pairs, g.width, g.width)
 
 
+@query()
+def vec_farneback(g: Grid) -> DataFrame:
+    return imaging.flow_vectors(imaging.normalize(g.cells), g.labelled, g.pairs, g.width, g.width, method="farneback")
+
+
+@query()
+def img_canny(g: Grid) -> DataFrame:
+    return imaging.canny(imaging.normalize(g.cells), 20.0, 60.0)
+
+
+@query()
+def img_gabor(g: Grid) -> DataFrame:
+    return imaging.gabor(g.cells)
+
+
+@query()
+def img_noise(g: Grid) -> DataFrame:
+    return imaging.noise(g.cells)
+
+
+@query("SELECT frame, y, x, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END, 6) AS value FROM cell JOIN (SELECT frame, min(value) AS lo, max(value) AS hi FROM cell GROUP BY frame) USING (frame)")
+def img_scale(g: Grid) -> DataFrame:
+    return imaging.scale(g.cells).select("frame", "y", "x", *r6("value"))
+
+
 @plain("SELECT CAST(vec_id AS INTEGER) AS frame, sum(CASE WHEN e >= 0.05 THEN 1 ELSE 0 END) :: BIGINT AS warm, sum(CASE WHEN e <= -0.05 THEN 1 ELSE 0 END) :: BIGINT AS cold, round(max(e), 6) AS peak FROM (SELECT vec_id, unnest(embedding) :: DOUBLE AS e FROM embeddings) GROUP BY vec_id")
 def src_arrays(spark: SparkSession, d: str) -> DataFrame:
     c = S.array_cells(table(spark, d, "embeddings"), "vec_id", "embedding", 8)
