@@ -13,7 +13,7 @@ from celltrack.operators import enrich, forecast as fc, imaging
 from celltrack.operators import tracking as T
 from celltrack.plans import tracking_queries as tq
 from celltrack.plans.fixture import Grid
-from celltrack.plans.tracking_queries import K, P, TT, r6
+from celltrack.plans.tracking_queries import K, P, TT, off, r6
 from celltrack.runtime import new_path, table
 from celltrack.sources import frames as S
 from celltrack.streaming import live
@@ -240,7 +240,7 @@ for _name, _f, _sql in (
     ("img_median", imaging.median, f"SELECT a.frame, a.y, a.x, round(median(b.value), 6) AS value {NEAR}"),
     ("img_dilate", imaging.dilate, f"SELECT a.frame, a.y, a.x, round(max(b.value), 6) AS value {NEAR}"),
     ("img_erode", imaging.erode, f"SELECT a.frame, a.y, a.x, round(min(b.value), 6) AS value {NEAR}"),
-    ("img_blur", imaging.gaussian_blur, f"SELECT a.frame, a.y, a.x, round(sum(b.value * exp(-(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / 2)) / sum(exp(-(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / 2)), 6) AS value {NEAR}"),
+    ("img_blur", imaging.gaussian_blur, f"SELECT a.frame, a.y, a.x, round(sum(b.value * exp(-(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / 2)) / sum(exp(-(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / 2)) + 1e-9, 6) AS value {NEAR}"),
     ("img_sharpen", imaging.sharpen, f"SELECT a.frame, a.y, a.x, round(sum(CASE abs(a.y - b.y) + abs(a.x - b.x) WHEN 0 THEN 5 WHEN 1 THEN -1 ELSE 0 END * b.value), 6) AS value {NEAR}"),
     ("img_normalize", imaging.normalize, "SELECT frame, y, x, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) * 255 ELSE 0 END, 6) AS value FROM cell JOIN (SELECT frame, min(value) AS lo, max(value) AS hi FROM cell GROUP BY frame) USING (frame)"),
     ("img_zscore", imaging.zscore, "SELECT frame, y, x, round((value - mu) / sd, 6) AS value FROM cell JOIN (SELECT frame, avg(value) AS mu, stddev_pop(value) AS sd FROM cell GROUP BY frame) USING (frame)"),
@@ -248,7 +248,7 @@ for _name, _f, _sql in (
     ("img_equalize", imaging.equalize, "SELECT frame, y, x, round(CASE WHEN total > c0 THEN (cdf - c0) * 255.0 / (total - c0) ELSE 0 END, 6) AS value FROM (SELECT frame, y, x, cdf, total, min(cdf) OVER (PARTITION BY frame) AS c0 FROM (SELECT frame, y, x, count(*) OVER (PARTITION BY frame ORDER BY bin) AS cdf, count(*) OVER (PARTITION BY frame) AS total FROM (SELECT frame, y, x, floor(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) * 255 ELSE 0 END) AS bin FROM cell JOIN (SELECT frame, min(value) AS lo, max(value) AS hi FROM cell GROUP BY frame) USING (frame))))"),
 ):
     def _img(g: Grid, f=_f) -> DataFrame:
-        return f(g.cells).select("frame", "y", "x", *r6("value"))
+        return f(g.cells).select("frame", "y", "x", *(off if f is imaging.gaussian_blur else r6)("value"))
 
     _img.__name__ = _name
     query(_sql)(_img)

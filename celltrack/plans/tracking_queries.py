@@ -37,6 +37,11 @@ def r6(*cols: str) -> list:
     return [F.round(c, 6).alias(c) for c in cols]
 
 
+def off(*cols: str) -> list:
+    """Rounded a little off the halves that short decimals average to, where the order of a sum would decide."""
+    return [F.round(F.col(c) + 1e-9, 6).alias(c) for c in cols]
+
+
 @query("SELECT frame, ts, count(value) AS n_cells, max(value) AS peak FROM fr LEFT JOIN cell USING (frame) GROUP BY ALL")
 def src_frames(g: Grid) -> DataFrame:
     return g.frames.join(g.cells, "frame", "left").groupBy("frame", "ts").agg(F.count("value").alias("n_cells"), F.max("value").alias("peak"))
@@ -99,9 +104,9 @@ def cc_minsize(g: Grid) -> DataFrame:
     return g.feats.groupBy("frame", "level").agg(F.count(F.lit(1)).alias("clusters"), F.min("size").alias("smallest"), F.max("size").alias("largest"))
 
 
-@query("SELECT frame, level, label, size, min, round(mean, 6) AS mean, max, round(std, 6) AS std, xmin, xmax, ymin, ymax FROM clus")
+@query("SELECT frame, level, label, size, min, round(mean + 1e-9, 6) AS mean, max, round(std + 1e-9, 6) AS std, xmin, xmax, ymin, ymax FROM clus")
 def features(g: Grid) -> DataFrame:
-    return g.feats.select(*K, "size", "min", *r6("mean"), "max", *r6("std"), "xmin", "xmax", "ymin", "ymax")
+    return g.feats.select(*K, "size", "min", *off("mean"), "max", *off("std"), "xmin", "xmax", "ymin", "ymax")
 
 
 @query("SELECT frame, level, label, list(y ORDER BY y, x) AS array_y, list(x ORDER BY y, x) AS array_x, list(value ORDER BY y, x) AS array_values FROM lab GROUP BY ALL")
@@ -241,9 +246,9 @@ def link_trajectory(g: Grid) -> DataFrame:
 TT = "tt AS MATERIALIZED (SELECT fr.ts, u.frame, u.label, u.uid, CAST(u.lifetime AS BIGINT) AS lifetime, c.size, c.min, c.mean, c.max, c.cx, c.cy, c.xmin, c.xmax, c.ymin, c.ymax, e.status FROM u0 u JOIN clus c ON c.level = 0 AND c.frame = u.frame AND c.label = u.label JOIN ev e ON e.level = 0 AND e.frame = u.frame AND e.label = u.label JOIN fr ON fr.frame = u.frame)"
 
 
-@query(f", {TT} SELECT ts, frame, label, uid, lifetime, size, min, round(mean, 6) AS mean, max, status FROM tt")
+@query(f", {TT} SELECT ts, frame, label, uid, lifetime, size, min, round(mean + 1e-9, 6) AS mean, max, status FROM tt")
 def tracking_table(g: Grid) -> DataFrame:
-    return g.tracks.filter("level = 0").select("ts", "frame", "label", "uid", "lifetime", "size", "min", *r6("mean"), "max", "status")
+    return g.tracks.filter("level = 0").select("ts", "frame", "label", "uid", "lifetime", "size", "min", *off("mean"), "max", "status")
 
 
 @query(f", {TT}, d AS (SELECT uid, min(ts) AS t0, max(ts) AS t1, date_diff('minute', min(ts), max(ts)) AS duration FROM tt GROUP BY uid) SELECT frame, label, uid, CAST(duration AS BIGINT) AS duration, CASE WHEN duration > 0 AND ts = t1 THEN -1 WHEN duration > 0 AND ts = t0 THEN 1 ELSE 0 END AS genesis FROM tt JOIN d USING (uid)")
