@@ -40,8 +40,11 @@ def _body(text) -> str:
 
 
 def rings(texts) -> Rings:
-    """Parse an iterable of WKT polygons; null, empty and unreadable ones have no rings."""
-    bodies = [_body(t) for t in texts]
+    """Parse an iterable of WKT polygons; null, empty and unreadable ones have no rings, nor have rings of fewer than three points."""
+    return _scan([_body(t) for t in texts])
+
+
+def _scan(bodies: list[str]) -> Rings:
     raw = np.frombuffer("\n".join(bodies).encode("ascii", "replace"), np.uint8)
     none = Rings(*(np.zeros(0, t) for t in (int, bool, int, int, float, float)))
     if not len(raw):
@@ -55,11 +58,14 @@ def rings(texts) -> Rings:
     is_num = begins[event]
     if not is_num.any():
         return none
-    values = np.fromstring(np.where(numeric, raw, 32).astype(np.uint8).tobytes(), sep=" ")
+    try:
+        values = np.fromstring(np.where(numeric, raw, 32).astype(np.uint8).tobytes(), sep=" ")
+    except ValueError:  # something like 1-2 among the numbers
+        values = np.zeros(0)
     if len(values) != int(is_num.sum()):
         # one unreadable number spoils the bulk scan: drop that row, keep the others
         good = [b if _readable(b) else "" for b in bodies]
-        return rings(good) if good != bodies else none
+        return _scan(good) if good != bodies else none
     number_at = np.cumsum(is_num) - 1
     before_num = np.r_[False, is_num[:-1]]
     xs = np.flatnonzero(is_num & ~before_num)
@@ -76,6 +82,12 @@ def rings(texts) -> Rings:
     if not len(xs):
         return none
     used, start, length = np.unique(ring_of, return_index=True, return_counts=True)
+    enough = length >= 3
+    xs = xs[np.repeat(enough, length)]
+    used, length = used[enough], length[enough]
+    if not len(used):
+        return none
+    start = np.cumsum(length) - length
     breaks = np.flatnonzero(raw == NEWLINE)
     row = np.searchsorted(breaks, event[opens[used]])
     return Rings(row, shell[used], start, length, values[number_at[xs]], values[number_at[xs] + 1])
