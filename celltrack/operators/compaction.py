@@ -1,8 +1,8 @@
 """Many small files into few of good size, each record exactly once.
 
 A record's target partition follows from the record itself (its frame), so copies that lie
-in different files meet in one partition. Only partitions with too many small files
-are rewritten, by dynamic partition overwrite. Each table keeps numbered snapshots;
+in different files meet in one partition. Only partitions with too many small files or with
+copies are rewritten, by dynamic partition overwrite; the records merged by a rewrite are listed beside its snapshot. Each table keeps numbered snapshots;
 a rewrite names the snapshot it read, checks before publishing that neither the snapshot
 nor the files of its partitions changed, and claims the next number by an exclusive create.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from celltrack.runtime import new_path
+from celltrack.runtime import keep_until_end, new_path
 
 TARGET_BYTES = 128 << 20
 SMALL_BYTES = 32 << 20
@@ -74,13 +74,16 @@ def partition_of(frame: Column) -> Column:
     return F.coalesce(F.floor(frame / FRAMES_A_PARTITION), F.lit(-1)).cast("int")
 
 
-def once(stage: str, df: DataFrame) -> DataFrame:
-    """Each record exactly once: of its copies the one in the first file by name stays."""
+def once(stage: str, df: DataFrame, copies: str | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Each record exactly once: of its copies the one in the first file by name stays; ``copies`` names a column for how many there were.
+
+    ``within`` names columns that follow from frame and cidx; rows already spread by them are not moved again.
+    """
     h1, h2 = record_prints(stage, df)
     marked = df.withColumns({"__h1": h1, "__h2": h2})
     cols = [F.col(f"`{c}`") for c in df.columns]
-    kept = marked.groupBy("frame", "cidx", "__h1", "__h2").agg(F.min_by(F.struct(*cols), F.struct(F.col("file").isNull(), F.col("file"))).alias("__r"))
-    return kept.select("__r.*")
+    kept = marked.groupBy(*within, "frame", "cidx", "__h1", "__h2").agg(F.min_by(F.struct(*cols), F.struct(F.col("file").isNull(), F.col("file"))).alias("__r"), F.count(F.lit(1)).alias("__n"))
+    return kept.select("__r.*", *([F.col("__n").alias(copies)] if copies else []))
 
 
 def small_file_plan(stored: DataFrame, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_BYTES, max_small: int = MAX_SMALL_FILES) -> DataFrame:
@@ -112,10 +115,13 @@ class Snapshot:
 
 
 class StoredTable:
-    """A partitioned Parquet directory with numbered snapshots in ``_versions``."""
+    """A partitioned Parquet directory with numbered snapshots in ``_versions`` and the records each rewrite merged in ``_merged``.
+
+    A ``schema`` is needed only where the table may be empty.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -145,7 +151,16 @@ class StoredTable:
         return Snapshot(nxt, self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.option("pathGlobFilter", "*.parquet").parquet(self.path)
+        reader = self.spark.read.option("pathGlobFilter", "*.parquet")
+        return (reader.schema(self.schema) if self.schema else reader).parquet(self.path)
+
+    def merged_path(self, version: int) -> str:
+        return f"{self.path}/_merged/{version:012d}"
+
+    def merged(self) -> DataFrame:
+        """``(frame, cidx, copies)`` of the records that had copies when the present snapshot was made."""
+        at, schema = self.merged_path(self.snapshot().version), "frame int, cidx int, copies bigint"
+        return self.spark.read.schema(schema).parquet(at) if self._fs.exists(self._Path(at)) else self.spark.createDataFrame([], schema)
 
     def files(self, partition: str) -> DataFrame:
         """``(part, file_path, file_size)`` of every data file, from scan metadata only."""
@@ -157,7 +172,7 @@ class StoredTable:
 
 
 def compact(table: StoredTable, stage: str, partition: str = "part", max_small: int = MAX_SMALL_FILES, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, before_publish=None) -> DataFrame:
-    """Rewrite the partitions of ``table`` that hold more than ``max_small`` small files.
+    """Rewrite the partitions of ``table`` that hold more than ``max_small`` small files or any record twice.
 
     Gives ``(part, files_before, files_after, version)``. Other partitions are not touched.
     Raises Conflict, leaving the table as it was, if the snapshot or the files of a chosen
@@ -171,23 +186,30 @@ def compact(table: StoredTable, stage: str, partition: str = "part", max_small:
         F.count(F.when(F.col("file_size") < small_bytes, 1)).alias("small"),
         F.sum("file_size").alias("bytes"),
         F.sum(F.xxhash64("file_path", "file_size").cast("decimal(38,0)")).alias("state"),
-    ).filter(F.col("small") > max_small)
-    plan = {r["part"]: r for r in state().collect()}
+    )
+    there = {r["part"]: r for r in state().collect()}
+    plan = {k: r for k, r in there.items() if r["small"] > max_small}
+    if len(plan) < len(there):  # copies elsewhere; those of the chosen partitions show in the rewrite
+        rest = table.read().filter(~F.col(partition).isin(list(plan)))
+        h1, h2 = record_prints(stage, rest)
+        twice = rest.select(partition, "frame", "cidx", h1.alias("h1"), h2.alias("h2")).groupBy(partition, "frame", "cidx", "h1", "h2").count().filter("count > 1")
+        plan |= {r[0]: there[r[0]] for r in twice.select(partition).distinct().collect()}
     if not plan:
         return spark.createDataFrame([], f"{partition} int, files_before bigint, files_after bigint, version bigint")
     chosen = table.read().filter(F.col(partition).isin(list(plan)))
     largest = max(max(1, -(-int(r["bytes"]) // target_bytes)) for r in plan.values())
     staged = new_path(spark, "compact")
-    kept = once(stage, chosen)
-    spread = kept.withColumn("__salt", F.pmod(F.xxhash64("frame", "cidx"), F.lit(largest)))
-    spread.repartition(partition, "__salt").drop("__salt").write.partitionBy(partition).parquet(staged)
+    spread = chosen.withColumn("__salt", F.pmod(F.xxhash64("frame", "cidx"), F.lit(largest))).repartition(partition, "__salt")
+    once(stage, spread, "__copies", (partition, "__salt")).write.partitionBy(partition).parquet(staged)
     if before_publish:
         before_publish()
     now = {r["part"]: r["state"] for r in state().filter(F.col("part").isin(list(plan))).collect()}
     if table.snapshot() != base or now != {k: r["state"] for k, r in plan.items()}:
         raise Conflict("the table changed while it was compacted")
     done = table.claim(base, {"op": "compact", "base": base.version, "partitions": [str(k) for k in plan]})
-    spark.read.parquet(staged).repartition(partition).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(partition).parquet(table.path) if largest == 1 else spark.read.parquet(staged).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(partition).parquet(table.path)
+    new = spark.read.parquet(staged)
+    new.filter("__copies > 1").select("frame", "cidx", F.col("__copies").alias("copies")).coalesce(1).write.parquet(table.merged_path(done.version))
+    new.repartition(partition, "__salt").drop("__copies", "__salt").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(partition).parquet(table.path)
     table._fs.delete(table._Path(staged), True)
     spark.catalog.refreshByPath(table.path)
     after = table.files(partition).groupBy("part").agg(F.count(F.lit(1)).alias("files_after"))
@@ -199,3 +221,25 @@ def stored_twice(features: DataFrame, linked: DataFrame) -> DataFrame:
     """``(stage, frame, cidx)`` of each record that consolidation meets more than once."""
     both = record_copies("features", features).unionByName(record_copies("linked", linked))
     return both.filter(F.col("copies") > 1).select("stage", "frame", "cidx").distinct()
+
+
+def consolidate(stage: str, df: DataFrame) -> tuple[StoredTable, DataFrame]:
+    """The stage as a table in the shared folder, compacted, and what ``compact`` reports of it."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, stage)
+    stored = df.withColumn("part", partition_of(F.col("frame")))
+    stored.write.partitionBy("part").parquet(path)
+    keep_until_end(spark, path)
+    table = StoredTable(spark, path, stored.schema)
+    return table, compact(table, stage)
+
+
+def consolidation(features: DataFrame, linked: DataFrame) -> DataFrame:
+    """``(stage, part, files_before, files_after, version)`` of each partition that consolidation rewrote."""
+    done = [consolidate(s, df)[1].select(F.lit(s).alias("stage"), "part", "files_before", "files_after", "version") for s, df in (("features", features), ("linked", linked))]
+    return done[0].unionByName(done[1])
+
+
+def merged_records(features: DataFrame, linked: DataFrame) -> DataFrame:
+    """``(stage, frame, cidx)`` of each record whose copies consolidation merged."""
+    merged = [consolidate(s, df)[0].merged().select(F.lit(s).alias("stage"), "frame", "cidx") for s, df in (("features", features), ("linked", linked))]
+    return merged[0].unionByName(merged[1]).distinct()

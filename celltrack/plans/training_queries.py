@@ -47,14 +47,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.stored_twice(table(spark, d, "features"), table(spark, d, "linked"))
+    return compaction.merged_records(table(spark, d, "features"), table(spark, d, "linked"))
+
+
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.consolidation(table(spark, d, "features"), table(spark, d, "linked"))
 
 
 def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     return compaction.small_file_plan(table(spark, d, "stored_files"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_series, p4_found, p4_nodes, p5_found, p5_table, p6_found, p7_found, p7_plan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_series, p4_found, p4_nodes, p5_found, p5_table, p6_found, p7_found, p7_files, p7_plan)}
 
 P4_LINKS = """
 WITH RECURSIVE x AS (

@@ -68,6 +68,11 @@ def _drop_all() -> None:
             return
 
 
+def keep_until_end(spark: SparkSession, path: str) -> None:
+    """Delete what lies at ``path`` when the application ends."""
+    _written[path] = spark
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/celltrack-{label}-{uuid.uuid4().hex}"

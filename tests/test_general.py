@@ -119,6 +119,27 @@ def test_compaction_gives_way_to_another_writer(spark, tmp_path):
         compaction.compact(t, "linked", max_small=3, before_publish=lambda: t.claim(t.snapshot(), {}))
 
 
+def test_compaction_merges_copies_whatever_the_number_of_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, 1, 1, [1], "linked/a"), (1, 0, 1, 1, [1], "linked/b"), (300, 0, 2, 1, [1], "linked/a")], LINK)
+    df.withColumn("part", compaction.partition_of(df["frame"])).coalesce(1).write.partitionBy("part").parquet(str(tmp_path / "t"))
+    t = compaction.StoredTable(spark, str(tmp_path / "t"))
+    assert [r["part"] for r in compaction.compact(t, "linked").collect()] == [0]
+    assert t.read().count() == 2 and rows(t.merged()) == {(1, 0, 2)}
+
+
+def test_found_copies_come_from_the_rewrite(spark, data):
+    from celltrack.runtime import table
+
+    features, linked = table(spark, data, "features"), table(spark, data, "linked")
+    assert rows(compaction.merged_records(features, linked)) == rows(compaction.stored_twice(features, linked))
+    for stage, df in (("features", features), ("linked", linked)):
+        t, done = compaction.consolidate(stage, df)
+        copies = compaction.record_copies(stage, df).cache()
+        assert done.count() and t.snapshot().version == 1
+        assert t.read().count() == copies.count() and compaction.record_copies(stage, t.read().drop("part")).filter("copies > 1").isEmpty()
+    assert compaction.merged_records(features.limit(0), linked.limit(0)).isEmpty()
+
+
 REC = "producer string, file string, file_ts timestamp, arrived_at timestamp, rec_no int, payload string"
 
 
