@@ -38,6 +38,11 @@ def parent_links(linked: DataFrame) -> DataFrame:
     )
 
 
+def usable_uids(linked: DataFrame) -> DataFrame:
+    """Distinct ``v``: every uid that a row of linked carries, with or without a link."""
+    return linked.select(_valid(F.col("uid")).alias("v")).filter("v IS NOT NULL").distinct()
+
+
 def rank_list(arcs: DataFrame) -> DataFrame:
     """``(id, nxt, dist, last)`` with every ``dist`` the number of steps to the list's end, by doubling."""
     arcs = cut(arcs)
@@ -84,12 +89,16 @@ def interval_pairs(nodes: DataFrame) -> DataFrame:
 
 
 class Hierarchy:
-    """The forest, its intervals and the cross links of one set of ``links(p, c)``."""
+    """The forest, its intervals and the cross links of one set of ``links(p, c)``.
+
+    ``uids(v)`` names further nodes; those without a link are their own roots.
+    """
 
-    def __init__(self, links: DataFrame):
+    def __init__(self, links: DataFrame, uids: DataFrame | None = None):
         links = cut(links.select(F.col("p").cast("bigint").alias("p"), F.col("c").cast("bigint").alias("c")).filter("p <> c").distinct())
         best = links.groupBy("c").agg(F.max(F.when(F.col("p") < F.col("c"), F.col("p"))).alias("tp"))
-        nodes = links.select(F.explode(F.array("p", "c")).alias("v")).distinct()
+        nodes = links.select(F.explode(F.array("p", "c")).alias("v"))
+        nodes = (nodes if uids is None else nodes.unionByName(uids.select(F.col("v").cast("bigint").alias("v")))).distinct()
         forest = cut(nodes.join(best.withColumnRenamed("c", "v"), "v", "left").select("v", F.col("tp").alias("p")))
         self.nodes = cut(euler_intervals(forest))
         self.tree = cut(interval_pairs(self.nodes))
@@ -124,7 +133,7 @@ class Hierarchy:
         return tree.unionByName(cross).distinct()
 
     def report(self) -> DataFrame:
-        """``(uid, parent_uid, root_uid, depth, path, n_tree, n_ancestors, n_descendants, in_cycle)`` for every uid named by a link.
+        """``(uid, parent_uid, root_uid, depth, path, n_tree, n_ancestors, n_descendants, in_cycle)`` for every uid named by a link or in ``uids``.
 
         Path, depth and root follow the tree parent; the path is root/.../uid. The counts of ancestors and
         descendants are over all links; in_cycle marks uids that descend from themselves.

@@ -31,7 +31,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.Hierarchy(hierarchy.parent_links(table(spark, d, "linked"))).report()
+    linked = table(spark, d, "linked")
+    return hierarchy.Hierarchy(hierarchy.parent_links(linked), hierarchy.usable_uids(linked)).report()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

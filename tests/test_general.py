@@ -195,3 +195,20 @@ def test_parent_links_leave_out_marks(spark):
     df = spark.createDataFrame([(1, [2, None, -999, 0, 1], float("nan")), (1, None, 3.0), (None, [5], None), (4, None, None), (0, [5], None)], "uid bigint, prv_mrg_uids array<bigint>, prv_spl_uid double").selectExpr("*", "9 AS p")
     assert rows(hierarchy.parent_links(df)) == {(2, 1), (3, 1)}
     assert hierarchy.Hierarchy(hierarchy.parent_links(df.limit(0))).pairs().count() == 0
+
+
+def test_uids_without_links_are_nodes(spark):
+    df = spark.createDataFrame([(1, [2], None), (7, None, None), (7, [], float("nan")), (0, None, None), (None, None, None)], "uid bigint, prv_mrg_uids array<bigint>, prv_spl_uid double")
+    report = hierarchy.Hierarchy(hierarchy.parent_links(df), hierarchy.usable_uids(df)).report()
+    assert {(r.uid, r.parent_uid, r.root_uid, r.depth, r.path, r.n_tree, r.n_ancestors, r.n_descendants, r.in_cycle) for r in report.collect()} == {
+        (1, None, 1, 0, "1", 0, 1, 0, False), (2, None, 2, 0, "2", 0, 0, 1, False), (7, None, 7, 0, "7", 0, 0, 0, False),
+    }
+
+
+def test_every_usable_uid_of_linked_has_a_row(spark, data):
+    import __spark_entry__ as entry
+    from celltrack.runtime import table
+
+    linked = table(spark, data, "linked")
+    got = [r.uid for r in entry.queries()["p4_nodes"](spark, data).collect()]
+    assert len(got) == len(set(got)) and {r.v for r in hierarchy.usable_uids(linked).collect()} <= set(got)
