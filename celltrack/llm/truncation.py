@@ -5,7 +5,8 @@ folded to one, case and spacing evened) it compares how often that context ends
 it occurs at all, in every text of the corpus, backing off from long contexts to short ones. A text is cut
 where the log-odds of an end, against the language's rate of ends for each character, stay below
 ``THRESHOLD``. Marks of omission are taken off first. Ends that are no words are decided by their form:
-a cut character code or an open bracket is a cut; a dash (broken off by another speaker) and a signature line are whole.
+a cut character code or an open bracket is a cut; a dash (broken off by another speaker) and a signature line of name and place are whole.
+Other lines that begin with a dash, such as interjections, are judged by their end like any text.
 
 Only contexts that some text ends with are counted. They are recognised while scanning by a bit map of
 fixed size (``BITS``), which lets a few others through; the join with the contexts is exact.
@@ -39,7 +40,8 @@ OMISSION = re.compile(r"(?:\s*(?:\.{2,}|…|\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3
 CARRY_ON = re.compile(r"(?<=[\w,;:])\s+[(\[]\s*[a-zà-ÿ][a-zà-ÿ.'’ ]{0,14}[)\]]?\s*$")  # [more], (cont.), (suite)
 SENTENCE = re.compile(r"[.!?][)\]»”\"'’›“]*$")
 DASH = re.compile(r"[—–―-]$")
-SIGNATURE = re.compile(r"(?:^|\n)\s*[—–―]\s+\S[^\n]{0,80}$")
+_NAME = r"[A-ZÀ-ÖØ-Þ][\w.'’-]*"
+SIGNATURE = re.compile(rf"(?:^|\n)\s*[—–―]\s+{_NAME}(?:\s+[\w.'’-]+){{0,4}},\s+(?:(?:the|der|die|das|le|la|les|el|los|las)\s+|l['’])?{_NAME}(?:\s+[\w.'’-]+){{0,4}}$")  # dash, name, place
 # Character codes that appear in texts.
 ENTITIES = "quot nbsp amp lt gt apos mdash ndash hellip laquo raquo lsquo rsquo ldquo rdquo eacute egrave ecirc agrave acirc ccedil auml ouml uuml Auml Ouml Uuml szlig ntilde iacute oacute aacute uacute shy".split()
 CODE = re.compile(

@@ -66,6 +66,27 @@ def test_forms(text, form):
     assert truncation.form_of_end(text) == form
 
 
+@pytest.mark.parametrize(
+    "text, form",
+    [("It ends.\n\n– Z", "word"), ("It ends.\n– Une voix : Tr", "word"), ("It ends.\n– Une voix : Très bien !", "sentence"), ("It ends.\n– Zwischenruf –", "dash"), ("It ends.\n— J. Sm", "word"), ("It ends.\n— O. Tessüber, the Carrow Isles", "signature")],
+)
+def test_forms_of_lines_that_begin_with_a_dash(text, form):
+    assert truncation.form_of_end(text) == form
+
+
+def test_cut_interjections_are_found(spark):
+    rng = random.Random(4)
+    end = {0: "– Zwischenruf –", 1: "– Une voix : Très bien !", 2: "— J. {}, {}"}
+    docs = []
+    for i in range(300):
+        last = end[i % 3].format(rng.choice(WORDS).title() + str(i), rng.choice(WORDS).title() + "x" * (i % 7))
+        docs.append((i, "de", "x", f"The {rng.choice(WORDS)} was sold before the {rng.choice(WORDS)} arrived.\n\n{last}"))
+    for k, cut_line in enumerate(("– Z", "– Zwischenruf", "– Une", "– Une voix : Tr")):
+        docs.append((1000 + k, "de", "x", f"The {rng.choice(WORDS)} was lost.\n\n{cut_line}"))
+    d = spark.createDataFrame(docs, "doc_id bigint, lang string, source string, text string")
+    assert {r.doc_id for r in truncation.scored_ends(d).filter("truncated").collect()} == {1000, 1001, 1002, 1003}
+
+
 def test_marks_of_omission_come_off():
     for t in ("we will…", "we will ...", "we will [...]", "we will [more]", "we will (cont."):
         assert truncation.strip_omission(t) == "we will", t
