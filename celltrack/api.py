@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from celltrack.config import TrackConfig
 from celltrack.functions import outline
 from celltrack.operators import forecast as fc
+from celltrack.operators import imaging
 from celltrack.operators import tracking as T
 from celltrack.runtime import cut
 
@@ -55,7 +56,12 @@ class Tracker:
 
     @cached_property
     def vecs(self) -> DataFrame:
-        return cut(T.vectors(self.feats, self.ev, self.edges, self.labelled, self.nested, self.cfg))
+        v = T.vectors(self.feats, self.ev, self.edges, self.labelled, self.nested, self.cfg)
+        if self.cfg.opt_correction:
+            g = self.cfg.grid
+            flow = imaging.flow_vectors(imaging.normalize(self.cells), self.labelled, self.pairs, g.y_dim, g.x_dim, method=self.cfg.opt_mtd)
+            v = v.join(flow.select(*T.KEY, (F.col("u_opt") * g.x_res).alias("u_opt"), (F.col("v_opt") * g.y_res).alias("v_opt")), T.KEY, "left")
+        return cut(v)
 
     @cached_property
     def links(self) -> DataFrame:
@@ -67,13 +73,15 @@ class Tracker:
 
     @cached_property
     def tracks(self) -> DataFrame:
-        """The tracking table without pixel lists."""
+        """The tracking table without pixel lists; with ``validation`` u_ and v_ are those of the method of least far."""
         n = self.nested.groupBy(*T.KEY).agg(F.count(F.lit(1)).alias("inside_clusters"))
         level = F.coalesce(*(F.when(F.col("level") == lv.level, F.lit(lv.threshold)) for lv in self.cfg.levels))
-        best = T.far_best(self.fars, self.feats).select(*T.KEY, "method", "far")
+        best = T.far_best(self.fars, self.feats).withColumnsRenamed({"u_": "__u", "v_": "__v"})
         t = self.links.join(self.feats, T.KEY).join(self.ev.select(*T.KEY, "status", "past_label", "merge_labels", "split_parent"), T.KEY)
         t = t.join(self.vecs.drop("status"), T.KEY).join(best, T.KEY).join(n, T.KEY, "left").join(self.frames.select("frame", "ts"), "frame")
-        return cut(t.withColumns({"threshold": level, "inside_clusters": F.coalesce("inside_clusters", F.lit(0))}))
+        if self.cfg.validation:
+            t = t.withColumns({"u_": F.coalesce("__u", "u_"), "v_": F.coalesce("__v", "v_")})
+        return cut(t.drop("__u", "__v").withColumns({"threshold": level, "inside_clusters": F.coalesce("inside_clusters", F.lit(0))}))
 
     @cached_property
     def partners(self) -> DataFrame:

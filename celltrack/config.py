@@ -50,7 +50,11 @@ class Level:
 
 @dataclass(frozen=True)
 class TrackConfig:
-    """``delta_time`` and ``delta_tolerance`` are minutes, ``min_overlap`` per cent of the earlier cluster."""
+    """``delta_time`` and ``delta_tolerance`` are minutes, ``min_overlap`` per cent of the earlier cluster.
+
+    ``opt_correction`` scores the optical-flow vector of ``opt_mtd`` beside the others; ``validation`` writes the vector of
+    least far into u_ and v_ of the tracks. Both are off unless asked for.
+    """
 
     grid: GridSpec
     levels: tuple[Level, ...]
@@ -65,6 +69,9 @@ class TrackConfig:
     mrg_expansion: bool = False
     spl_expansion: bool = False
     mrg_agg: str = "sum"
+    opt_correction: bool = False
+    opt_mtd: str = "lucas-kanade"
+    validation: bool = False
     initial_uid: int = 1
     extra: dict = field(default_factory=dict)
 
@@ -73,6 +80,8 @@ class TrackConfig:
             raise ValueError(f"operator must be one of {OPERATORS}")
         if self.cluster_method not in ("ndimage", "dbscan"):
             raise ValueError("cluster_method must be ndimage or dbscan")
+        if self.opt_mtd not in ("lucas-kanade", "farneback"):
+            raise ValueError("opt_mtd must be lucas-kanade or farneback")
         for k in self.extra:
             if k in IGNORED:
                 warnings.warn(f"{k} has no effect", stacklevel=2)

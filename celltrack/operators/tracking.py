@@ -238,11 +238,13 @@ def vectors(feats: DataFrame, ev: DataFrame, edges: DataFrame, labelled: DataFra
 def far_counts(labelled: DataFrame, ev: DataFrame, vecs: DataFrame, cfg: TrackConfig, axis: str = "corrected") -> DataFrame:
     """``(frame, level, label, method, u, v, hit, false_alarm, far)`` for each vector of a cluster with a past.
 
-    The past cluster's pixels are moved by the vector, rounded half to even, and compared with the cluster's.
+    Vectors ``u_opt, v_opt`` (map units) are scored where ``vecs`` has them. The past cluster's pixels are moved by the vector, rounded half to even, and compared with the cluster's.
     ``axis='reference'`` adds u to rows and v to columns. Null vectors have no row.
     """
     g = cfg.grid
     m = [("noc", "u_", "v_"), ("spl", "u_spl", "v_spl"), ("mrg", "u_mrg", "v_mrg"), ("inc", "u_inc", "v_inc"), ("elp", "u_elp", "v_elp")]
+    if "u_opt" in vecs.columns:
+        m.append(("opt", "u_opt", "v_opt"))
     long = vecs.select(*KEY, F.explode(F.array(*(F.struct(F.lit(n).alias("method"), F.col(u).alias("u"), F.col(v).alias("v")) for n, u, v in m))).alias("m")).select(*KEY, "m.*").filter("u IS NOT NULL AND v IS NOT NULL")
     past = ev.filter("past_label IS NOT NULL").select(*KEY, "prev_frame", "past_label").join(long, KEY)
     du, dv = F.bround(F.col("u") / g.x_res).cast("int"), F.bround(F.col("v") / g.y_res).cast("int")

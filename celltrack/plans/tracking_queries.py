@@ -287,6 +287,21 @@ def far_scores(g: Grid) -> DataFrame:
     return g.fars.groupBy(*K).agg(*(x for m in ("noc", "spl", "mrg", "inc", "elp") for x in (F.round(F.max(F.when(F.col("method") == m, F.col("far"))), 6).alias(f"far_{m}"), F.max(F.when(F.col("method") == m, F.col("hit"))).alias(f"hit_{m}"))))
 
 
+@query(fixture="opt")
+def far_counts_opt(g: Grid) -> DataFrame:
+    return g.fars.select(*K, "method", "hit", "false_alarm", *r6("far"))
+
+
+@query(fixture="opt")
+def far_best_opt(g: Grid) -> DataFrame:
+    return T.far_best(g.fars, g.feats).select(*K, "method", *r6("far", "u_", "v_"))
+
+
+@query(fixture="opt")
+def tracks_validated(g: Grid) -> DataFrame:
+    return g.tracks.select("ts", *K, "uid", "method", *r6("far", "u_", "v_"))
+
+
 @query(f", {TT} SELECT count(DISTINCT uid) AS tracks, min(ts) AS first_ts, max(ts) AS last_ts FROM tt WHERE size >= 5")
 def ana_count_distinct(g: Grid) -> DataFrame:
     return g.tracks.filter("level = 0 AND size >= 5").agg(F.count_distinct("uid").alias("tracks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

@@ -47,6 +47,23 @@ def test_continuing(spark):
     assert far("corrected") == [(4, 0, 0.0)] and far("reference") == [(1, 3, 0.75)]
 
 
+def test_optical_flow_is_scored_and_the_best_vector_written_back(spark):
+    from dataclasses import replace
+
+    from celltrack.api import Tracker
+
+    # the core moves by one column; a new tail draws the centre, and so the plain vector, to two
+    r = Run(spark, [[(2, 7, 2, 7, 2), (3, 6, 3, 6, 4)], [(2, 7, 3, 8, 2), (3, 6, 4, 7, 4), (4, 5, 9, 11, 1)]])
+    plain = Tracker(r.cells, r.frames, CFG)
+    full = Tracker(r.cells, r.frames, replace(CFG, opt_correction=True, validation=True))
+    assert "opt" not in {x.method for x in plain.fars.collect()}
+    fars = {x.method: x for x in full.fars.filter("level = 0").collect()}
+    best, row, before = T.far_best(full.fars, full.feats).filter("frame = 1 AND level = 0").first(), full.tracks.filter("frame = 1 AND level = 0").first(), plain.tracks.filter("frame = 1 AND level = 0").first()
+    assert fars["opt"].far == 0 < fars["noc"].far
+    assert (row.method, row.far, row.u_, row.v_) == ("opt", 0.0, best.u_, best.v_) and row.u_ == fars["opt"].u
+    assert before.method == "noc" and before.u_ == fars["noc"].u != row.u_
+
+
 def test_split(spark):
     r = Run(spark, [[(1, 1, 1, 5, 1)], [(1, 1, 1, 2, 1), (1, 1, 4, 4, 1)]])
     assert r.status(1) == {13: "SPL", 16: "NEW/SPL"}
