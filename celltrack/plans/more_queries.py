@@ -319,6 +319,6 @@ def stream_frames(spark: SparkSession, d: str) -> DataFrame:
 def stream_link(g: Grid) -> DataFrame:
     path = new_path(g.spark, "cells")
     cells = g.cells.select(F.lit("grid").alias("source"), "frame", (F.col("frame") * 720).cast("bigint").alias("ts_min"), "y", "x", "value")
-    cells.orderBy("frame").coalesce(1).write.parquet(path)
+    cells.unionByName(live.end_marks(cells, g.cfg.delta_time)).orderBy("frame").coalesce(1).write.parquet(path)
     src = g.spark.readStream.schema(cells.schema).parquet(path)
     return live.run_to_table(live.link_stream(src, g.cfg, g.width), f"links_{uuid.uuid4().hex[:8]}", new_path(g.spark, "ckpt"))

@@ -59,3 +59,26 @@ def test_stream_links_agree_with_batch_on_plain_tracks(spark, tmp_path):
     batch = {(k[0], k[2]): r.uid for k, r in run.links().items() if k[1] == 0}
     live_ = {(r.frame, r.label): r.uid for r in got.collect()}
     assert len(live_) == 8 and {k: batch[k] for k in live_} == live_  # the last frame is not closed yet
+
+
+@pytest.mark.parametrize("operator", [">=", ">"])
+def test_stream_links_every_frame_and_level_as_the_batch_does(spark, tmp_path, operator):
+    from dataclasses import replace
+
+    from test_tracking import CFG, Run
+
+    from celltrack.config import Level
+    from celltrack.streaming import live
+
+    cfg = replace(CFG, operator=operator, levels=(Level(0, 1.0, 1), Level(1, 5.0, 1)))
+    strong = [(1, 2, 1, 8, 2), (1, 2, 2, 3, 6), (7, 8, 6, 7, 5)]
+    pieces = [(1, 2, 1, 4, 2), (1, 2, 6, 8, 2), (1, 2, 2, 3, 6), (7, 8, 6, 7, 5)]
+    run = Run(spark, [strong, pieces, strong, pieces[1:], strong], cfg)
+    cells = run.cells.selectExpr("'a' AS source", "frame", "CAST(frame * 12 AS bigint) AS ts_min", "y", "x", "value")
+    cells.unionByName(live.end_marks(cells, 12)).orderBy("frame").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(cells.schema).parquet(str(tmp_path / "in"))
+    got = live.run_to_table(live.link_stream(stream, cfg, 12), f"live_all_{'ge' if operator == '>=' else 'gt'}", str(tmp_path / "ckpt")).collect()
+    batch = run.links()
+    assert {(r.frame, r.level, r.label) for r in got} == set(batch) and len(got) == len(batch)
+    assert {r.frame for r in got} == {0, 1, 2, 3, 4} and {r.level for r in got} == {0, 1}
+    assert {(r.frame, r.label): r.uid for r in got if r.level == 0} == {(f, k): v.uid for (f, lv, k), v in batch.items() if lv == 0}
