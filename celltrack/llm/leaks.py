@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 MIN_WORDS = 18
 SEED = 16  # letters a verbatim match needs
 DEPTH = 40  # letters to which suffixes are sorted
-LEAST_SEEDS = 4  # item words that start a verbatim match
+LEAST_SEEDS = 1  # item words that start a verbatim match
 REJOIN = 12  # letters that must follow an interruption
 INTERRUPTION = 700  # letters an interruption may have
 SETTLE = 5  # letters that must follow a slip
@@ -159,11 +159,13 @@ def longest_run(item: str, ends: np.ndarray, doc: str, seeds: list[tuple[int, in
     """``(words, first word)`` of the longest run of whole item words that the seeds lead to."""
     starts = ends[:-1]
     back_item, back_starts = item[::-1], (len(item) - ends[::-1])[:-1]
-    best, first, covered = 0, 0, -1
+    best, first = 0, 0
+    covered: dict[int, int] = {}  # by diagonal: a verbatim stretch is extended from its first seed only
     reversed_doc = None
     for p, q in seeds:
-        if p < covered:
+        if p < covered.get(q - p, 0):
             continue
+        covered[q - p] = p + _common(item, p, doc, q)
         right = extend(item, starts, p, doc, q)
         if reversed_doc is None:
             reversed_doc = doc[::-1]
@@ -174,7 +176,6 @@ def longest_run(item: str, ends: np.ndarray, doc: str, seeds: list[tuple[int, in
             best, first = hi - lo, lo
         if best >= MIN_WORDS:
             break
-        covered = max(covered, right - SEED)
     return best, first
 
 

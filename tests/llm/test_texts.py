@@ -150,3 +150,16 @@ def test_mix_reaches_its_shares(spark):
     assert s["delta"].share == 0 and "gone" not in s
     assert m.sort_values("doc_id").equals(mixing.mix(d, t).toPandas().sort_values("doc_id")) or sorted(zip(m.doc_id, m.copies)) == sorted((r.doc_id, r.copies) for r in mixing.mix(d, t).collect())
     assert mixing.mix(d.limit(0), t).count() == 0 and mixing.mix(d, t.limit(0)).count() == 0
+
+
+def test_a_run_with_one_undamaged_stretch_is_found(spark):
+    words = "bargain chimney dolphin elegant fashion gallery harvest imagine journey kitchen lantern mineral nothing orchard pasture quarter railway sandbox tobacco uniform".split()
+    slip = lambda w: w[:3] + ("x" if w[3] != "x" else "k") + w[4:]
+    damaged = [w if k in (9, 10, 11) else slip(w) for k, w in enumerate(words)]
+    text, ends = leaks.item_words(" ".join(words))
+    whole, _ = leaks.stream("and " + " ".join(damaged) + " then")
+    assert sum(text[p : p + leaks.SEED] in whole for p in ends[:-1] if len(text) - p >= leaks.SEED) < 4
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    # an earlier place repeats the undamaged words alone
+    docs = spark.createDataFrame([(5, "and " + " ".join(damaged) + " then"), (6, " ".join(words[8:13]) + " and so on. Later: " + " ".join(damaged)), (7, " ".join(words[:17]))], "doc_id bigint, text string")
+    assert {(r.item_id, r.doc_id) for r in leaks.find_leaks(docs, items).collect()} == {(1, 5), (1, 6)}
