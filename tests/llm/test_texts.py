@@ -12,10 +12,28 @@ def passage(rng, n):
     return [rng.choice(WORDS) + rng.choice(["", "s", "ed", "ing"]) for _ in range(n)]
 
 
+def letters_of(texts):
+    letters, begin, starts = leaks.streams(texts)
+    end = [*(begin[1:] - leaks.DEPTH), len(letters) - 2 * leaks.DEPTH]
+    return [letters[b:e].tobytes().decode() for b, e in zip(begin, end)], [(starts[(starts >= b) & (starts < e)] - b).tolist() for b, e in zip(begin, end)]
+
+
 def test_streams_even_out_spelling():
-    want = leaks.stream("the naive cafe was closed")[0]
-    for t in ("The naïve café, was CLOSED!", "the na-\nive ca fe was cl0sed", "the na&iuml;ve caf&eacute; was closed", "the naÃ¯ve cafÃ© was closed", "the nаive cafе wаs clоsed", "the na\\u00efve café was clo­sed"):
-        assert leaks.stream(t)[0] == want, t
+    want = letters_of(["the naive cafe was closed"])[0][0]
+    odd = ["The naïve café, was CLOSED!", "the na-\nive ca fe was cl0sed", "the na&iuml;ve caf&eacute; was closed", "the naÃ¯ve cafÃ© was closed", "the nаive cafе wаs clоsed", "the na\\u00efve café was clo­sed"]
+    for t in odd:
+        assert letters_of([t])[0][0] == want, t
+    assert letters_of(odd)[0] == [want] * len(odd)
+
+
+def test_streams_of_a_shard_equal_those_of_each_text():
+    texts = ["", "A b", "c0st 10 l0 x", "\x02 a\x02b", "ß&amp;ﬁne e\u0301t\u00e9 \\u0002x", "", "no" * 30 + " yes", "…", "\ud800 z", ""]
+    words, starts = letters_of(texts)
+    for t, w, s in zip(texts, words, starts):
+        plain = leaks.even(t.replace("\x02", " "))
+        assert w == "".join(c for c in plain if c.isalnum()), t
+        assert (w, s) == tuple(x[0] for x in letters_of([t]))
+    assert starts[1] == [0, 1] and starts[6] == list(range(61)), starts
 
 
 def test_leaks_through_damage(spark):
@@ -48,14 +66,48 @@ def test_leaks_through_damage(spark):
 
 def test_suffix_search_equals_brute_force():
     rng = random.Random(9)
-    docs = ["".join(rng.choice("ab") for _ in range(200)) for _ in range(5)]
-    starts = [np.arange(0, 200, 3) for _ in docs]
-    shard = leaks.SuffixShard(docs, starts)
-    asked = ["".join(rng.choice("ab") for _ in range(7)) for _ in range(60)]
-    q, place = shard.find(np.array([a.encode() for a in asked]))
-    got = {(int(k), int(p)) for k, p in zip(q, place)}
-    want = {(k, int(shard.begin[d]) + s) for k, a in enumerate(asked) for d, t in enumerate(docs) for s in range(0, 200, 3) if t.startswith(a, s)}
-    assert got == want
+    docs = [" ".join("".join(rng.choice("ab") for _ in range(3)) for _ in range(70)) for _ in range(5)]
+    letters, begin, starts = leaks.streams(docs)
+    shard = leaks.SuffixShard(letters, starts)
+    asked = ["".join(rng.choice("ab") for _ in range(leaks.SEED)) for _ in range(60)]
+    keys = leaks.word_keys(np.frombuffer("".join(a + "\0" * leaks.DEPTH for a in asked).encode(), np.uint8), np.arange(len(asked)) * (leaks.SEED + leaks.DEPTH))
+    lo, hi = shard.find(keys)
+    got = {(k, int(p)) for k in range(len(asked)) for p in shard.place[lo[k] : hi[k]]}
+    plain = [d.replace(" ", "") for d in docs]
+    want = {(k, int(begin[d]) + s) for k, a in enumerate(asked) for d, t in enumerate(plain) for s in range(0, len(t), 3) if t.startswith(a, s)}
+    assert got == want and want
+
+
+def test_longest_match_and_its_place(spark):
+    rng = random.Random(12)
+    w, pre = passage(rng, 40), passage(rng, 25)
+    broken = w[3:30]
+    broken[11] = broken[11][:2] + "q" + broken[11][3:]  # 26 whole words around one slip
+    d = spark.createDataFrame([(1, " ".join(pre + broken)), (2, " ".join(pre + w[3:15] + pre))], "doc_id bigint, text string")
+    (r,) = leaks.find_leaks(d, spark.createDataFrame([(5, " ".join(w))], "item_id bigint, text string")).collect()
+    tail = broken[11][3:] + "".join(broken[12:])
+    assert (r.item_id, r.doc_id, r.n_words, r.first_word) == (5, 1, 27, 3)
+    assert r.longest == len(tail) and r.place == len("".join(pre + broken)) - len(tail)
+
+
+@pytest.mark.parametrize("every, least", [(0, 1.0), (6, 0.95), (4, 0.9), (3, 0.9)])
+def test_recall_under_typing_damage(every, least):
+    """Runs of 18 words, every n-th of them with one letter changed, left out, put in or swapped, but for the outermost."""
+    rng = random.Random(every)
+    items = leaks.Items([(i, " ".join(passage(rng, 40))) for i in range(10)])
+    text = [[t[a:b] for a, b in zip(e[:-1], e[1:])] for t, e in zip(items.text, items.ends)]
+    docs, want = [], []
+    for _ in range(100):
+        i, a = rng.randrange(10), rng.randrange(20)
+        run = list(text[i][a : a + 18])
+        for k in range(1, 17):
+            if every and k % every == 0:
+                w, at, c = run[k], rng.randrange(1, len(run[k]) - 1), rng.choice("abcdefghijklmnopqrstuvwxyz")
+                run[k] = rng.choice([w[:at] + c + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + c + w[at:], w[:at] + w[at + 1] + w[at] + w[at + 2 :]])
+        docs.append(" ".join(passage(rng, 20) + run + passage(rng, 20)))
+        want.append(i)
+    found = {(r[1], r[0]) for r in leaks._search(items, list(range(100)), docs)}
+    assert len(found & set(enumerate(want))) >= 100 * least and len(found - set(enumerate(want))) == 0
 
 
 @pytest.mark.parametrize(
@@ -163,3 +215,35 @@ def test_a_run_with_one_undamaged_stretch_is_found(spark):
     # an earlier place repeats the undamaged words alone
     docs = spark.createDataFrame([(5, "and " + " ".join(damaged) + " then"), (6, " ".join(words[8:13]) + " and so on. Later: " + " ".join(damaged)), (7, " ".join(words[:17]))], "doc_id bigint, text string")
     assert {(r.item_id, r.doc_id) for r in leaks.find_leaks(docs, items).collect()} == {(1, 5), (1, 6)}
+
+
+def test_folding_a_batch_equals_folding_each_text():
+    texts = ["", "A  12\n\t3b", "٣٤ x\u3000 y", "ΑΣ. ΑΣ", "x" * 30, "  0", "9", "İ²"]
+    codes, inside = truncation.folded(texts)
+    assert "".join(map(chr, codes.tolist())) == truncation.BREAK.join(truncation.fold(t) for t in texts)
+    assert inside.tolist() == [k for t in texts for k in range(len(truncation.fold(t)) + 1)][:-1]
+
+
+def test_context_hashes_depend_on_the_context_alone():
+    rng = random.Random(5)
+    texts = [" ".join(passage(rng, 6)) for _ in range(20)]
+    codes, inside = truncation.folded(texts)
+    ctx = truncation.Contexts(codes)
+    for n in truncation.ORDERS:
+        at = np.flatnonzero((inside >= n - 1) & (codes != 2))
+        seen = {}
+        for i, h in zip(at.tolist(), ctx.hashes(n, at).tolist()):
+            assert seen.setdefault(codes[i - n + 1 : i + 1].tobytes(), h) == h
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_counts_equal_brute_force_in_small_pieces(spark, monkeypatch):
+    """n_all of every context, with long texts in pieces and counts given out early."""
+    rng = random.Random(6)
+    texts = [" ".join(passage(rng, rng.randint(1, 60))) + rng.choice([".", "", " 12", "!"]) for _ in range(60)] + ["", "a", " ".join(passage(rng, 4000)) + "."]
+    d = spark.createDataFrame([(i, "en", "x", t) for i, t in enumerate(texts)], "doc_id bigint, lang string, source string, text string").repartition(3)
+    base = {(r.doc_id, r.form, r.log_odds, r.truncated) for r in truncation.scored_ends(d).collect()}
+    monkeypatch.setattr(truncation, "CHARS_AT_ONCE", 700)
+    monkeypatch.setattr(truncation, "HELD_AT_ONCE", 50)
+    monkeypatch.setattr(truncation, "LEAST_BITS", 1 << 16)
+    assert {(r.doc_id, r.form, r.log_odds, r.truncated) for r in truncation.scored_ends(d).collect()} == base
