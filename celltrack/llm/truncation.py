@@ -8,8 +8,9 @@ where the log-odds of an end, against the language's rate of ends for each chara
 a cut character code or an open bracket is a cut; a dash (broken off by another speaker) and a signature line of name and place are whole.
 Other lines that begin with a dash, such as interjections, are judged by their end like any text.
 
-Only contexts that some text ends with are counted. They are recognised while scanning by a bit map of
-fixed size (``BITS``), which lets a few others through; the join with the contexts is exact.
+Only contexts that some text ends with are counted. They are recognised while scanning by a bit map, sized by the
+number of contexts up to ``MOST_BITS`` (32 MB), which lets a few others through, more of them when it is full; the join
+with the contexts is exact. Tasks give out their counts whenever they hold ``HELD_AT_ONCE`` of them.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from celltrack.runtime import cut
 
 ORDERS = (3, 6, 12, 24)
 SENTENCE_ORDER = 6
-BITS = 1 << 23
+LEAST_BITS, MOST_BITS, BITS_A_CONTEXT = 1 << 20, 1 << 28, 16
 THRESHOLD = 0.8  # decimal log-odds over the language's rate
 SENTENCE_THRESHOLD = -0.7
 BACKOFF = 3.0
 FIRST_GUESS = 0.01
 CHARS_AT_ONCE = 1 << 20
+HELD_AT_ONCE = 1 << 21  # counts a task keeps before it gives them out
 WITNESS = 80
+TAIL = 200
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 OMISSION = re.compile(r"(?:\s*(?:\.{2,}|…|\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)))+\s*$")
@@ -68,8 +71,18 @@ def fold(text: str) -> str:
 
 
 def strip_omission(text: str) -> str:
+    """Without marks of omission at the end; only the last characters are looked at, more where nothing of them is left."""
     text = text.rstrip()
-    return OMISSION.sub("", CARRY_ON.sub("", text)).rstrip()
+    while text:
+        tail = text[-TAIL:]
+        left = OMISSION.sub("", CARRY_ON.sub("", tail)).rstrip()
+        if left == tail:
+            break
+        text = text[: len(text) - len(tail)] + left
+        if left:
+            break
+        text = text.rstrip()
+    return text
 
 
 def _open_bracket(line: str) -> bool:
@@ -86,28 +99,16 @@ def form_of_end(text: str) -> str:
     """code, bracket, dash, signature, sentence or word, for a text without its omission mark."""
     if CODE.search(text[-12:]):
         return "code"
-    last = text[text.rfind("\n") + 1 :]
-    if _open_bracket(last[-400:]):
+    last = text[text.rfind("\n", -400) + 1 :][-400:]
+    if ("(" in last or "[" in last) and _open_bracket(last):
         return "bracket"
     if SIGNATURE.search(text[-120:]):
         return "signature"
-    if DASH.search(text):
+    if DASH.search(text[-1:]):
         return "dash"
     return "sentence" if SENTENCE.search(text[-12:]) else "word"
 
 
-def rolling(codes: np.ndarray) -> dict[int, np.ndarray]:
-    """Hash of the last 3, 6, 12 and 24 codes at each place."""
-    with np.errstate(over="ignore"):
-        c = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        shift = lambda h, n: np.concatenate([np.zeros(min(n, len(h)), np.uint64), h[: max(0, len(h) - n)]])
-        power = lambda n: np.uint64(pow(int(BASE), n, 1 << 64))
-        h = {3: c + BASE * shift(c, 1) + power(2) * shift(c, 2)}
-        for n in (3, 6, 12):
-            h[2 * n] = h[n] + power(n) * shift(h[n], n)
-        return {n: v ^ (v >> np.uint64(29)) for n, v in h.items()}
-
-
 def hash_text(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -116,8 +117,73 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(BITS)).astype(np.int64)
+BREAK = "\x02"
+_IS_DIGIT = np.array([chr(c).isdecimal() for c in range(256)])
+_IS_SPACE = np.array([bool(re.match(r"\s", chr(c))) for c in range(256)])
+
+
+def _kinds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which codes are digits and which white space, as the patterns of ``fold`` have it."""
+    low = np.minimum(codes, 255).astype(np.uint8)
+    digit, space = _IS_DIGIT[low], _IS_SPACE[low]
+    odd = np.flatnonzero(codes > 254)
+    if len(odd):
+        kinds, which = np.unique(codes[odd], return_inverse=True)
+        digit[odd] = np.array([chr(k).isdecimal() for k in kinds.tolist()])[which]
+        space[odd] = np.array([bool(re.match(r"\s", chr(k))) for k in kinds.tolist()])[which]
+    return digit, space
+
+
+def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``fold`` of many texts at once: their characters behind one another, and how many of its text lie before each."""
+    codes = _codes(BREAK.join(t.replace(BREAK, " ") if BREAK in t else t for t in texts).lower())
+    digit, space = _kinds(codes)
+    stay = np.ones(len(codes), bool)
+    stay[1:] = ~(digit[1:] & digit[:-1] | space[1:] & space[:-1])
+    codes = np.where(digit, 48, np.where(space, 32, codes))[stay].astype(np.uint32)
+    at = np.arange(len(codes))
+    ends = np.flatnonzero(codes == ord(BREAK))
+    start = np.r_[0, ends + 1]
+    return codes, at - np.repeat(start, np.diff(np.r_[start, len(codes)]))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    return h ^ (h >> np.uint64(29))
+
+
+class Contexts:
+    """Hashes of the last 3, 6, 12 and 24 characters at any place of ``folded`` texts."""
+
+    def __init__(self, codes: np.ndarray):
+        with np.errstate(over="ignore"):
+            c = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            self.h = {3: c.copy()}
+            self.h[3][1:] += BASE * c[:-1]
+            self.h[3][2:] += self._power(2) * c[:-2]
+            self.h[6] = self.h[3].copy()
+            self.h[6][3:] += self._power(3) * self.h[3][:-3]
+
+    @staticmethod
+    def _power(n: int) -> np.uint64:
+        return np.uint64(pow(int(BASE), n, 1 << 64))
+
+    def _raw(self, n: int, at: np.ndarray) -> np.ndarray:
+        if n in self.h:
+            return self.h[n][at]
+        return self._raw(n // 2, at) + self._power(n // 2) * self._raw(n // 2, at - n // 2)
+
+    def hashes(self, n: int, at: np.ndarray) -> np.ndarray:
+        """At places that have n characters of their text up to them."""
+        with np.errstate(over="ignore"):
+            return _mixed(self._raw(n, at))
+
+    def every(self, n: int) -> np.ndarray:
+        return _mixed(self.h[n])
+
+
+def slots_for(contexts: int) -> int:
+    """Size of the bit map: a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_CONTEXT * int(contexts)).bit_length()))
 
 
 def language(c: Column) -> Column:
@@ -136,71 +202,105 @@ def scored_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for i, lang_, t in zip(b["id"], b["language"], b["text"]):
+            rows, tails = [], []
+            for i, lang_, t in zip(b["id"].tolist(), b["language"].tolist(), b["text"].tolist()):
                 t = strip_asides(strip_omission(t or ""))
                 if not t:
                     continue
-                form = form_of_end(t)
-                tail = fold(t[-200:])[-ORDERS[-1] :]
-                orders = (SENTENCE_ORDER,) if form == "sentence" else ORDERS if form == "word" else ()
-                h = rolling(_codes(tail))
-                hs = [int(h[n][-1].astype(np.int64)) if n in orders and len(tail) >= n else None for n in ORDERS]
-                rows.append((i, lang_, form, len(t), hash_text(fold(t[-200:])[-WITNESS:]), *hs))
-            cols = list(zip(*rows)) if rows else [()] * (5 + len(ORDERS))
-            names = ["id", "language", "form", "chars", "witness", *(f"h{n}" for n in ORDERS)]
-            kinds = ["int64", "str", "str", "int64", "int64", *["Int64"] * len(ORDERS)]
-            yield pd.DataFrame({n: pd.array(c, dtype=k) if k == "Int64" else np.array(c, dtype=object if k == "str" else k) for n, c, k in zip(names, cols, kinds)})
+                tail = fold(t[-TAIL:])
+                rows.append((i, lang_, form_of_end(t), len(t), hash_text(tail[-WITNESS:])))
+                tails.append(tail[-ORDERS[-1] :])
+            if not rows:
+                continue
+            out = pd.DataFrame(dict(zip(("id", "language", "form", "chars", "witness"), zip(*rows))))
+            length = np.array([len(t) for t in tails])
+            last = np.cumsum(length) - 1
+            ctx = Contexts(_codes("".join(tails)))
+            form = out["form"].to_numpy()
+            for n in ORDERS:
+                has = (length >= n) & ((form == "word") | ((form == "sentence") & (n == SENTENCE_ORDER)))
+                h = np.zeros(len(rows), np.int64)
+                h[has] = ctx.hashes(n, last[has]).view(np.int64)
+                out[f"h{n}"] = pd.arrays.IntegerArray(h, ~has)
+            yield out
 
     schema = "id bigint, language string, form string, chars bigint, witness bigint, " + ", ".join(f"h{n} bigint" for n in ORDERS)
     tails = cut(base.mapInPandas(ends, schema))
     contexts = tails.select("witness", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"h{n}").alias("h")) for n in ORDERS))).alias("c")).select("witness", "c.*").filter("h IS NOT NULL")
     n_end = contexts.groupBy("n", "h").agg(F.count_distinct("witness").alias("n_end"))  # copies of one text are one witness
-    slot = F.pmod(F.col("h"), F.lit(BITS))  # BITS is a power of two: the low bits, signed or not
+    bits = slots_for(contexts.select(F.approx_count_distinct(F.xxhash64("n", "h"), 0.05)).first()[0])
+    slot = F.pmod(F.col("h"), F.lit(bits))  # a power of two: the low bits, signed or not
     chunks = (
         contexts.select((slot + 1).alias("s"))
         .groupBy(F.bitmap_bucket_number("s").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-        .collect()  # at most BITS / 32768 rows of 4 KB, whatever the corpus
+        .toLocalIterator()  # at most bits / 32768 rows of 4 KB
     )
-    seen = np.zeros(BITS // 8, np.uint8)
+    seen = np.zeros(bits // 8, np.uint8)
     for r in chunks:
         at = (r["bucket"] - 1) * 4096
-        seen[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        seen[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(seen) - at]
     sent = spark.sparkContext.broadcast(seen)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.unpackbits(sent.value, bitorder="little").astype(bool)
-        total: dict[int, tuple[np.ndarray, np.ndarray]] = {n: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for n in ORDERS}
-
-        def add(texts: list[str]) -> None:
-            codes = _codes("".join(texts))
-            length = np.array([len(t) for t in texts])
-            inside = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
-            for n, h in rolling(codes).items():
-                hit = h[(inside >= n - 1) & known[_slot(h)]].astype(np.int64)
-                h1, c1 = np.unique(hit, return_counts=True)
-                h0, c0 = total[n]
-                h2, back = np.unique(np.concatenate([h0, h1]), return_inverse=True)
-                total[n] = h2, np.bincount(back, np.concatenate([c0, c1])).astype(np.int64)
-
-        held, size = [], 0
+        known = sent.value
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in ORDERS}
+
+        def hit(h: np.ndarray) -> np.ndarray:
+            at = h & np.uint64(bits - 1)
+            return (known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+        def add(texts: list[str], skip: int = 0) -> int:
+            """Count the contexts that end beyond the first ``skip`` characters; how many entries are held now."""
+            codes, inside = folded(texts)
+            ctx = Contexts(codes)
+            ends_at: np.ndarray | None = None
+            for n in ORDERS:
+                if n <= SENTENCE_ORDER:
+                    own = inside >= max(n - 1, skip)
+                    at = np.flatnonzero(own & hit(ctx.every(n)))
+                    h = ctx.hashes(n, at)
+                else:  # whatever ends with n characters ends with the shorter ones
+                    at = ends_at[inside[ends_at] >= n - 1]
+                    h = ctx.hashes(n, at)
+                    ok = hit(h)
+                    at, h = at[ok], h[ok]
+                ends_at = at
+                if len(h):
+                    held[n].append(np.unique(h.view(np.int64), return_counts=True))
+            return sum(len(h) for parts in held.values() for h, _ in parts)
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for n, parts in held.items():
+                if parts:
+                    h, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                    total = np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+                    yield pd.DataFrame({"n": np.full(len(h), n, np.int32), "h": h, "n_all": total})
+                    parts.clear()
+
+        waiting, size = [], 0
         for b in batches:
-            for t in b["text"]:
-                t = fold(strip_omission(t or ""))
-                while len(t) > CHARS_AT_ONCE:  # a very long text goes in overlapping pieces
-                    add([t[:CHARS_AT_ONCE]])
-                    t = t[CHARS_AT_ONCE - ORDERS[-1] + 1 :]  # shorter contexts inside the overlap count twice
-                held.append(t)
+            for t in b["text"].tolist():
+                t = strip_omission(t or "")
+                skip = 0
+                if len(t) > CHARS_AT_ONCE:
+                    t = fold(t)
+                while len(t) > CHARS_AT_ONCE:  # a very long text goes in pieces that overlap by one context
+                    if add([t[:CHARS_AT_ONCE]], skip) > HELD_AT_ONCE:
+                        yield from flush()
+                    t, skip = t[CHARS_AT_ONCE - ORDERS[-1] + 1 :], ORDERS[-1] - 1
+                if skip:
+                    add([t], skip)
+                    continue
+                waiting.append(t)
                 size += len(t)
                 if size >= CHARS_AT_ONCE:
-                    add(held)
-                    held, size = [], 0
-        if held:
-            add(held)
-        for n, (h, c) in total.items():
-            if len(h):
-                yield pd.DataFrame({"n": np.int32(n), "h": h, "n_all": c})
+                    if add(waiting) > HELD_AT_ONCE:
+                        yield from flush()
+                    waiting, size = [], 0
+        if waiting:
+            add(waiting)
+        yield from flush()
 
     n_all = base.select("text").mapInPandas(count, "n int, h bigint, n_all bigint").groupBy("n", "h").agg(F.sum("n_all").alias("n_all"))
     counts = cut(n_end.join(n_all, ["n", "h"], "left").select("n", "h", "n_end", F.coalesce("n_all", "n_end").alias("n_all")))
