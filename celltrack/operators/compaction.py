@@ -2,21 +2,24 @@
 
 A record's target partition follows from the record itself (its frame), so copies that lie
 in different files meet in one partition. Only partitions with too many small files or with
-copies are rewritten, by dynamic partition overwrite; the records merged by a rewrite are listed beside its snapshot. Each table keeps numbered snapshots;
-a rewrite names the snapshot it read, checks before publishing that neither the snapshot
-nor the files of its partitions changed, and claims the next number by an exclusive create.
+copies are rewritten, each into as many files as its size asks for. A table keeps numbered snapshots: a snapshot lists
+the live directories of every partition, and readers see only those. A rewrite goes to directories of its own by dynamic
+partition overwrite and becomes visible by its last step alone, the exclusive create of the next snapshot; if another
+writer took that number meanwhile, the rewrite is set upon the new snapshot or, where a partition it read has changed,
+given up. A writer that is lost leaves files that no snapshot lists, which ``vacuum`` clears away.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from celltrack.runtime import keep_until_end, new_path
+from celltrack.runtime import cut, keep_until_end, new_path
 
 TARGET_BYTES = 128 << 20
 SMALL_BYTES = 32 << 20
@@ -80,10 +83,12 @@ def once(stage: str, df: DataFrame, copies: str | None = None, within: tuple[str
     ``within`` names columns that follow from frame and cidx; rows already spread by them are not moved again.
     """
     h1, h2 = record_prints(stage, df)
-    marked = df.withColumns({"__h1": h1, "__h2": h2})
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    kept = marked.groupBy(*within, "frame", "cidx", "__h1", "__h2").agg(F.min_by(F.struct(*cols), F.struct(F.col("file").isNull(), F.col("file"))).alias("__r"), F.count(F.lit(1)).alias("__n"))
-    return kept.select("__r.*", *([F.col("__n").alias(copies)] if copies else []))
+    same = Window.partitionBy(*within, "frame", "cidx", "__h1", "__h2")
+    ranked = df.withColumns({"__h1": h1, "__h2": h2}).withColumn("__k", F.row_number().over(same.orderBy(F.col("file").asc_nulls_last())))
+    if copies:  # over the same order, so that one sort serves both
+        whole = same.orderBy(F.col("file").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ranked = ranked.withColumn(copies, F.count(F.lit(1)).over(whole))
+    return ranked.filter("__k = 1").drop("__h1", "__h2", "__k")
 
 
 def small_file_plan(stored: DataFrame, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_BYTES, max_small: int = MAX_SMALL_FILES) -> DataFrame:
@@ -110,126 +115,195 @@ def small_file_plan(stored: DataFrame, target_bytes: int = TARGET_BYTES, small_b
 
 @dataclass(frozen=True)
 class Snapshot:
+    """``live`` is the manifest's path: one row ``(part, ver)`` for each live directory; none before the first version."""
+
     version: int
-    path: str
+    live: str | None
+    note: dict
+
+
+COPIES, VERSION = "__copies", "__ver"
+MOST_BROADCAST = 1 << 20  # rows of a manifest that travel with the tasks
 
 
 class StoredTable:
-    """A partitioned Parquet directory with numbered snapshots in ``_versions`` and the records each rewrite merged in ``_merged``.
+    """A table of ``data/<part>/<ver>`` directories, manifests in ``live`` and numbered snapshots in ``versions``.
 
-    A ``schema`` is needed only where the table may be empty.
+    ``schema`` is that of the records, without the partition column, which follows from ``frame`` by ``partition_of``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None):
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    @property
+    def data(self) -> str:
+        return f"{self.path}/data"
+
     def _version_path(self, n: int):
-        return self._Path(f"{self.path}/_versions/{n:012d}.json")
-
-    def snapshot(self) -> Snapshot:
-        """The last version; 0 for a table without any."""
-        at = self._Path(f"{self.path}/_versions")
-        if not self._fs.exists(at):
-            return Snapshot(0, self.path)
-        numbers = [int(s.getPath().getName()[:12]) for s in self._fs.listStatus(at) if s.getPath().getName()[:12].isdigit()]
-        return Snapshot(max(numbers, default=0), self.path)
-
-    def claim(self, base: Snapshot, note: dict) -> Snapshot:
-        """Take the version after ``base``; Conflict if someone has it already."""
-        nxt = base.version + 1
+        return self._Path(f"{self.path}/versions/{n:012d}.json")
+
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """A version, by default the last; 0 for a table without any."""
+        at = self._Path(f"{self.path}/versions")
+        if version is None:
+            there = self._fs.listStatus(at) if self._fs.exists(at) else []
+            version = max((int(s.getPath().getName()[:12]) for s in there if s.getPath().getName()[:12].isdigit()), default=0)
+        if not version:
+            return Snapshot(0, None, {})
+        note = json.loads("\n".join(r.value for r in self.spark.read.text(self._version_path(version).toString()).collect()))  # one short line
+        return Snapshot(version, f"{self.path}/live/{note['live']}", note)
+
+    def live(self, at: Snapshot | None = None) -> DataFrame:
+        at = at or self.snapshot()
+        schema = f"part int, {VERSION} string"
+        return self.spark.read.schema(schema).parquet(at.live) if at.live else self.spark.createDataFrame([], schema)
+
+    def claim(self, base: Snapshot, live: DataFrame, note: dict) -> Snapshot:
+        """Publish ``live`` as the version after ``base``; Conflict if someone has that number already."""
+        nxt, name = base.version + 1, uuid.uuid4().hex
+        live.select("part", VERSION).coalesce(1).write.parquet(f"{self.path}/live/{name}")
         try:
             stream = self._fs.create(self._version_path(nxt), False)
         except Exception as e:  # FileAlreadyExistsException arrives wrapped
             if self._fs.exists(self._version_path(nxt)):
                 raise Conflict(f"version {nxt} is taken") from e
             raise
-        stream.write(bytearray(json.dumps(note), "utf-8"))
+        stream.write(bytearray(json.dumps(note | {"live": name}), "utf-8"))
         stream.close()
-        return Snapshot(nxt, self.path)
+        return Snapshot(nxt, f"{self.path}/live/{name}", note | {"live": name})
 
-    def read(self) -> DataFrame:
-        reader = self.spark.read.option("pathGlobFilter", "*.parquet")
-        return (reader.schema(self.schema) if self.schema else reader).parquet(self.path)
+    def _stored(self) -> DataFrame:
+        full = T.StructType([*self.schema, T.StructField(COPIES, T.LongType()), T.StructField("part", T.IntegerType()), T.StructField(VERSION, T.StringType())])
+        if not self._fs.exists(self._Path(self.data)):
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).parquet(self.data)
 
-    def merged_path(self, version: int) -> str:
-        return f"{self.path}/_merged/{version:012d}"
-
-    def merged(self) -> DataFrame:
-        """``(frame, cidx, copies)`` of the records that had copies when the present snapshot was made."""
-        at, schema = self.merged_path(self.snapshot().version), "frame int, cidx int, copies bigint"
-        return self.spark.read.schema(schema).parquet(at) if self._fs.exists(self._Path(at)) else self.spark.createDataFrame([], schema)
-
-    def files(self, partition: str) -> DataFrame:
-        """``(part, file_path, file_size)`` of every data file, from scan metadata only."""
-        return (
-            self.read()
-            .select(F.col(partition).alias("part"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"))
-            .distinct()
-        )
+    def _only(self, listed: DataFrame) -> DataFrame:
+        """The stored rows of the directories that ``listed(part, __ver, ...)`` names; other directories are not read."""
+        few = listed.count() <= MOST_BROADCAST
+        return self._stored().join(F.broadcast(listed) if few else listed, ["part", VERSION])
 
+    def read(self, at: Snapshot | None = None) -> DataFrame:
+        """The records of a snapshot, with their partition in ``part``."""
+        return self._only(self.live(at)).drop(VERSION, COPIES)
 
-def compact(table: StoredTable, stage: str, partition: str = "part", max_small: int = MAX_SMALL_FILES, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, before_publish=None) -> DataFrame:
+    def merged(self) -> DataFrame:
+        """``(frame, cidx, copies)`` of the records whose copies the rewrites of the live directories merged."""
+        return self._only(self.live()).filter(F.col(COPIES) > 1).select("frame", "cidx", F.col(COPIES).alias("copies"))
+
+    def files(self, at: Snapshot | None = None) -> DataFrame:
+        """``(part, __ver, file_path, file_size)`` of every live data file, from the listing alone."""
+        schema = f"part int, {VERSION} string, file_path string, file_size bigint"
+        if not self._fs.exists(self._Path(self.data)):
+            return self.spark.createDataFrame([], schema)
+        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self.data).select(F.col("path").alias("file_path"), F.col("length").alias("file_size"))
+        at_dir = lambda name: F.regexp_extract("file_path", rf"/{name}=([^/]+)/", 1)
+        listed = found.select(at_dir("part").cast("int").alias("part"), at_dir(VERSION).alias(VERSION), "file_path", "file_size")
+        return listed.join(self.live(at), ["part", VERSION], "left_semi")
+
+    def write(self, rows: DataFrame, ver: str) -> None:
+        """Rows with ``part`` into directories of version ``ver``; overwriting is dynamic, so a repeated attempt replaces only its own."""
+        out = rows if COPIES in rows.columns else rows.withColumn(COPIES, F.lit(None).cast("bigint"))
+        out.withColumn(VERSION, F.lit(ver)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("part", VERSION).parquet(self.data)
+
+    def written(self, ver: str) -> DataFrame:
+        """The directories of version ``ver``."""
+        if not self._fs.exists(self._Path(self.data)):
+            return self.live(Snapshot(0, None, {}))
+        return self._stored().filter(F.col(VERSION) == ver).select("part", VERSION).distinct()
+
+    def append(self, df: DataFrame, tries: int = 20) -> Snapshot:
+        """Add records as they come; takes the next free version."""
+        ver = uuid.uuid4().hex
+        self.write(df.select(*self.schema.names).withColumn("part", partition_of(F.col("frame"))), ver)
+        new = cut(self.written(ver))
+        for _ in range(tries):
+            base = self.snapshot()
+            try:
+                return self.claim(base, self.live(base).unionByName(new), {"op": "append", "ver": ver})
+            except Conflict:
+                continue
+        raise Conflict(f"no version was free in {tries} tries")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete data directories that none of the last ``keep`` snapshots lists; how many there were. No writer may be at work."""
+        last = self.snapshot().version
+        wanted = self.live()
+        for n in range(max(1, last - keep + 1), last):
+            wanted = wanted.unionByName(self.live(self.snapshot(n)))
+        there = self._stored().select("part", VERSION).distinct()
+        gone = 0
+        for r in there.join(wanted, ["part", VERSION], "left_anti").toLocalIterator():
+            self._fs.delete(self._Path(f"{self.data}/part={r['part']}/{VERSION}={r[VERSION]}"), True)
+            gone += 1
+        return gone
+
+
+def compact(table: StoredTable, stage: str, max_small: int = MAX_SMALL_FILES, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, before_publish=None) -> DataFrame:
     """Rewrite the partitions of ``table`` that hold more than ``max_small`` small files or any record twice.
 
-    Gives ``(part, files_before, files_after, version)``. Other partitions are not touched.
-    Raises Conflict, leaving the table as it was, if the snapshot or the files of a chosen
-    partition changed meanwhile. The list of partitions to rewrite is metadata, one
-    entry for each partition. ``before_publish`` is a hook for tests.
+    Gives ``(part, files_before, files_after, version)``. Other partitions are not touched. Each partition is written in
+    the number of files that its bytes need at ``target_bytes`` each. Raises Conflict, leaving the table as it was, if
+    another writer changed a chosen partition meanwhile; changes of others are kept. ``before_publish`` is a hook for tests.
     """
-    spark = table.spark
-    base = table.snapshot()
-    state = lambda: table.files(partition).groupBy("part").agg(
-        F.count(F.lit(1)).alias("files_before"),
-        F.count(F.when(F.col("file_size") < small_bytes, 1)).alias("small"),
-        F.sum("file_size").alias("bytes"),
-        F.sum(F.xxhash64("file_path", "file_size").cast("decimal(38,0)")).alias("state"),
-    )
-    there = {r["part"]: r for r in state().collect()}
-    plan = {k: r for k, r in there.items() if r["small"] > max_small}
-    if len(plan) < len(there):  # copies elsewhere; those of the chosen partitions show in the rewrite
-        rest = table.read().filter(~F.col(partition).isin(list(plan)))
+    spark, base = table.spark, table.snapshot()
+    empty = "part int, files_before bigint, files_after bigint, version bigint"
+    state = cut(table.files(base).groupBy("part").agg(
+        F.count(F.lit(1)).alias("files_before"), F.count(F.when(F.col("file_size") < small_bytes, 1)).alias("small"), F.sum("file_size").alias("bytes"),
+    ))
+    live = table.live(base)
+    crowded = state.filter(F.col("small") > max_small).select("part")
+    quiet = live.join(crowded, "part", "left_anti")
+    if not quiet.isEmpty():  # copies in the others
+        rest = table._only(quiet).drop(VERSION, COPIES)
         h1, h2 = record_prints(stage, rest)
-        twice = rest.select(partition, "frame", "cidx", h1.alias("h1"), h2.alias("h2")).groupBy(partition, "frame", "cidx", "h1", "h2").count().filter("count > 1")
-        plan |= {r[0]: there[r[0]] for r in twice.select(partition).distinct().collect()}
-    if not plan:
-        return spark.createDataFrame([], f"{partition} int, files_before bigint, files_after bigint, version bigint")
-    chosen = table.read().filter(F.col(partition).isin(list(plan)))
-    largest = max(max(1, -(-int(r["bytes"]) // target_bytes)) for r in plan.values())
-    staged = new_path(spark, "compact")
-    spread = chosen.withColumn("__salt", F.pmod(F.xxhash64("frame", "cidx"), F.lit(largest))).repartition(partition, "__salt")
-    once(stage, spread, "__copies", (partition, "__salt")).write.partitionBy(partition).parquet(staged)
+        twice = rest.select("part", "frame", "cidx", h1.alias("h1"), h2.alias("h2")).groupBy("part", "frame", "cidx", "h1", "h2").count().filter("count > 1")
+        crowded = crowded.unionByName(twice.select("part")).distinct()
+    need = F.greatest(F.lit(1), F.ceil(F.col("bytes") / target_bytes)).cast("int")
+    first = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    plan = cut(state.join(crowded, "part", "left_semi").withColumn("n", need).withColumn("first", first))  # one row for each partition
+    tasks = plan.agg(F.sum("n")).first()[0]
+    if not tasks:
+        return spark.createDataFrame([], empty)
+    listed = live.join(plan.select("part", "n", "first"), "part")
+    slot = F.col("first") + F.pmod(F.xxhash64("frame", "cidx"), F.col("n")).cast("int")
+    spread = table._only(listed).withColumn("__slot", slot).drop(VERSION, COPIES, "n", "first").repartitionById(int(tasks), F.col("__slot"))
+    ver = uuid.uuid4().hex
+    table.write(once(stage, spread, COPIES, ("part", "__slot")).drop("__slot"), ver)  # sorted by part already
     if before_publish:
         before_publish()
-    now = {r["part"]: r["state"] for r in state().filter(F.col("part").isin(list(plan))).collect()}
-    if table.snapshot() != base or now != {k: r["state"] for k, r in plan.items()}:
-        raise Conflict("the table changed while it was compacted")
-    done = table.claim(base, {"op": "compact", "base": base.version, "partitions": [str(k) for k in plan]})
-    new = spark.read.parquet(staged)
-    new.filter("__copies > 1").select("frame", "cidx", F.col("__copies").alias("copies")).coalesce(1).write.parquet(table.merged_path(done.version))
-    new.repartition(partition, "__salt").drop("__copies", "__salt").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(partition).parquet(table.path)
-    table._fs.delete(table._Path(staged), True)
-    spark.catalog.refreshByPath(table.path)
-    after = table.files(partition).groupBy("part").agg(F.count(F.lit(1)).alias("files_after"))
-    before = spark.createDataFrame([(k, r["files_before"]) for k, r in plan.items()], f"{partition} int, files_before bigint")
-    return before.join(after, before[partition] == after["part"]).select(before[partition], "files_before", "files_after", F.lit(done.version).cast("bigint").alias("version"))
+    new, now = cut(table.written(ver)), base
+    read = cut(live.join(plan, "part", "left_semi"))
+    while True:
+        current = table.live(now)
+        if now != base:
+            there = current.join(plan, "part", "left_semi")
+            if not there.exceptAll(read).isEmpty() or not read.exceptAll(there).isEmpty():
+                raise Conflict("a partition changed while it was compacted")
+        try:
+            done = table.claim(now, current.join(plan, "part", "left_anti").unionByName(new), {"op": "compact", "base": base.version, "ver": ver})
+            break
+        except Conflict:
+            now = table.snapshot()
+    after = table.files(done).groupBy("part").agg(F.count(F.lit(1)).alias("files_after"))
+    return plan.select("part", "files_before").join(after, "part").select("part", "files_before", "files_after", F.lit(done.version).cast("bigint").alias("version"))
 
 
 def stored_twice(features: DataFrame, linked: DataFrame) -> DataFrame:
-    """``(stage, frame, cidx)`` of each record that consolidation meets more than once."""
+    """``(stage, frame, cidx)`` of each record stored more than once, by counting; for comparison."""
     both = record_copies("features", features).unionByName(record_copies("linked", linked))
     return both.filter(F.col("copies") > 1).select("stage", "frame", "cidx").distinct()
 
 
 def consolidate(stage: str, df: DataFrame) -> tuple[StoredTable, DataFrame]:
-    """The stage as a table in the shared folder, compacted, and what ``compact`` reports of it."""
+    """The stage as a table of small files in the shared folder, compacted, and what ``compact`` reports of it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, stage)
-    stored = df.withColumn("part", partition_of(F.col("frame")))
-    stored.write.partitionBy("part").parquet(path)
     keep_until_end(spark, path)
-    table = StoredTable(spark, path, stored.schema)
+    table = StoredTable(spark, path, df.schema)
+    table.append(df)
     return table, compact(table, stage)
 
 
