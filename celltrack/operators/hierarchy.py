@@ -1,7 +1,8 @@
 """Parent-child links to full hierarchies, with several parents and cycles.
 
-Of each node's parents the largest smaller id is its tree parent, so the tree links
-form a forest whatever the data; all other links are cross links, and every cycle runs through one. The
+Nodes without a parent or a child are peeled off and chains contracted, round by round, which leaves the cyclic core.
+Each node's largest parent is its tree parent; in a cycle that such links close inside the core the smallest node leads
+and has none, so the tree links form a forest. All other links are cross links, and every cycle runs through one. The
 forest is laid out as Euler tours ranked by pointer doubling. A node's interval of
 ranks gives its root, depth and subtree; intervals are cut into blocks of fixed length and joined
 block by block, which lists ancestors without a range join and without gathering a tree. Cross links
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from celltrack.runtime import cut, drop
 
 BLOCK = 64
+PEELS = 3
+PIECES = 256  # parts into which one parent's children are cut
 
 
 def _valid(c: Column) -> Column:
@@ -55,15 +58,116 @@ def rank_list(arcs: DataFrame) -> DataFrame:
     return arcs
 
 
+def _ends(links: DataFrame) -> DataFrame:
+    """``(v, parents, children, p, c)`` of every node of ``links(p, c)``; p and c are its only parent and child where it has one."""
+    both = links.select(F.explode(F.array(
+        F.struct(F.col("p").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down"), F.lit(None).cast("bigint").alias("p"), F.col("c").alias("c")),
+        F.struct(F.col("c").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down"), F.col("p").alias("p"), F.lit(None).cast("bigint").alias("c")),
+    )).alias("e")).select("e.*")
+    return both.groupBy("v").agg(F.sum("up").alias("parents"), F.sum("down").alias("children"), F.max("p").alias("p"), F.max("c").alias("c"))
+
+
+def _hop(at: DataFrame) -> DataFrame:
+    """Chains' pointers doubled, up and down."""
+    on = at.join(at.select(F.col("v").alias("b"), F.col("b").alias("b2"), F.col("down").alias("d2")), "b", "left")
+    on = on.join(at.select(F.col("v").alias("a"), F.col("a").alias("a2"), F.col("up").alias("u2")), "a", "left")
+    return on.select(
+        "v", F.when(F.col("up"), F.col("a2")).otherwise(F.col("a")).alias("a"), (F.col("up") & F.col("u2")).alias("up"),
+        F.when(F.col("down"), F.col("b2")).otherwise(F.col("b")).alias("b"), (F.col("down") & F.col("d2")).alias("down"),
+    )
+
+
+def _contract(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains of nodes with one parent and one child made single links: ``(links, inner(v, a, b))`` with the ends a and b of v's chain.
+
+    The ends are found by list ranking, downwards and upwards at once; what never ends is a ring, and its nodes are their own ends.
+    """
+    mid = cut(_ends(links).filter("parents = 1 AND children = 1 AND p <> v").select("v", "p", "c"))
+    n = mid.count()
+    if not n:
+        return links, mid.select("v", F.col("p").alias("a"), F.col("c").alias("b"))
+    inner = mid.select("v", F.lit(True).alias("m"))
+    below = mid.join(inner.withColumnsRenamed({"v": "c", "m": "mc"}), "c", "left").join(inner.withColumnsRenamed({"v": "p", "m": "mp"}), "p", "left")
+    at = cut(below.select("v", F.col("p").alias("a"), F.col("mp").isNotNull().alias("up"), F.col("c").alias("b"), F.col("mc").isNotNull().alias("down")))
+    for _ in range(-(-n.bit_length() // 2)):
+        if at.filter("up OR down").isEmpty():
+            break
+        before, at = at, cut(_hop(_hop(at)))
+        drop(before)
+    ring = at.filter("up AND down").select("v", F.col("v").alias("a"), F.col("v").alias("b"))
+    chain = at.filter("NOT up").select("v", "a", "b")
+    gone = mid.select("v")
+    left = links.join(gone.withColumnRenamed("v", "p"), "p", "left_anti").join(gone.withColumnRenamed("v", "c"), "c", "left_anti")
+    out = cut(left.select("p", "c").unionByName(chain.select(F.col("a").alias("p"), F.col("b").alias("c"))).distinct())
+    return out, cut(chain.unionByName(ring))
+
+
+def cyclic_core(links: DataFrame) -> DataFrame:
+    """``v``: the nodes that peeling leaves, which are all nodes on cycles and those on ways from one cycle to another.
+
+    Nodes without a parent or without a child are peeled off ``PEELS`` times, then chains contracted, until neither is
+    left; chains between nodes of the core are put back.
+    """
+    live = cut(links.select("p", "c"))
+    chains: list[DataFrame] = []
+    size = live.count()
+    while size:
+        peeled = live
+        for _ in range(PEELS):
+            peeled = peeled.join(peeled.select(F.col("c").alias("p")), "p", "left_semi").join(peeled.select(F.col("p").alias("c")), "c", "left_semi")
+        peeled = cut(peeled.select("p", "c"))
+        drop(live)
+        short, inner = _contract(peeled)
+        chains.append(inner)
+        live, now = short, short.count()
+        if now == size:
+            break
+        size = now
+    core = live.select(F.explode(F.array("p", "c")).alias("v")).distinct()
+    for inner in reversed(chains):
+        both = inner.join(core.withColumnRenamed("v", "a"), "a", "left_semi").join(core.withColumnRenamed("v", "b"), "b", "left_semi")
+        core = cut(core.unionByName(both.select("v")).unionByName(inner.filter("a = v").select("v")).distinct())
+    return core
+
+
+def tree_parents(links: DataFrame) -> DataFrame:
+    """``(c, p)``: each node's largest parent, so that the links chosen form a forest.
+
+    Links chosen so can close a cycle only inside the cyclic core. Each such cycle's smallest node leads it and has no
+    parent; the cycles are found by pointer doubling over the core.
+    """
+    best = cut(links.groupBy("c").agg(F.max("p").alias("p")))
+    core = cyclic_core(links)
+    walk = cut(best.join(core.withColumnRenamed("v", "c"), "c", "left_semi").join(core.withColumnRenamed("v", "p"), "p", "left_semi").select(F.col("c").alias("v"), F.col("p").alias("at"), F.least("c", "p").alias("low")))
+    for _ in range(walk.count().bit_length()):
+        on = walk.select(F.col("v").alias("at"), F.col("at").alias("further"), F.col("low").alias("lower"))
+        before, walk = walk, cut(walk.join(on, "at").select("v", F.col("further").alias("at"), F.least("low", "lower").alias("low")))
+        drop(before)  # ways that end are gone, the others have reached their cycle
+    leaders = walk.filter("v = low").join(walk.select(F.col("at").alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias("c"))
+    return best.join(leaders, "c", "left_anti")
+
+
+def siblings(links: DataFrame, pieces: int = PIECES) -> tuple[DataFrame, DataFrame]:
+    """``(v, p, sib)`` and ``(v, child)``: each child's next sibling and each parent's first child.
+
+    A parent's children are strung together in pieces by hash, then the pieces, so that no task holds one parent's children.
+    """
+    cut_up = links.withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(pieces)))
+    inside = cut_up.withColumn("sib", F.lead("v").over(Window.partitionBy("p", "piece").orderBy("v")))
+    heads = cut_up.groupBy("p", "piece").agg(F.min("v").alias("head"), F.max("v").alias("tail"))
+    row = Window.partitionBy("p").orderBy("piece")  # at most ``pieces`` rows for each parent
+    heads = heads.select("p", "head", F.col("tail").alias("v"), F.lead("head").over(row).alias("next"), F.row_number().over(row).alias("k"))
+    strung = inside.join(heads.filter("next IS NOT NULL").select("p", "v", "next"), ["p", "v"], "left")
+    return strung.select("v", "p", F.coalesce("sib", "next").alias("sib")), heads.filter("k = 1").select(F.col("p").alias("v"), F.col("head").alias("child"))
+
+
 def euler_intervals(forest: DataFrame) -> DataFrame:
     """``(v, p, root, high, low)`` of ``forest(v, p)``: a's subtree holds d iff a.low <= d.low and d.high <= a.high.
 
     Ranks count down to the end of the tree's tour. Every p must be a v; roots have null p.
     """
-    sib = forest.withColumn("sib", F.lead("v").over(Window.partitionBy("p").orderBy("v")))
-    sib = sib.withColumn("sib", F.when(F.col("p").isNotNull(), F.col("sib")))
-    first = forest.filter("p IS NOT NULL").groupBy("p").agg(F.min("v").alias("child")).withColumnRenamed("p", "v")
-    at = sib.join(first, "v", "left")
+    sib, first = siblings(forest.filter("p IS NOT NULL"))
+    at = sib.unionByName(forest.filter("p IS NULL").withColumn("sib", F.lit(None).cast("bigint"))).join(first, "v", "left")
     down, up = F.col("v") * 2, F.col("v") * 2 + 1
     arcs = at.select(
         F.explode(
@@ -74,7 +178,7 @@ def euler_intervals(forest: DataFrame) -> DataFrame:
         ).alias("a")
     ).select("a.id", "a.nxt", F.when(F.col("a.nxt").isNotNull(), 1).otherwise(0).cast("bigint").alias("dist"), F.when(F.col("a.nxt").isNull(), F.col("a.id")).alias("last"))
     ranked = rank_list(arcs)
-    both = ranked.groupBy(F.floor(F.col("id") / 2).alias("v")).agg(F.max("dist").alias("high"), F.min("dist").alias("low"), F.floor(F.max("last") / 2).alias("root"))
+    both = ranked.groupBy(F.shiftright("id", 1).alias("v")).agg(F.max("dist").alias("high"), F.min("dist").alias("low"), F.shiftright(F.max("last"), 1).alias("root"))
     return forest.join(both, "v").select("v", "p", "root", "high", "low")
 
 
@@ -96,10 +200,10 @@ class Hierarchy:
 
     def __init__(self, links: DataFrame, uids: DataFrame | None = None):
         links = cut(links.select(F.col("p").cast("bigint").alias("p"), F.col("c").cast("bigint").alias("c")).filter("p <> c").distinct())
-        best = links.groupBy("c").agg(F.max(F.when(F.col("p") < F.col("c"), F.col("p"))).alias("tp"))
+        best = cut(tree_parents(links))
         nodes = links.select(F.explode(F.array("p", "c")).alias("v"))
         nodes = (nodes if uids is None else nodes.unionByName(uids.select(F.col("v").cast("bigint").alias("v")))).distinct()
-        forest = cut(nodes.join(best.withColumnRenamed("c", "v"), "v", "left").select("v", F.col("tp").alias("p")))
+        forest = cut(nodes.join(best.withColumnRenamed("c", "v"), "v", "left").select("v", "p"))
         self.nodes = cut(euler_intervals(forest))
         self.tree = cut(interval_pairs(self.nodes))
         tree_links = forest.select(F.col("v").alias("c"), "p").filter("p IS NOT NULL")
@@ -135,7 +239,8 @@ class Hierarchy:
     def report(self) -> DataFrame:
         """``(uid, parent_uid, root_uid, depth, path, n_tree, n_ancestors, n_descendants, in_cycle)`` for every uid named by a link or in ``uids``.
 
-        Path, depth and root follow the tree parent; the path is root/.../uid. The counts of ancestors and
+        Path, depth and root follow the tree parent, the largest parent of a uid; a uid without any parent is a root, and so
+        is the smallest uid of a cycle that these links close. The path is root/.../uid. The counts of ancestors and
         descendants are over all links; in_cycle marks uids that descend from themselves.
         """
         up = self.tree.join(self.nodes.select(F.col("v").alias("a"), F.col("high").alias("h")), "a")

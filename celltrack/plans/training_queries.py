@@ -71,8 +71,11 @@ SQL: dict[str, str] = {
     "p4_found": P4_LINKS + """
 SELECT a AS ancestor_uid, u AS uid FROM r""",
     "p4_nodes": P4_LINKS + """,
-     n AS (SELECT p AS v FROM e UNION SELECT c FROM e),
-     t AS (SELECT c AS v, max(p) AS p FROM e WHERE p < c GROUP BY c),
+     n AS (SELECT p AS v FROM e UNION SELECT c FROM e UNION SELECT uid FROM linked WHERE uid > 0),
+     t0 AS (SELECT c AS v, max(p) AS p FROM e GROUP BY c),
+     step(v, u) AS (SELECT v, p FROM t0 UNION SELECT step.v, t0.p FROM step JOIN t0 ON step.u = t0.v),
+     lead(v) AS (SELECT v FROM step WHERE v IN (SELECT v FROM step WHERE v = u) GROUP BY v HAVING min(u) = v),
+     t AS (SELECT v, p FROM t0 WHERE v NOT IN (SELECT v FROM lead)),
      w(v, root, depth, path) AS (
        SELECT v, v, CAST(0 AS BIGINT), CAST(v AS VARCHAR) FROM n WHERE v NOT IN (SELECT v FROM t)
        UNION ALL SELECT t.v, w.root, w.depth + 1, w.path || '/' || t.v FROM w JOIN t ON t.p = w.v),

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from conftest import rows
 
+from pyspark.sql import functions as F
+
 from celltrack.operators import anomalies, compaction, drift, hierarchy, regular_grid
 
 
@@ -12,7 +14,8 @@ def test_ssa_fills_a_wave_and_keeps_readings():
     wave = np.sin(2 * np.pi * t / 12) * 3 + 10
     holes = wave.copy()
     holes[[7, 8, 20, 33, 34, 35]] = np.nan
-    out = regular_grid.ssa_fill([holes, np.full(5, np.nan), np.array([1.0, np.nan, 3.0])])
+    out, settled = regular_grid.ssa_fill([holes, np.full(5, np.nan), np.array([1.0, np.nan, 3.0])])
+    assert settled.all()
     assert np.abs(out[0] - wave).max() < 0.5 and (out[0][~np.isnan(holes)] == wave[~np.isnan(holes)]).all()
     assert np.isnan(out[1]).all() and out[2].tolist() == [1, 2, 3]
 
@@ -36,6 +39,33 @@ def test_long_and_far_gaps_come_out_once(spark):
     assert g.filled.sum() == 1002 and g[g.filled]["size"].notna().sum() == 2
 
 
+def test_fills_do_not_depend_on_batches_or_company(spark):
+    """One long source with gaps at every place of a stretch, among short ones."""
+    df = spark.range(9000).filter("id % 7 NOT IN (2, 3) AND NOT id BETWEEN 2000 AND 2100 AND NOT id BETWEEN 4050 AND 4400").selectExpr(
+        "CASE WHEN id >= 8000 THEN id div 40 ELSE 7 END AS uid", "timestamp_seconds(id * 600) AS timestamp", "sin(id / 5) + id % 3 AS size", "cos(id / 9) AS mean"
+    )
+    out = {}
+    for n in (300, 1000, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        out[n] = sorted(map(tuple, regular_grid.regular_grid(df, "uid", "timestamp", ("size", "mean")).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out[300] == out[1000] == out[10000]
+    alone = sorted(map(tuple, regular_grid.regular_grid(df.filter("uid = 7"), "uid", "timestamp", ("size", "mean")).collect()))
+    assert alone == [r for r in out[300] if r[0] == 7]
+    assert len(alone) == 8000 and sum(r[2] for r in alone) == 8000 - df.filter("uid = 7").count()
+    assert all((r[4] is None) == (4048 <= r[1] // 600 <= 4400) for r in alone)
+
+
+def test_unsettled_fills_are_told():
+    rng = np.random.default_rng(0)
+    v = np.where(rng.random(200) < 0.5, np.nan, rng.normal(size=200).cumsum())
+    old, regular_grid.ROUNDS = regular_grid.ROUNDS, 1
+    try:
+        assert not regular_grid.ssa_fill([v])[1][0]
+    finally:
+        regular_grid.ROUNDS = old
+
+
 def series(values):
     return np.zeros(len(values), int), np.array(values, float)
 
@@ -65,6 +95,36 @@ def test_flags_do_not_depend_on_chunks():
     assert set(np.flatnonzero(anomalies.flag_series(*series(v), 360.0))) == set(spikes)
 
 
+def test_flags_do_not_depend_on_batches(spark, monkeypatch):
+    """Crowded sources in blocks of fixed rows, among small ones, whatever the batches."""
+    df = spark.range(12000).selectExpr(
+        "CASE WHEN id < 7000 THEN 1.0D WHEN id < 9500 THEN 2.0D ELSE double(id div 9) END AS iuid", "int(id div 6) AS frame", "int(id % 6) AS cidx",
+        "sin(id) + CASE WHEN id % 977 = 11 THEN 400 WHEN id BETWEEN 500 AND 520 THEN 0 ELSE 0 END AS u", "CASE WHEN id % 1500 < 7 THEN 0.25D ELSE rand(3) END AS w",
+    ).union(spark.createDataFrame([(1.0, 3, 2, None, 5.0)], "iuid double, frame int, cidx int, u double, w double"))
+    monkeypatch.setattr(anomalies, "PIECE_FRAMES", 100000)
+    out = {}
+    for n, batch, block in ((300, 500, 1 << 17), (10000, 60000, 1 << 17), (300, 500, 700), (1000, 3000, 700), (10000, 60000, 700)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        monkeypatch.setattr(anomalies, "BATCH_ROWS", batch)
+        monkeypatch.setattr(anomalies, "BLOCK_ROWS", block)
+        monkeypatch.setattr(anomalies, "BLOCK_CONTEXT", 256)
+        out[n, block] = rows(anomalies.flag_implausible(df, "iuid", ("frame", "cidx"), {"u": 1e3, "w": 1e3}))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out[300, 1 << 17] == out[10000, 1 << 17] and out[300, 700] == out[1000, 700] == out[10000, 700]
+    spikes = {(i // 6, i % 6, "u") for i in range(12000) if i % 977 == 11 and i < 9500}
+    frozen = {(i // 6, i % 6, "w") for i in range(9500) if i % 1500 < 7}
+    for got in out.values():
+        assert spikes <= got and frozen <= got
+
+
+def test_frozen_within_a_tolerance():
+    v = np.r_[np.arange(5.0), 7 + np.arange(6) * 1e-10, np.nan, np.inf, np.inf, 3.0]
+    s = np.zeros(len(v), int)
+    assert not anomalies.stuck(v, s).any()
+    assert np.flatnonzero(anomalies.stuck(v, s, tolerance=1e-9)).tolist() == [5, 6, 7, 8, 9, 10]
+    assert np.flatnonzero(anomalies.stuck(np.full(6, 2.0), np.array([0, 1, 1, 1, 1, 1]))).tolist() == [1, 2, 3, 4, 5]
+
+
 def test_track_anomalies_in_tables(spark):
     v = [0.1, 0.11, 0.1, 0.09, 5.0, 0.1, 0.11, 0.1, 0.09, 0.1, None]
     sp = spark.createDataFrame([(i, 0, x, 500.0 if i == 2 else 0.1, float("nan") if i == 3 else float(i % 3)) for i, x in enumerate(v)], "frame int, cidx int, u_ double, v_ double, expansion double").selectExpr("*", "1 AS src", "2 AS piece")
@@ -89,42 +149,80 @@ def test_copies(spark):
 
 
 def small_table(spark, path):
-    df = spark.createDataFrame([(i, 0, i, i % 5, [1], f"linked/{i}") for i in range(60)] + [(3, 0, 3, 3, [1], "linked/again")], LINK)
-    df = df.withColumn("part", compaction.partition_of(df["frame"] * 40))
-    df.repartition(30).write.partitionBy("part").parquet(str(path))
-    return compaction.StoredTable(spark, str(path))
+    df = spark.createDataFrame([(i * 40, 0, i, i % 5, [1], f"linked/{i}") for i in range(60)] + [(120, 0, 3, 3, [1], "linked/again")], LINK)
+    t = compaction.StoredTable(spark, str(path), df.schema)
+    t.append(df.repartition(30))
+    return t
+
+
+def per_part(t):
+    return {r["part"]: r["count"] for r in t.files().groupBy("part").count().collect()}
 
 
 def test_compaction_keeps_each_record_once(spark, tmp_path):
     t = small_table(spark, tmp_path / "t")
-    before = {r["part"]: r["n"] for r in t.files("part").groupBy("part").count().withColumnRenamed("count", "n").collect()}
+    before, old = per_part(t), t.snapshot()
     untouched = [p for p, n in before.items() if n <= 3]
     done = compaction.compact(t, "linked", max_small=3).collect()
-    assert {r["part"] for r in done} == {p for p, n in before.items() if n > 3}
-    assert all(r["files_after"] == 1 and r["version"] == 1 for r in done)
-    assert t.read().count() == 60 + (1 if 0 in untouched else 0) and t.snapshot().version == 1
-    assert compaction.compact(t, "linked", max_small=3).count() == 0
+    assert {r["part"] for r in done} == {p for p, n in before.items() if n > 3 or p == 0}
+    assert all(r["files_after"] == 1 and r["version"] == 2 and r["files_before"] == before[r["part"]] for r in done)
+    assert t.read().count() == 60 and t.snapshot().version == 2
+    assert {p: n for p, n in per_part(t).items() if p in untouched and p} == {p: before[p] for p in untouched if p}
+    assert t.read(old).count() == 61  # the earlier snapshot can still be read
+    assert compaction.compact(t, "linked", max_small=3).count() == 0 and t.snapshot().version == 2
+    kept = sorted(map(str, t.read().collect()))
+    assert t.vacuum(keep=1) == len(done) and sorted(map(str, t.read().collect())) == kept
 
 
 def test_compaction_gives_way_to_another_writer(spark, tmp_path):
     t = small_table(spark, tmp_path / "t")
+    late = spark.createDataFrame([(0, 9, 99, 9, [9], "linked/new")], LINK)
+    with pytest.raises(compaction.Conflict):
+        compaction.compact(t, "linked", max_small=3, before_publish=lambda: t.append(late))
+    assert t.read().count() == 62 and t.snapshot().version == 2  # the appended record stays, nothing was rewritten
+    assert t.vacuum() > 0 and t.read().count() == 62
 
-    def other():
-        spark.createDataFrame([(0, 9, 99, 9, [9], "linked/new")], LINK).selectExpr("*", "0 AS part").write.mode("append").partitionBy("part").parquet(t.path)
 
-    with pytest.raises(compaction.Conflict):
-        compaction.compact(t, "linked", max_small=3, before_publish=other)
-    assert t.read().count() == 62 and t.snapshot().version == 0
-    with pytest.raises(compaction.Conflict):
-        compaction.compact(t, "linked", max_small=3, before_publish=lambda: t.claim(t.snapshot(), {}))
+def test_compaction_keeps_what_was_appended_elsewhere(spark, tmp_path):
+    t = small_table(spark, tmp_path / "t")
+    late = spark.createDataFrame([(99999, 9, 99, 9, [9], "linked/new")], LINK)
+    done = compaction.compact(t, "linked", max_small=3, before_publish=lambda: t.append(late)).collect()
+    assert done and all(r["version"] == 3 for r in done)
+    assert t.read().count() == 61 and t.read().filter("frame = 99999").count() == 1
+
+
+def test_a_crash_before_publishing_changes_nothing(spark, tmp_path):
+    t = small_table(spark, tmp_path / "t")
+    before = sorted(map(str, t.read().collect()))
+
+    def crash():
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        compaction.compact(t, "linked", max_small=3, before_publish=crash)
+    assert t.snapshot().version == 1 and sorted(map(str, t.read().collect())) == before
+    assert compaction.compact(t, "linked", max_small=3).count() > 0 and t.read().count() == 60
+
+
+def test_compacted_files_have_the_size_asked_for(spark, tmp_path):
+    df = spark.range(60000).selectExpr("cast(id % 200 as int) AS frame", "cast(id as int) AS cidx", "cast(hash(id) as bigint) AS cindex", "xxhash64(id) AS uid", "array(xxhash64(id, 1)) AS prv_mrg_uids", "concat('linked/', id % 7) AS file")
+    t = compaction.StoredTable(spark, str(tmp_path / "t"), df.schema)
+    t.append(df.repartition(20))
+    target = 200_000
+    compaction.compact(t, "linked", target_bytes=target)
+    sizes = [(r["part"], r.file_size) for r in t.files().collect()]
+    assert len(sizes) > 6 and t.read().count() == 60000
+    assert all(target / 2 <= n <= target * 2 for _, n in sizes), sizes
 
 
 def test_compaction_merges_copies_whatever_the_number_of_files(spark, tmp_path):
-    df = spark.createDataFrame([(1, 0, 1, 1, [1], "linked/a"), (1, 0, 1, 1, [1], "linked/b"), (300, 0, 2, 1, [1], "linked/a")], LINK)
-    df.withColumn("part", compaction.partition_of(df["frame"])).coalesce(1).write.partitionBy("part").parquet(str(tmp_path / "t"))
-    t = compaction.StoredTable(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame([(1, 0, 1, 1, [1], "linked/a"), (1, 0, 1, 1, [1], "linked/b"), (300, 0, 2, 1, [1], "linked/a"), (None, 0, 3, None, None, None)], LINK)
+    t = compaction.StoredTable(spark, str(tmp_path / "t"), df.schema)
+    t.append(df.coalesce(1))
     assert [r["part"] for r in compaction.compact(t, "linked").collect()] == [0]
-    assert t.read().count() == 2 and rows(t.merged()) == {(1, 0, 2)}
+    assert t.read().count() == 3 and rows(t.merged()) == {(1, 0, 2)}
+    t.append(df.limit(1))  # a copy that comes later is merged by the next rewrite
+    assert [r["part"] for r in compaction.compact(t, "linked").collect()] == [0] and t.read().count() == 3
 
 
 def test_found_copies_come_from_the_rewrite(spark, data):
@@ -135,7 +233,7 @@ def test_found_copies_come_from_the_rewrite(spark, data):
     for stage, df in (("features", features), ("linked", linked)):
         t, done = compaction.consolidate(stage, df)
         copies = compaction.record_copies(stage, df).cache()
-        assert done.count() and t.snapshot().version == 1
+        assert done.count() and t.snapshot().version == 2
         assert t.read().count() == copies.count() and compaction.record_copies(stage, t.read().drop("part")).filter("copies > 1").isEmpty()
     assert compaction.merged_records(features.limit(0), linked.limit(0)).isEmpty()
 
@@ -191,6 +289,53 @@ def test_hierarchy_pairs(spark, seed):
         assert rep[100].n_tree == 150 and rep[250].n_ancestors == 150
 
 
+def test_tree_parents_need_no_order_of_ids(spark):
+    h = hierarchy.Hierarchy(spark.createDataFrame([(9, 5), (5, 3), (3, 1)], "p bigint, c bigint"))
+    got = {r.uid: (r.root_uid, r.depth, r.path, r.parent_uid, r.n_tree) for r in h.report().collect()}
+    assert got == {9: (9, 0, "9", None, 3), 5: (9, 1, "9/5", 9, 2), 3: (9, 2, "9/5/3", 5, 1), 1: (9, 3, "9/5/3/1", 3, 0)}
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_only_leaders_of_cycles_lack_a_parent(spark, seed):
+    rng = np.random.default_rng(seed)
+    links = {(int(a), int(b)) for a, b in rng.integers(1, 60, (55, 2)) if a != b} | {(200, 201), (201, 202), (202, 200), (202, 203), (203, 204), (4 * 10**18 - 1, 4 * 10**18 - 3)}
+    rep = {r.uid: r for r in hierarchy.Hierarchy(spark.createDataFrame(sorted(links), "p bigint, c bigint")).report().collect()}
+    top = {c: max(p for p, x in links if x == c) for c in {c for _, c in links}}
+    for uid, r in rep.items():
+        line, at = [uid], uid
+        while at in top and top[at] not in line:
+            at = top[at]
+            line.append(at)
+        ring = line[line.index(top[at]) :] if at in top else []
+        leads = uid in ring and uid == min(ring)
+        assert r.parent_uid == (None if leads else top.get(uid)), uid
+        assert (r.parent_uid is None) == (r.depth == 0) == (r.root_uid == uid) and r.path.endswith(str(uid))
+        assert r.path.count("/") == r.depth and r.path.startswith(str(r.root_uid))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_core_holds_every_cycle_and_no_tree(spark, seed):
+    rng = np.random.default_rng(seed)
+    links = {(int(a), int(b)) for a, b in rng.integers(1, 50, (60, 2)) if a != b} | {(1000 + i, 1001 + i) for i in range(40)} | {(300, 301), (301, 300)}
+    reach = closure(links)
+    core = {r.v for r in hierarchy.cyclic_core(spark.createDataFrame(sorted(links), "p bigint, c bigint")).collect()}
+    cycle = {a for a, b in reach if a == b}
+    between = {v for v in {x for e in links for x in e} if any((a, v) in reach for a in cycle) and any((v, a) in reach for a in cycle)}
+    assert core == cycle | between
+
+
+def test_children_of_one_parent_are_strung_together_in_pieces(spark):
+    links = spark.range(2, 700).select(F.lit(1).cast("bigint").alias("p"), F.col("id").alias("v"))
+    sib, first = hierarchy.siblings(links, pieces=8)
+    after = {r.v: r.sib for r in sib.collect()}
+    ((top, at),) = [tuple(r) for r in first.collect()]
+    seen = []
+    while at is not None:
+        seen.append(at)
+        at = after[at]
+    assert top == 1 and sorted(seen) == list(range(2, 700))
+
+
 def test_parent_links_leave_out_marks(spark):
     df = spark.createDataFrame([(1, [2, None, -999, 0, 1], float("nan")), (1, None, 3.0), (None, [5], None), (4, None, None), (0, [5], None)], "uid bigint, prv_mrg_uids array<bigint>, prv_spl_uid double").selectExpr("*", "9 AS p")
     assert rows(hierarchy.parent_links(df)) == {(2, 1), (3, 1)}
@@ -201,7 +346,7 @@ def test_uids_without_links_are_nodes(spark):
     df = spark.createDataFrame([(1, [2], None), (7, None, None), (7, [], float("nan")), (0, None, None), (None, None, None)], "uid bigint, prv_mrg_uids array<bigint>, prv_spl_uid double")
     report = hierarchy.Hierarchy(hierarchy.parent_links(df), hierarchy.usable_uids(df)).report()
     assert {(r.uid, r.parent_uid, r.root_uid, r.depth, r.path, r.n_tree, r.n_ancestors, r.n_descendants, r.in_cycle) for r in report.collect()} == {
-        (1, None, 1, 0, "1", 0, 1, 0, False), (2, None, 2, 0, "2", 0, 0, 1, False), (7, None, 7, 0, "7", 0, 0, 0, False),
+        (1, 2, 2, 1, "2/1", 0, 1, 0, False), (2, None, 2, 0, "2", 1, 0, 1, False), (7, None, 7, 0, "7", 0, 0, 0, False),
     }
 
 
