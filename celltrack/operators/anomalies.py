@@ -29,13 +29,19 @@ FEW = 6.0  # readings by which the spread of a short source is widened
 CHUNK, CONTEXT = 512, 64
 PIECE_FRAMES, PIECE_CONTEXT = 2048, 128
 BATCH_ROWS = 60_000
+BLOCK_ROWS, BLOCK_CONTEXT = 1 << 17, 1024
 
 
-def stuck(value: np.ndarray, series: np.ndarray, least: int = STUCK) -> np.ndarray:
-    """Members of runs of ``least`` or more equal consecutive values of one series."""
+def stuck(value: np.ndarray, series: np.ndarray, least: int = STUCK, tolerance: float = 0.0) -> np.ndarray:
+    """Members of runs of ``least`` or more readings of one series over which the innovation variance vanishes.
+
+    The innovations of a random walk are its steps; their variance over a window vanishes when none exceeds ``tolerance``,
+    which at 0 means equal values.
+    """
     if not len(value):
         return np.zeros(0, bool)
-    new = np.r_[True, (value[1:] != value[:-1]) | (series[1:] != series[:-1])]
+    with np.errstate(invalid="ignore", over="ignore"):
+        new = np.r_[True, ~(np.abs(value[1:] - value[:-1]) <= tolerance) | (series[1:] != series[:-1])]
     run = np.cumsum(new) - 1
     return np.bincount(run)[run] >= least
 
@@ -138,8 +144,9 @@ def flag_implausible(readings: DataFrame, source: str, order: tuple[str, str], l
     """
     a, b = order
     fields = list(limits)
+    names = [f"f{i}" for i in range(len(fields))]
     base = (
-        readings.select(F.col(source).alias("src"), F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"), *(F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(fields)))
+        readings.select(F.col(source).alias("src"), F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"), *(F.col(f).cast("double").alias(n) for f, n in zip(fields, names)))
         .filter(F.col("src").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
         .withColumn(
             "piece",
@@ -151,26 +158,28 @@ def flag_implausible(readings: DataFrame, source: str, order: tuple[str, str], l
             ),
         )
         .repartition("src", "piece")
-        .sortWithinPartitions("src", "piece", "a", "b")
+        .dropDuplicates(["src", "piece", "a", "b", *names])
+        .sortWithinPartitions("src", "piece", "a", "b", *names)
     )
 
-    def judge(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rows = rows.drop_duplicates(ignore_index=True)
+    def judge(rows: pd.DataFrame, lo: int, hi: int) -> Iterator[pd.DataFrame]:
+        """Flags of rows lo to hi; the others are context."""
         src, piece = rows["src"].to_numpy(), rows["piece"].to_numpy()
         number = np.cumsum(np.r_[True, (src[1:] != src[:-1]) | (piece[1:] != piece[:-1])])
         home = rows["a"].to_numpy() // PIECE_FRAMES == piece
-        for i, f in enumerate(fields):
-            v = rows[f"f{i}"].to_numpy(float)
-            there = rows[f"h{i}"].to_numpy(bool)
-            at = np.flatnonzero(there)
+        home[:lo] = home[hi:] = False
+        for n, f in zip(names, fields):
+            v = rows[n].to_numpy(float)
+            at = np.flatnonzero(rows["h" + n].to_numpy(bool))
             hit = at[flag_series(number[at], v[at], limits[f], threshold)]
             hit = hit[home[hit]]
             if len(hit):
                 yield pd.DataFrame({"a": rows["a"].to_numpy()[hit], "b": rows["b"].to_numpy()[hit], "field": f})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole pieces together; one of more than ``BLOCK_ROWS`` rows in blocks cut at fixed numbers of its rows."""
         held: list[pd.DataFrame] = []
-        size = 0
+        size, done, skip = 0, 0, 0  # of the piece at hand: rows judged, of them kept as context
         for b in batches:
             held.append(b)
             size += len(b)
@@ -178,21 +187,43 @@ def flag_implausible(readings: DataFrame, source: str, order: tuple[str, str], l
                 continue
             rows = pd.concat(held, ignore_index=True)
             src, piece = rows["src"].to_numpy(), rows["piece"].to_numpy()
-            other = np.flatnonzero((src != src[-1]) | (piece != piece[-1]))
-            closed = int(other[-1]) + 1 if len(other) else 0
-            if closed:
-                yield from judge(rows.iloc[:closed])
-                held = [rows.iloc[closed:]]
-            elif size > 4 * BATCH_ROWS:  # one crowded source: give it out, keep a run-in
-                yield from judge(rows)
-                held = [rows.iloc[-4 * CONTEXT :]]
-            else:
-                held = [rows]
+            begins = np.r_[0, np.flatnonzero((src[1:] != src[:-1]) | (piece[1:] != piece[:-1])) + 1]
+            calm = 0  # whole small pieces up to here
+            for k, start in enumerate(begins.tolist()):
+                end = int(begins[k + 1]) if k + 1 < len(begins) else None
+                own = (end if end is not None else len(rows)) - start
+                if end is not None and not done and own <= BLOCK_ROWS + BLOCK_CONTEXT:
+                    continue
+                if start > calm:
+                    yield from judge(rows.iloc[calm:start], 0, start - calm)
+                part = rows.iloc[start : start + own]
+                while len(part) - skip > BLOCK_ROWS + BLOCK_CONTEXT:
+                    yield from judge(part.iloc[: skip + BLOCK_ROWS + BLOCK_CONTEXT], skip, skip + BLOCK_ROWS)
+                    done += BLOCK_ROWS
+                    part = part.iloc[skip + BLOCK_ROWS - BLOCK_CONTEXT :]
+                    skip = BLOCK_CONTEXT
+                if end is None:
+                    held = [part]
+                    calm = len(rows)
+                else:
+                    yield from judge(part, skip, len(part))
+                    done, skip, calm = 0, 0, end
             size = sum(map(len, held))
         if size:
-            yield from judge(pd.concat(held, ignore_index=True))
-
-    present = base.withColumns({f"h{i}": F.col(f"f{i}").isNotNull() for i in range(len(fields))})
+            rows = pd.concat(held, ignore_index=True)
+            src, piece = rows["src"].to_numpy(), rows["piece"].to_numpy()
+            other = np.flatnonzero((src != src[0]) | (piece != piece[0]))
+            own = int(other[0]) if len(other) else len(rows)
+            part = rows.iloc[:own]
+            while len(part) - skip > BLOCK_ROWS + BLOCK_CONTEXT:
+                yield from judge(part.iloc[: skip + BLOCK_ROWS + BLOCK_CONTEXT], skip, skip + BLOCK_ROWS)
+                part = part.iloc[skip + BLOCK_ROWS - BLOCK_CONTEXT :]
+                skip = BLOCK_CONTEXT
+            yield from judge(part, skip, len(part))
+            if own < len(rows):
+                yield from judge(rows.iloc[own:], 0, len(rows) - own)
+
+    present = base.withColumns({"h" + n: F.col(n).isNotNull() for n in names})
     return present.mapInPandas(walk, "a bigint, b bigint, field string").distinct().select(F.col("a").cast("int").alias(a), F.col("b").cast("int").alias(b), "field")
 
 
