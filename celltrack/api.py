@@ -11,17 +11,29 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from celltrack.config import TrackConfig
 from celltrack.functions import outline
+from celltrack.functions import physics as ph
 from celltrack.operators import forecast as fc
 from celltrack.operators import imaging
 from celltrack.operators import tracking as T
 from celltrack.runtime import cut
 
 
+def wildcards(df: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """Columns by name or by a beginning that ends in ``*``, each once; an unknown plain name is an error."""
+    out: list[str] = []
+    for n in names:
+        found = [c for c in df.columns if c.startswith(n[:-1])] if n.endswith("*") else [n]
+        if found == [n] and n not in df.columns:
+            raise KeyError(n)
+        out += [c for c in found if c not in out]
+    return out
+
+
 class Tracker:
     def __init__(self, cells: DataFrame, frames: DataFrame, cfg: TrackConfig):
         self.cells, self.frames, self.cfg = cells, frames, cfg
@@ -67,6 +79,11 @@ class Tracker:
     def links(self) -> DataFrame:
         return cut(T.link(self.feats, self.ev, self.nested, self.frames, self.cfg))
 
+    @cached_property
+    def previous(self) -> DataFrame:
+        """The ids that clusters merged or split off from."""
+        return T.previous_ids(self.links, self.ev)
+
     @cached_property
     def fars(self) -> DataFrame:
         return cut(T.far_counts(self.labelled, self.ev, self.vecs, self.cfg))
@@ -93,6 +110,21 @@ class Tracker:
         """The tracking table after partners across the border share uid, iuid and status."""
         return T.share_identity(self.tracks, self.partners)
 
+    def table(self, columns: tuple[str, ...] | None = None, file_pattern: str = "yyyyMMdd_HHmmss'.parquet'") -> DataFrame:
+        """The whole tracking table: pixel lists, outline, speed and direction, previous ids and border marks besides ``tracks``.
+
+        ``columns`` picks some; a name that ends in ``*`` stands for every column that begins so. Clusters of a frame and
+        level are numbered from 1 in order of their labels in ``cluster_id``; ``file`` is the frame's time by ``file_pattern``.
+        """
+        t = self.joined_tracks if self.cfg.edges else self.tracks.withColumn("board", F.lit(False))
+        u, v = F.col("u_"), F.col("v_")
+        t = t.join(self.previous, T.KEY, "left").join(T.pixel_arrays(self.labelled), T.KEY).join(self.outlines().select(*T.KEY, "geometry"), T.KEY)
+        t = t.withColumns({
+            "cluster_id": F.row_number().over(Window.partitionBy("frame", "level").orderBy("label")).cast("bigint"),
+            "file": F.date_format("ts", file_pattern), "speed": ph.magnitude(u, v), "dir": ph.angle(u, v),
+        })
+        return t if columns is None else t.select(*wildcards(t, columns))
+
     def outlines(self) -> DataFrame:
         return outline.outlines(T.pixel_arrays(self.labelled), self.cfg.grid)
 

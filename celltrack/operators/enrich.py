@@ -10,8 +10,8 @@ def asof(left: DataFrame, times: DataFrame, mode: str = "nearest", tolerance_min
     """``left`` with ``match_ts``: the entry of ``times(ts)`` that belongs to each row, null where none does.
 
     nearest: smallest distance, the earlier on a tie, within the tolerance if one is given. fixed: equal times only.
-    The times before and after each row come from one sweep over the distinct times of both sides, so no pair of
-    rows is ever formed; ``times`` and the distinct times of ``left`` are one row for each time step.
+    The times before and after each row come from a sweep over the distinct times of both sides day by day, and from
+    the last and first times of other days, so no pair of rows is ever formed and only days meet in one task.
     """
     known = times.select(F.col("ts").alias("k")).filter("k IS NOT NULL").distinct()
     if mode == "fixed":
@@ -19,10 +19,14 @@ def asof(left: DataFrame, times: DataFrame, mode: str = "nearest", tolerance_min
     if mode != "nearest":
         raise ValueError("mode must be nearest or fixed")
     both = left.select(F.col(ts).alias("t"), F.lit(None).cast("timestamp_ntz").alias("k")).filter("t IS NOT NULL").distinct().unionByName(known.select(F.col("k").alias("t"), "k"))
-    w = Window.orderBy("t")
-    near = both.groupBy("t").agg(F.max("k").alias("k"), F.count(F.when(F.col("k").isNull(), 1)).alias("asked")).select(
-        "t", "asked", F.last("k", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("lo"), F.first("k", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("hi")
+    each = both.groupBy("t").agg(F.max("k").alias("k"), F.count(F.when(F.col("k").isNull(), 1)).alias("asked")).withColumn("day", F.to_date("t"))
+    w = Window.partitionBy("day").orderBy("t")
+    inside = each.select("day", "t", "asked", F.last("k", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("lo"), F.first("k", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("hi"))
+    days = Window.orderBy("day")  # one row for each day
+    carried = each.groupBy("day").agg(F.max("k").alias("last"), F.min("k").alias("first")).select(
+        "day", F.last("last", True).over(days.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(days.rowsBetween(1, Window.unboundedFollowing)).alias("after")
     )
+    near = inside.join(carried, "day").select("t", "asked", F.coalesce("lo", "before").alias("lo"), F.coalesce("hi", "after").alias("hi"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     down, up = micros("t") - micros("lo"), micros("hi") - micros("t")
     best = F.when(F.col("hi").isNull() | (down <= up), F.col("lo")).otherwise(F.col("hi"))

@@ -271,27 +271,65 @@ def _code(frame: str, label: str) -> Column:
 
 
 def follow(nodes: DataFrame) -> DataFrame:
-    """``(id, root, weight, path)`` of ``nodes(id, parent, weight, point)``: pointer doubling to the root.
+    """``(id, root, weight, depth)`` of ``nodes(id, parent, weight)``: pointer doubling to the root.
 
-    ``weight`` adds up over the steps; ``path`` lists the points from the root. As many joins as the logarithm of
-    the longest chain.
+    ``weight`` adds up over the ``depth`` steps. As many joins as the logarithm of the longest chain; rows stay narrow.
     """
-    state = cut(nodes.select("id", F.coalesce("parent", "id").alias("root"), F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.col("weight")).cast("bigint").alias("weight"), F.array("point").alias("path"), F.col("parent").isNull().alias("done")))
+    top = F.col("parent").isNull()
+    state = cut(nodes.select("id", F.coalesce("parent", "id").alias("root"), F.when(top, F.lit(0)).otherwise(F.col("weight")).cast("bigint").alias("weight"), F.when(top, 0).otherwise(1).cast("bigint").alias("depth"), top.alias("done")))
     while not state.filter("NOT done").isEmpty():
-        up = state.select(F.col("id").alias("root"), F.col("root").alias("r2"), F.col("weight").alias("w2"), F.col("path").alias("p2"), F.col("done").alias("d2"))
-        step = state.filter("NOT done").join(up, "root").select("id", F.col("r2").alias("root"), (F.col("weight") + F.col("w2")).alias("weight"), F.concat("p2", "path").alias("path"), F.col("d2").alias("done"))
+        up = state.select(F.col("id").alias("root"), F.col("root").alias("r2"), F.col("weight").alias("w2"), F.col("depth").alias("n2"), F.col("done").alias("d2"))
+        step = state.filter("NOT done").join(up, "root").select("id", F.col("r2").alias("root"), (F.col("weight") + F.col("w2")).alias("weight"), (F.col("depth") + F.col("n2")).alias("depth"), F.col("d2").alias("done"))
         before, state = state, cut(state.filter("done").unionByName(step))
         drop(before)
     return state.drop("done")
 
 
+def trails(nodes: DataFrame) -> DataFrame:
+    """``(id, root, weight, path)`` of ``nodes(id, parent, weight, point)``: what adds up and the points passed from the root.
+
+    A parent's smallest heir carries its line on; the lines are ranked first and their points gathered once, in order. Lines
+    that begin at another heir hang on a node of an earlier line and take over what lies before it, line upon line.
+    """
+    heirs = nodes.filter("parent IS NOT NULL").groupBy("parent").agg(F.min("id").alias("heir"))
+    ranked = follow(nodes.join(heirs, "parent", "left").select("id", F.when(F.col("heir") == F.col("id"), F.col("parent")).alias("parent"), "weight"))
+    along = Window.partitionBy("line").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.select("id", F.col("root").alias("line"), F.col("weight").alias("sum"), "depth")
+    placed = cut(nodes.join(ranked, "id").select("id", "parent", "weight", "line", "sum", F.collect_list("point").over(along).alias("path")))
+    hung = cut(placed.filter("id = line AND parent IS NOT NULL").select("line", F.col("parent").alias("hang"), F.col("weight").alias("step")))
+    if hung.isEmpty():
+        return placed.select("id", F.col("line").alias("root"), F.col("sum").alias("weight"), "path")
+    free = placed.filter("id = line AND parent IS NULL")
+    known = cut(free.select("line", F.col("line").alias("root"), F.lit(0).cast("bigint").alias("before"), F.array_except("path", "path").alias("prefix")))
+    while not hung.isEmpty():
+        at = placed.select(F.col("id").alias("hang"), F.col("line").alias("up"), "sum", "path")
+        new = hung.join(at, "hang").join(known.withColumnRenamed("line", "up"), "up")
+        new = cut(new.select("line", "root", (F.col("before") + F.col("sum") + F.col("step")).alias("before"), F.concat("prefix", "path").alias("prefix")))
+        if new.isEmpty():
+            break  # parents that are no nodes
+        known, hung = cut(known.unionByName(new)), cut(hung.join(new.select("line"), "line", "left_anti"))
+    return placed.join(known, "line").select("id", "root", (F.col("before") + F.col("sum")).alias("weight"), F.concat("prefix", "path").alias("path"))
+
+
+def number_in_order(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, ... in ascending order of the distinct values of ``key``.
+
+    Rows are spread by ranges of the key and numbered within each range; only the ranges' sizes meet in one task.
+    """
+    spread = cut(rows.repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
+    sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row for each range
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = spread.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
+    return ranked.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__k")).cast("bigint")).drop("__part", "__k", "__before")
+
+
 def link(feats: DataFrame, ev: DataFrame, nested: DataFrame, frames: DataFrame, cfg: TrackConfig) -> DataFrame:
-    """``(frame, level, label, cindex, uid, iuid, lifetime, n_points, trajectory)`` of every cluster.
+    """``(frame, level, label, cindex, uid, iuid, inner, lifetime, n_points, trajectory)`` of every cluster.
 
     A row inherits from its past unless its status says NEW. Level-0 roots are numbered by (frame, label). Higher
-    levels take the uid of the level-0 cluster around them, or a number after all others where none is; their iuid adds a
-    fixed-width rank and lasts as long as the uid does. cindex has a gap for each empty frame. The numbering windows
-    without partition run over roots and frames only.
+    levels take the uid of the level-0 cluster around them, or a number after all others where none is; their iuid adds
+    ``inner``, the rank of their inner track within the uid, in digits enough for the largest rank (four at least), and
+    lasts as long as the uid does. cindex has a gap for each empty frame. The one window without partition runs over frames.
     """
     ts = frames.select("frame", "ts")
     pts = ts.select(F.col("frame").alias("prev_frame"), F.col("ts").alias("__pts"))
@@ -300,44 +338,59 @@ def link(feats: DataFrame, ev: DataFrame, nested: DataFrame, frames: DataFrame,
     gap = F.timestamp_diff("MINUTE", F.col("__pts"), F.col("ts"))
     parent = F.when(chained, _code("prev_frame", "past_label"))
     weight = F.when(chained, gap)
-    point = F.struct(F.col("frame"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     if cfg.preserv_split:
         life_parent = F.coalesce(parent, F.when(F.col("split_parent").isNotNull(), _code("prev_frame", "split_parent")))
-        lives = follow(at.select(_code("frame", "label").alias("id"), life_parent.alias("parent"), F.coalesce(weight, F.lit(0)).alias("weight"), point.alias("point"))).select("id", F.col("weight").alias("life"))
-    roots = follow(at.select(_code("frame", "label").alias("id"), parent.alias("parent"), weight.alias("weight"), point.alias("point")))
+        lives = follow(at.select(_code("frame", "label").alias("id"), life_parent.alias("parent"), F.coalesce(weight, F.lit(0)).alias("weight"))).select("id", F.col("weight").alias("life"))
+    point = F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))
+    roots = cut(trails(at.select(_code("frame", "label").alias("id"), parent.alias("parent"), weight.cast("bigint").alias("weight"), point.alias("point"))))
     if not cfg.preserv_split:
         lives = roots.select("id", F.col("weight").alias("life"))
-    rows = at.select(*KEY, _code("frame", "label").alias("id"), parent.alias("parent")).join(roots.select("id", "root", "path"), "id").join(lives, "id")
-    base_roots = rows.filter("level = 0 AND id = root").select("root").withColumn("base_uid", F.row_number().over(Window.orderBy("root")) + (cfg.initial_uid - 1))
-    base = rows.filter("level = 0").join(base_roots, "root").select("frame", F.col("label").alias("b_label"), F.col("base_uid").cast("bigint").alias("uid0"))
+    rows = cut(at.select(*KEY, _code("frame", "label").alias("id"), parent.alias("parent")).join(roots.select("id", "root", "path"), "id").join(lives, "id"))
+    base_roots = number_in_order(rows.filter("level = 0 AND id = root").select("root"), "root", "base_uid").withColumn("base_uid", F.col("base_uid") + (cfg.initial_uid - 1))
+    base_roots = cut(base_roots)
+    base = rows.filter("level = 0").select("frame", F.col("label").alias("b_label"), "root").join(base_roots, "root").select("frame", "b_label", F.col("base_uid").alias("uid0"))
     around = nested.filter("level = 0").select("frame", F.col("in_level").alias("level"), F.col("in_label").alias("label"), F.col("label").alias("b_label"))
-    known = rows.join(around, KEY, "left").withColumn("b_label", F.when(F.col("level") == 0, F.col("label")).otherwise(F.col("b_label"))).join(base, ["frame", "b_label"], "left")
-    known = cut(known.select(*KEY, "id", "parent", "root", "path", "life", "uid0"))
+    narrow = rows.select(*KEY, "id", "parent", "root").join(around, KEY, "left").withColumn("b_label", F.when(F.col("level") == 0, F.col("label")).otherwise(F.col("b_label"))).join(base, ["frame", "b_label"], "left")
+    known = cut(narrow.select(*KEY, "id", "parent", "root", "uid0"))
     most = cfg.initial_uid - 1 + base_roots.count()
-    loose = known.filter("uid0 IS NULL AND id = root").select("root").withColumn("__k", F.row_number().over(Window.orderBy("root")))
-    loose = loose.select("root", (F.col("__k") + most).cast("bigint").alias("loose_uid"))
+    loose = number_in_order(known.filter("uid0 IS NULL AND id = root").select("root"), "root", "loose_uid").withColumn("loose_uid", F.col("loose_uid") + most)
     known = cut(known.join(loose, "root", "left").withColumn("uid", F.coalesce("uid0", "loose_uid")))
     # a loose chain whose root was inside a base cluster keeps that root's uid
     rooted = known.filter("id = root").select("root", F.col("uid").alias("root_uid"))
     known = cut(known.join(rooted, "root").withColumn("uid", F.coalesce("uid", "root_uid")))
     up = known.select(F.col("id").alias("parent"), F.col("uid").alias("p_uid"))
-    inner = known.filter("level > 0").join(up, "parent", "left")
-    same = follow(inner.select("id", F.when(F.col("p_uid") == F.col("uid"), F.col("parent")).alias("parent"), F.lit(0).alias("weight"), F.lit(0).alias("point"))).select("id", F.col("root").alias("core"))
-    cores = inner.join(same, "id").filter("id = core").select("core", "uid", "level").withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy("core")))
-    ids = inner.join(same, "id").select("id", "core").join(cores.select("core", "rank"), "core").select("id", "rank")
+    inner = cut(known.filter("level > 0").join(up, "parent", "left").select("id", "parent", "uid", "p_uid"))
+    same = follow(inner.select("id", F.when(F.col("p_uid") == F.col("uid"), F.col("parent")).alias("parent"), F.lit(0).alias("weight"))).select("id", F.col("root").alias("core"))
+    ids = inner.select("id", "uid").join(same, "id")
+    cores = cut(ids.filter("id = core").withColumn("inner", F.row_number().over(Window.partitionBy("uid").orderBy("core")).cast("bigint")).select("core", "inner"))
+    digits = max(4, len(str(cores.agg(F.max("inner")).first()[0] or 0)))
+    ids = ids.join(cores, "core").select("id", "inner")
     frame_no = frames.join(feats.groupBy("frame").agg(F.count(F.lit(1)).alias("n")), "frame", "left").select("frame", "ts", F.coalesce("n", F.lit(0)).alias("n"))
     before = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     offset = frame_no.withColumn("start", F.coalesce(F.sum(F.greatest("n", F.lit(1))).over(before), F.lit(0))).select("frame", "start")
     number = F.row_number().over(Window.partitionBy("frame").orderBy("level", "label"))
-    suffix = F.concat(F.col("uid").cast("string"), F.lit("."), F.repeat(F.lit("0"), F.col("level") - 1), F.lpad(F.col("rank").cast("string"), 4, "0")).cast("double")
+    suffix = F.concat(F.col("uid").cast("string"), F.lit("."), F.repeat(F.lit("0"), F.col("level") - 1), F.lpad(F.col("inner").cast("string"), digits, "0")).cast("double")
     path = F.concat(F.lit("LINESTRING ("), F.array_join(F.transform("path", lambda p: F.format_string("%.4f %.4f", p["x"], p["y"])), ", "), F.lit(")"))
-    return known.join(ids, "id", "left").join(offset, "frame").select(
+    return known.select(*KEY, "id", "uid").join(rows.select("id", "life", "path"), "id").join(ids, "id", "left").join(offset, "frame").select(
         *KEY, (F.col("start") + number).cast("bigint").alias("cindex"), F.col("uid").cast("bigint").alias("uid"),
-        F.when(F.col("level") == 0, F.col("uid").cast("double")).otherwise(suffix).alias("iuid"), (F.col("life") + cfg.delta_time).cast("bigint").alias("lifetime"),
+        F.when(F.col("level") == 0, F.col("uid").cast("double")).otherwise(suffix).alias("iuid"), "inner", (F.col("life") + cfg.delta_time).cast("bigint").alias("lifetime"),
         F.size("path").alias("n_points"), F.when(F.size("path") > 1, path).alias("trajectory"),
     )
 
 
+def previous_ids(links: DataFrame, ev: DataFrame) -> DataFrame:
+    """``(frame, level, label, prv_mrg_uids, prv_mrg_iuids, prv_spl_uid, prv_spl_iuid)`` of clusters that merged or split off.
+
+    The lists are in order of the earlier clusters' labels.
+    """
+    was = lambda label: links.select(F.col("frame").alias("prev_frame"), "level", F.col("label").alias(label), "uid", "iuid")
+    m = ev.filter("merge_labels IS NOT NULL").select(*KEY, "prev_frame", F.explode("merge_labels").alias("m")).join(was("m"), ["prev_frame", "level", "m"])
+    m = m.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("m", "uid", "iuid"))).alias("l")).select(*KEY, F.col("l.uid").alias("prv_mrg_uids"), F.col("l.iuid").alias("prv_mrg_iuids"))
+    s = ev.filter("split_parent IS NOT NULL").select(*KEY, "prev_frame", "split_parent").join(was("split_parent"), ["prev_frame", "level", "split_parent"])
+    s = s.select(*KEY, F.col("uid").alias("prv_spl_uid"), F.col("iuid").alias("prv_spl_iuid"))
+    return m.join(s, KEY, "full")
+
+
 def seam_partners(feats: DataFrame, labelled: DataFrame, cfg: TrackConfig) -> DataFrame:
     """``(frame, label, board_label)``: level-0 clusters meeting across the left and right border, smaller to larger."""
     rim = labelled.filter(f"level = 0 AND (x = 0 OR x = {cfg.grid.x_dim - 1})").select("frame", "y", "x", "label")

@@ -104,5 +104,16 @@ vec AS MATERIALIZED (SELECT u.*, CASE WHEN nu IS NOT NULL THEN (u_ + coalesce(su
 ch(frame, level, label, rf, rl, n_points) AS (SELECT frame, level, label, frame, label, 1 FROM ev WHERE past_label IS NULL OR contains(status, 'NEW')
   UNION ALL SELECT e.frame, e.level, e.label, ch.rf, ch.rl, ch.n_points + 1 FROM ch JOIN ev e ON e.prev_frame = ch.frame AND e.level = ch.level AND e.past_label = ch.label AND NOT contains(e.status, 'NEW')),
 rt AS (SELECT rf, rl, row_number() OVER (ORDER BY rf, rl) AS uid FROM (SELECT DISTINCT rf, rl FROM ch WHERE level = 0)),
-u0 AS MATERIALIZED (SELECT frame, label, uid, n_points, date_diff('minute', r.ts, f.ts) + 720 AS lifetime FROM ch JOIN rt USING (rf, rl) JOIN fr f USING (frame) JOIN fr r ON r.frame = ch.rf WHERE level = 0)
+u0 AS MATERIALIZED (SELECT frame, label, uid, n_points, date_diff('minute', r.ts, f.ts) + 720 AS lifetime FROM ch JOIN rt USING (rf, rl) JOIN fr f USING (frame) JOIN fr r ON r.frame = ch.rf WHERE level = 0),
+l1 AS (SELECT ch.*, u0.uid AS uid0 FROM ch LEFT JOIN ins i ON i.level = 0 AND i.frame = ch.frame AND i.in_level = ch.level AND i.in_label = ch.label LEFT JOIN u0 ON u0.frame = i.frame AND u0.label = i.label WHERE ch.level > 0),
+lo AS (SELECT frame AS rf, level, label AS rl, (SELECT coalesce(max(uid), 0) FROM u0) + row_number() OVER (ORDER BY frame, level, label) AS uid FROM l1 WHERE frame = rf AND label = rl AND uid0 IS NULL),
+ua AS MATERIALIZED (SELECT frame, 0 AS level, label, uid, n_points, CAST(lifetime AS BIGINT) AS lifetime FROM u0
+  UNION ALL SELECT c.frame, c.level, c.label, coalesce(c.uid0, lo.uid, r.uid0), c.n_points, CAST(date_diff('minute', a.ts, f.ts) + 720 AS BIGINT) FROM l1 c LEFT JOIN lo USING (rf, level, rl)
+    JOIN l1 r ON r.frame = c.rf AND r.level = c.level AND r.label = c.rl JOIN fr f ON f.frame = c.frame JOIN fr a ON a.frame = c.rf),
+pa AS (SELECT e.frame, e.level, e.label, e.prev_frame, e.past_label, p.uid = c.uid AS same FROM ev e JOIN ua c USING (frame, level, label) JOIN ua p ON p.frame = e.prev_frame AND p.level = e.level AND p.label = e.past_label
+  WHERE e.level > 0 AND NOT contains(e.status, 'NEW')),
+co(frame, level, label, cf, cl) AS (SELECT frame, level, label, frame, label FROM ua WHERE level > 0 AND (frame, level, label) NOT IN (SELECT (frame, level, label) FROM pa WHERE same)
+  UNION ALL SELECT p.frame, p.level, p.label, co.cf, co.cl FROM co JOIN pa p ON p.same AND p.prev_frame = co.frame AND p.level = co.level AND p.past_label = co.label),
+ir AS (SELECT cf, level, cl, row_number() OVER (PARTITION BY uid ORDER BY cf, level, cl) AS k FROM (SELECT DISTINCT co.cf, co.level, co.cl, ua.uid FROM co JOIN ua ON ua.frame = co.cf AND ua.level = co.level AND ua.label = co.cl)),
+ia AS MATERIALIZED (SELECT ua.*, ir.k AS inner_rank, CASE WHEN level = 0 THEN CAST(uid AS DOUBLE) ELSE CAST(uid || '.' || repeat('0', level - 1) || lpad(CAST(ir.k AS VARCHAR), 4, '0') AS DOUBLE) END AS iuid FROM ua LEFT JOIN co USING (frame, level, label) LEFT JOIN ir USING (cf, level, cl))
 """

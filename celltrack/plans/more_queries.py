@@ -109,24 +109,22 @@ def ana_spatial_join(g: Grid) -> DataFrame:
     return g.labelled.filter("level = 0").join(b.select("n_name", "y", "x"), ["y", "x"]).groupBy("n_name").agg(F.count_distinct("frame", "label").alias("clusters"), F.count(F.lit(1)).alias("cells"))
 
 
-@query(f", {TT}, v AS (SELECT tt.*, vec.u_, vec.v_ FROM tt JOIN vec ON vec.level = 0 AND vec.frame = tt.frame AND vec.label = tt.label), al AS (SELECT uid FROM v WHERE frame = 56 AND u_ IS NOT NULL) SELECT frame, label, uid FROM v WHERE frame > 51 AND uid IN (SELECT uid FROM al)")
+@query(f", {TT}, v AS (SELECT tt.*, vec.u_, vec.v_ FROM tt JOIN vec USING (frame, level, label)), al AS (SELECT DISTINCT level, iuid FROM v WHERE frame = 56 AND u_ IS NOT NULL) SELECT frame, level, label, uid FROM v SEMI JOIN al USING (level, iuid) WHERE frame > 51")
 def forecast_semi(g: Grid) -> DataFrame:
-    return fc.history(g.tracks, 56, 5).filter("level = 0").select("frame", "label", "uid")
+    return fc.history(g.tracks, 56, 5).select(*K, "uid")
 
 
-FV = f", {TT}, v AS (SELECT tt.*, vec.u_, vec.v_ FROM tt JOIN vec ON vec.level = 0 AND vec.frame = tt.frame AND vec.label = tt.label), al AS (SELECT uid FROM v WHERE frame = 56 AND u_ IS NOT NULL), mv AS (SELECT uid, avg(u_) AS um, avg(v_) AS vm FROM v WHERE frame > 51 AND uid IN (SELECT uid FROM al) GROUP BY uid)"
+FV = f", {TT}, v AS (SELECT tt.*, vec.u_, vec.v_ FROM tt JOIN vec USING (frame, level, label)), al AS (SELECT DISTINCT level, iuid FROM v WHERE frame = 56 AND u_ IS NOT NULL), mv AS (SELECT level, iuid, avg(u_) AS um, avg(v_) AS vm FROM v SEMI JOIN al USING (level, iuid) WHERE frame > 51 GROUP BY level, iuid)"
 
 
-@query(FV + " SELECT uid, round(um, 6) AS u_mean, round(vm, 6) AS v_mean FROM mv")
+@query(FV + " SELECT level, iuid, round(um, 6) AS u_mean, round(vm, 6) AS v_mean FROM mv")
 def forecast_vectors(g: Grid) -> DataFrame:
-    v = fc.mean_vectors(fc.history(g.tracks, 56, 5)).filter("level = 0")
-    return v.select(F.col("iuid").cast("bigint").alias("uid"), *r6("u_mean", "v_mean"))
+    return fc.mean_vectors(fc.history(g.tracks, 56, 5)).select("level", "iuid", *r6("u_mean", "v_mean"))
 
 
-@query(FV + ", im AS (SELECT greatest(0, least(w - 1, CAST(round_even(l.y + vm, 0) AS INTEGER))) AS y, greatest(0, least(w - 1, CAST(round_even(l.x + um, 0) AS INTEGER))) AS x, l.value FROM v JOIN mv USING (uid) JOIN lab l ON l.level = 0 AND l.frame = 56 AND l.label = v.label, w WHERE v.frame = 56) SELECT y, x, round(avg(value), 6) AS value FROM im GROUP BY ALL")
+@query(FV + ", im AS (SELECT greatest(0, least(w - 1, CAST(round_even(l.y + vm, 0) AS INTEGER))) AS y, greatest(0, least(w - 1, CAST(round_even(l.x + um, 0) AS INTEGER))) AS x, l.value FROM v JOIN mv USING (level, iuid) JOIN lab l ON l.level = v.level AND l.frame = 56 AND l.label = v.label, w WHERE v.frame = 56) SELECT y, x, round(avg(value), 6) AS value FROM im GROUP BY ALL")
 def forecast_image(g: Grid) -> DataFrame:
-    only = g.tracks.filter("level = 0")
-    return fc.image(only, g.labelled.filter("level = 0"), 56, 5, g.cfg).select("y", "x", *r6("value"))
+    return fc.image(g.tracks, g.labelled, 56, 5, g.cfg).select("y", "x", *r6("value"))
 
 
 @query()
@@ -185,7 +183,7 @@ def sink_geojson(g: Grid) -> DataFrame:
 def sink_parquet(g: Grid) -> DataFrame:
     """The tracking table written by day with gzip, and read again."""
     path = new_path(g.spark, "tracks")
-    g.tracks.filter("level = 0").withColumn("day", F.to_date("ts")).drop("merge_labels").write.option("compression", "gzip").partitionBy("day").parquet(path)
+    g.tracks.withColumn("day", F.to_date("ts")).drop("merge_labels").write.option("compression", "gzip").partitionBy("day").parquet(path)
     return g.spark.read.option("mergeSchema", True).parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -228,11 +226,11 @@ def fn_area_km2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", F.round(ph.equal_area_km2(lat, lat + 0.1, 0.1), 4).alias("km2"), ph.utm_zone(F.col("user_id") % 360 - 180).alias("zone"), ph.map_zoom(1 + F.col("user_id") % 90).alias("zoom")).distinct()
 
 
-@query("SELECT frame, label, CASE WHEN n_points < 3 THEN n_points ELSE 2 * n_points END AS n_smooth FROM u0")
+@query("SELECT frame, level, label, CASE WHEN n_points < 3 THEN n_points ELSE 2 * n_points END AS n_smooth FROM ua")
 def fn_chaikin(g: Grid) -> DataFrame:
     body = F.split(F.regexp_extract(F.coalesce("trajectory", F.lit("LINESTRING (0 0)")), r"\((.*)\)", 1), ", ")
     pts = F.transform(body, lambda p: F.struct(F.split(p, " ")[0].cast("double").alias("x"), F.split(p, " ")[1].cast("double").alias("y")))
-    return g.links.filter("level = 0").select("frame", "label", F.size(ph.chaikin(pts)).alias("n_smooth"))
+    return g.links.select(*K, F.size(ph.chaikin(pts)).alias("n_smooth"))
 
 
 NEAR = "FROM cell a JOIN cell b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.frame, a.y, a.x"
@@ -296,9 +294,9 @@ def src_bubbles(spark: SparkSession, d: str) -> DataFrame:
     return S.bubbles(spark, 40, 96)
 
 
-@plain("SELECT date_trunc('day', ts) AS day, count(*) AS n, round(avg(size), 6) AS mean_size FROM (SELECT timestamp AS ts, size FROM trackingtable WHERE timestamp IS NOT NULL AND threshold_level = 0) GROUP BY ALL")
+@plain("SELECT date_trunc('day', ts) AS day, count(*) AS n, round(avg(size), 6) AS mean_size FROM (SELECT timestamp AS ts, size FROM trackingtable WHERE timestamp IS NOT NULL) GROUP BY ALL")
 def src_catalog(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "trackingtable").filter("timestamp IS NOT NULL AND threshold_level = 0").select(F.date_trunc("day", "timestamp").alias("day"), "size")
+    t = table(spark, d, "trackingtable").filter("timestamp IS NOT NULL").select(F.date_trunc("day", "timestamp").alias("day"), "size")
     return t.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("size"), 6).alias("mean_size"))
 
 

@@ -182,34 +182,33 @@ def expansion_events(g: Grid) -> DataFrame:
     return g.vecs.filter("expansion IS NOT NULL").select(*K, *r6("expansion"))
 
 
-@query("SELECT frame, 0 AS level, label, uid FROM u0")
+@query("SELECT frame, level, label, uid FROM ua")
 def link_uid(g: Grid) -> DataFrame:
-    return g.links.filter("level = 0").select(*K, "uid")
+    return g.links.select(*K, "uid")
 
 
-@query("SELECT frame, label, CAST(lifetime AS BIGINT) AS lifetime, n_points FROM u0")
+@query("SELECT frame, level, label, lifetime, n_points FROM ua")
 def link_lifetime(g: Grid) -> DataFrame:
-    return g.links.filter("level = 0").select("frame", "label", "lifetime", "n_points")
+    return g.links.select(*K, "lifetime", "n_points")
 
 
-@query("SELECT frame, label, uid, CAST(lifetime AS BIGINT) AS lifetime FROM u0", GAP, "gap")
+@query("SELECT frame, level, label, uid, lifetime FROM ua", GAP, "gap")
 def link_gap(g: Grid) -> DataFrame:
-    return g.links.filter("level = 0").select("frame", "label", "uid", "lifetime")
+    return g.links.select(*K, "uid", "lifetime")
 
 
 @query("""
-, e2 AS (SELECT e.frame, e.label, e.prev_frame, CASE WHEN past_label IS NOT NULL AND NOT contains(status, 'NEW') THEN past_label END AS cp, split_parent FROM ev e WHERE level = 0),
-lf(frame, label, life) AS (SELECT frame, label, 0 FROM e2 WHERE cp IS NULL AND split_parent IS NULL
-  UNION ALL SELECT e2.frame, e2.label, lf.life + CASE WHEN cp IS NOT NULL THEN 720 ELSE 0 END FROM lf JOIN e2 ON e2.prev_frame = lf.frame AND coalesce(cp, split_parent) = lf.label)
-SELECT frame, label, CAST(life + 720 AS BIGINT) AS lifetime FROM lf""", fixture="split")
+, e2 AS (SELECT e.frame, e.level, e.label, e.prev_frame, CASE WHEN past_label IS NOT NULL AND NOT contains(status, 'NEW') THEN past_label END AS cp, split_parent FROM ev e),
+lf(frame, level, label, life) AS (SELECT frame, level, label, 0 FROM e2 WHERE cp IS NULL AND split_parent IS NULL
+  UNION ALL SELECT e2.frame, e2.level, e2.label, lf.life + CASE WHEN cp IS NOT NULL THEN 720 ELSE 0 END FROM lf JOIN e2 ON e2.prev_frame = lf.frame AND e2.level = lf.level AND coalesce(cp, split_parent) = lf.label)
+SELECT frame, level, label, CAST(life + 720 AS BIGINT) AS lifetime FROM lf""", fixture="split")
 def link_preserve_split(g: Grid) -> DataFrame:
-    return g.links.filter("level = 0").select("frame", "label", "lifetime")
+    return g.links.select(*K, "lifetime")
 
 
-@query("SELECT i.frame, i.in_level AS level, i.in_label AS label, u.uid FROM ins i JOIN u0 u ON u.frame = i.frame AND u.label = i.label WHERE i.level = 0")
+@query("SELECT frame, level, label, uid, inner_rank, iuid FROM ia WHERE level > 0")
 def link_iuid(g: Grid) -> DataFrame:
-    inner = g.nested.filter("level = 0").select("frame", F.col("in_level").alias("level"), F.col("in_label").alias("label"))
-    return g.links.filter("level > 0").join(inner, K, "left_semi").select(*K, F.floor("iuid").cast("bigint").alias("uid"))
+    return g.links.filter("level > 0").select(*K, "uid", F.col("inner").alias("inner_rank"), "iuid")
 
 
 @query("""
@@ -220,49 +219,63 @@ def link_cindex(g: Grid) -> DataFrame:
     return g.links.select(*K, "cindex")
 
 
-@query("SELECT e.frame, e.label, list_sort(list(p.uid)) AS prv_mrg_uids FROM (SELECT *, unnest(merge_labels) AS m FROM ev WHERE level = 0) e JOIN u0 p ON p.frame = e.prev_frame AND p.label = e.m GROUP BY ALL")
+PREV = """
+, pm AS (SELECT e.frame, e.level, e.label, list(p.uid ORDER BY e.m) AS prv_mrg_uids, list(p.iuid ORDER BY e.m) AS prv_mrg_iuids FROM (SELECT *, unnest(merge_labels) AS m FROM ev) e JOIN ia p ON p.frame = e.prev_frame AND p.level = e.level AND p.label = e.m GROUP BY ALL),
+ps AS (SELECT e.frame, e.level, e.label, p.uid AS prv_spl_uid, p.iuid AS prv_spl_iuid FROM ev e JOIN ia p ON p.frame = e.prev_frame AND p.level = e.level AND p.label = e.split_parent)"""
+
+
+@query(PREV + " SELECT * FROM pm")
 def link_prev_uids(g: Grid) -> DataFrame:
-    up = g.links.filter("level = 0").select(F.col("frame").alias("prev_frame"), F.col("label").alias("m"), "uid")
-    m = g.ev.filter("level = 0 AND merge_labels IS NOT NULL").select("frame", "label", "prev_frame", F.explode("merge_labels").alias("m"))
-    return m.join(up, ["prev_frame", "m"]).groupBy("frame", "label").agg(F.array_sort(F.collect_list("uid")).alias("prv_mrg_uids"))
+    return g.previous.filter("prv_mrg_uids IS NOT NULL").select(*K, "prv_mrg_uids", "prv_mrg_iuids")
 
 
-@query("SELECT e.frame, e.label, p.uid AS prv_spl_uid FROM ev e JOIN u0 p ON p.frame = e.prev_frame AND p.label = e.split_parent WHERE e.level = 0")
+@query(PREV + " SELECT * FROM ps")
 def link_prev_split(g: Grid) -> DataFrame:
-    up = g.links.filter("level = 0").select(F.col("frame").alias("prev_frame"), F.col("label").alias("split_parent"), F.col("uid").alias("prv_spl_uid"))
-    return g.ev.filter("level = 0 AND split_parent IS NOT NULL").join(up, ["prev_frame", "split_parent"]).select("frame", "label", "prv_spl_uid")
+    return g.previous.filter("prv_spl_uid IS NOT NULL").select(*K, "prv_spl_uid", "prv_spl_iuid")
 
 
 @query("""
-, tj(frame, label, pts) AS (SELECT frame, label, printf('%.4f %.4f', cx, cy) FROM ev JOIN clus USING (frame, level, label) WHERE level = 0 AND (past_label IS NULL OR contains(status, 'NEW'))
-  UNION ALL SELECT e.frame, e.label, tj.pts || ', ' || printf('%.4f %.4f', c.cx, c.cy) FROM tj JOIN ev e ON e.level = 0 AND e.prev_frame = tj.frame AND e.past_label = tj.label AND NOT contains(e.status, 'NEW') JOIN clus c ON c.level = 0 AND c.frame = e.frame AND c.label = e.label)
-SELECT frame, label, len(string_split(pts, ',')) AS n_points, CAST(string_split(string_split(pts, ', ')[1], ' ')[1] AS DOUBLE) AS x_first, CAST(string_split(string_split(pts, ', ')[-1], ' ')[2] AS DOUBLE) AS y_last FROM tj WHERE contains(pts, ',')""")
+, tj(frame, level, label, pts) AS (SELECT frame, level, label, printf('%.4f %.4f', cx, cy) FROM ev JOIN clus USING (frame, level, label) WHERE past_label IS NULL OR contains(status, 'NEW')
+  UNION ALL SELECT e.frame, e.level, e.label, tj.pts || ', ' || printf('%.4f %.4f', c.cx, c.cy) FROM tj JOIN ev e ON e.level = tj.level AND e.prev_frame = tj.frame AND e.past_label = tj.label AND NOT contains(e.status, 'NEW') JOIN clus c ON c.level = e.level AND c.frame = e.frame AND c.label = e.label)
+SELECT frame, level, label, [[round(CAST(string_split(p, ' ')[1] AS DOUBLE), 3), round(CAST(string_split(p, ' ')[2] AS DOUBLE), 3)] FOR p IN string_split(pts, ', ')] AS points FROM tj WHERE contains(pts, ',')""")
 def link_trajectory(g: Grid) -> DataFrame:
-    t = g.links.filter("level = 0 AND trajectory IS NOT NULL")
+    """Every point of every trajectory, to three decimals."""
     body = F.split(F.regexp_extract("trajectory", r"\((.*)\)", 1), ", ")
-    return t.select("frame", "label", F.size(body).cast("bigint").alias("n_points"), F.split(F.element_at(body, 1), " ")[0].cast("double").alias("x_first"), F.split(F.element_at(body, -1), " ")[1].cast("double").alias("y_last"))
+    return g.links.filter("trajectory IS NOT NULL").select(*K, F.transform(body, lambda p: F.transform(F.split(p, " "), lambda v: F.round(v.cast("double"), 3))).alias("points"))
 
 
-TT = "tt AS MATERIALIZED (SELECT fr.ts, u.frame, u.label, u.uid, CAST(u.lifetime AS BIGINT) AS lifetime, c.size, c.min, c.mean, c.max, c.cx, c.cy, c.xmin, c.xmax, c.ymin, c.ymax, e.status FROM u0 u JOIN clus c ON c.level = 0 AND c.frame = u.frame AND c.label = u.label JOIN ev e ON e.level = 0 AND e.frame = u.frame AND e.label = u.label JOIN fr ON fr.frame = u.frame)"
+TT = "tt AS MATERIALIZED (SELECT fr.ts, u.frame, u.level, u.label, u.uid, u.iuid, u.lifetime, c.size, c.min, c.mean, c.max, c.cx, c.cy, c.xmin, c.xmax, c.ymin, c.ymax, e.status FROM ia u JOIN clus c USING (frame, level, label) JOIN ev e USING (frame, level, label) JOIN fr ON fr.frame = u.frame)"
 
 
-@query(f", {TT} SELECT ts, frame, label, uid, lifetime, size, min, round(mean + 1e-9, 6) AS mean, max, status FROM tt")
+@query(f", {TT} SELECT ts, frame, level, label, uid, iuid, lifetime, size, min, round(mean + 1e-9, 6) AS mean, max, status FROM tt")
 def tracking_table(g: Grid) -> DataFrame:
-    return g.tracks.filter("level = 0").select("ts", "frame", "label", "uid", "lifetime", "size", "min", *off("mean"), "max", "status")
+    return g.tracks.select("ts", *K, "uid", "iuid", "lifetime", "size", "min", *off("mean"), "max", "status")
+
+
+@query(PREV + f""", {TT}, n AS (SELECT frame, level, label, count(*) AS k FROM ins GROUP BY ALL)
+SELECT frame, level, label, CAST(row_number() OVER (PARTITION BY frame, level ORDER BY label) AS BIGINT) AS cluster_id, CAST(CASE level WHEN 0 THEN 80.0 ELSE 120.0 END AS DOUBLE) AS threshold, coalesce(k, 0) AS inside_clusters,
+  false AS board, prv_mrg_uids, prv_mrg_iuids, prv_spl_uid, prv_spl_iuid, strftime(ts, '%Y%m%d_%H%M%S') || '.parquet' AS file,
+  (SELECT list(y ORDER BY y, x) FROM lab l WHERE l.frame = tt.frame AND l.level = tt.level AND l.label = tt.label) AS array_y,
+  (SELECT list(x ORDER BY y, x) FROM lab l WHERE l.frame = tt.frame AND l.level = tt.level AND l.label = tt.label) AS array_x,
+  round(sqrt(u_ * u_ + v_ * v_), 6) AS speed, round(CASE WHEN degrees(atan2(v_, u_)) < 0 THEN degrees(atan2(v_, u_)) + 360 ELSE degrees(atan2(v_, u_)) END, 6) AS dir
+FROM tt LEFT JOIN pm USING (frame, level, label) LEFT JOIN ps USING (frame, level, label) LEFT JOIN n USING (frame, level, label) JOIN vec USING (frame, level, label)""")
+def tracking_columns(g: Grid) -> DataFrame:
+    """The columns of the whole table that ``tracking_table`` does not show."""
+    return g.table().select(*K, "cluster_id", "threshold", "inside_clusters", "board", "prv_mrg_uids", "prv_mrg_iuids", "prv_spl_uid", "prv_spl_iuid", "file", "array_y", "array_x", *r6("speed", "dir"))
 
 
-@query(f", {TT}, d AS (SELECT uid, min(ts) AS t0, max(ts) AS t1, date_diff('minute', min(ts), max(ts)) AS duration FROM tt GROUP BY uid) SELECT frame, label, uid, CAST(duration AS BIGINT) AS duration, CASE WHEN duration > 0 AND ts = t1 THEN -1 WHEN duration > 0 AND ts = t0 THEN 1 ELSE 0 END AS genesis FROM tt JOIN d USING (uid)")
+@query(f", {TT}, d AS (SELECT iuid, min(ts) AS t0, max(ts) AS t1, date_diff('minute', min(ts), max(ts)) AS duration FROM tt GROUP BY iuid) SELECT frame, level, label, iuid, CAST(duration AS BIGINT) AS duration, CASE WHEN duration > 0 AND ts = t1 THEN -1 WHEN duration > 0 AND ts = t0 THEN 1 ELSE 0 END AS genesis FROM tt JOIN d USING (iuid)")
 def duration(g: Grid) -> DataFrame:
-    w = Window.partitionBy("uid")
-    t = g.tracks.filter("level = 0").select("frame", "label", "uid", "ts", F.min("ts").over(w).alias("t0"), F.max("ts").over(w).alias("t1"))
+    w = Window.partitionBy("iuid")
+    t = g.tracks.select(*K, "iuid", "ts", F.min("ts").over(w).alias("t0"), F.max("ts").over(w).alias("t1"))
     t = t.withColumn("duration", F.timestamp_diff("MINUTE", F.col("t0"), F.col("t1")))
     lives = F.col("duration") > 0
-    return t.select("frame", "label", "uid", "duration", F.when(lives & (F.col("ts") == F.col("t1")), -1).when(lives & (F.col("ts") == F.col("t0")), 1).otherwise(0).alias("genesis"))
+    return t.select(*K, "iuid", "duration", F.when(lives & (F.col("ts") == F.col("t1")), -1).when(lives & (F.col("ts") == F.col("t0")), 1).otherwise(0).alias("genesis"))
 
 
-@query(f", {TT} SELECT uid, count(*) AS n, CAST(date_diff('hour', min(ts), max(ts)) AS BIGINT) AS hours, max(size) AS max_size, round(avg(cy), 6) AS clat, round(avg(cx), 6) AS clon, coalesce(max(max), -999.99) AS peak FROM tt GROUP BY uid")
+@query(f", {TT} SELECT level, uid, count(*) AS n, CAST(date_diff('hour', min(ts), max(ts)) AS BIGINT) AS hours, max(size) AS max_size, round(avg(cy), 6) AS clat, round(avg(cx), 6) AS clon, coalesce(max(max), -999.99) AS peak FROM tt GROUP BY level, uid")
 def family_table(g: Grid) -> DataFrame:
-    return g.tracks.filter("level = 0").groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.timestamp_diff("HOUR", F.min("ts"), F.max("ts")).alias("hours"), F.max("size").alias("max_size"), F.round(F.avg("cy"), 6).alias("clat"), F.round(F.avg("cx"), 6).alias("clon"), F.coalesce(F.max("max"), F.lit(-999.99)).alias("peak"))
+    return g.tracks.groupBy("level", "uid").agg(F.count(F.lit(1)).alias("n"), F.timestamp_diff("HOUR", F.min("ts"), F.max("ts")).alias("hours"), F.max("size").alias("max_size"), F.round(F.avg("cy"), 6).alias("clat"), F.round(F.avg("cx"), 6).alias("clon"), F.coalesce(F.max("max"), F.lit(-999.99)).alias("peak"))
 
 
 FARS = """, lm AS (SELECT frame, level, label, unnest(['noc', 'spl', 'mrg', 'inc', 'elp']) AS method, unnest([u_, u_spl, u_mrg, u_inc, u_]) AS u, unnest([v_, v_spl, v_mrg, v_inc, v_]) AS v FROM vec),
@@ -302,35 +315,35 @@ def tracks_validated(g: Grid) -> DataFrame:
     return g.tracks.select("ts", *K, "uid", "method", *r6("far", "u_", "v_"))
 
 
-@query(f", {TT} SELECT count(DISTINCT uid) AS tracks, min(ts) AS first_ts, max(ts) AS last_ts FROM tt WHERE size >= 5")
+@query(f", {TT} SELECT count(DISTINCT uid) AS tracks, min(ts) AS first_ts, max(ts) AS last_ts FROM tt WHERE level = 0 AND size >= 5")
 def ana_count_distinct(g: Grid) -> DataFrame:
     return g.tracks.filter("level = 0 AND size >= 5").agg(F.count_distinct("uid").alias("tracks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query(f", {TT} SELECT uid, max(size) AS max_size FROM tt GROUP BY uid ORDER BY max_size DESC, uid LIMIT 10")
+@query(f", {TT} SELECT uid, max(size) AS max_size FROM tt WHERE level = 0 GROUP BY uid ORDER BY max_size DESC, uid LIMIT 10")
 def ana_top_size(g: Grid) -> DataFrame:
     return g.tracks.filter("level = 0").groupBy("uid").agg(F.max("size").alias("max_size")).orderBy(F.col("max_size").desc(), "uid").limit(10)
 
 
-@query(f", {TT} SELECT uid, max(lifetime) AS max_lifetime FROM tt GROUP BY uid ORDER BY max_lifetime DESC, uid LIMIT 10")
+@query(f", {TT} SELECT uid, max(lifetime) AS max_lifetime FROM tt WHERE level = 0 GROUP BY uid ORDER BY max_lifetime DESC, uid LIMIT 10")
 def ana_top_lifetime(g: Grid) -> DataFrame:
     return g.tracks.filter("level = 0").groupBy("uid").agg(F.max("lifetime").alias("max_lifetime")).orderBy(F.col("max_lifetime").desc(), "uid").limit(10)
 
 
-@query(f", {TT}, k AS (SELECT uid FROM tt GROUP BY uid ORDER BY count(*) DESC, uid LIMIT 5) SELECT frame, label, uid, size FROM tt WHERE uid IN (SELECT uid FROM k)")
+@query(f", {TT}, k AS (SELECT uid FROM tt WHERE level = 0 GROUP BY uid ORDER BY count(*) DESC, uid LIMIT 5) SELECT frame, label, uid, size FROM tt WHERE level = 0 AND uid IN (SELECT uid FROM k)")
 def ana_nlargest(g: Grid) -> DataFrame:
     t = g.tracks.filter("level = 0").select("frame", "label", "uid", "size")
     top = t.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "uid").limit(5)
     return t.join(top, "uid", "left_semi").select("frame", "label", "uid", "size")
 
 
-@query(f", {TT}, a AS (SELECT uid, status, count(*) AS n, max(size) AS mx, avg(size) AS me FROM tt GROUP BY ALL) SELECT status, count(*) AS groups, round(avg(n), 6) AS mean_n, round(stddev_samp(n), 6) AS std_n, max(mx) AS max_size, round(avg(me), 6) AS mean_size FROM a GROUP BY status")
+@query(f", {TT}, a AS (SELECT uid, status, count(*) AS n, max(size) AS mx, avg(size) AS me FROM tt WHERE level = 0 GROUP BY ALL) SELECT status, count(*) AS groups, round(avg(n), 6) AS mean_n, round(stddev_samp(n), 6) AS std_n, max(mx) AS max_size, round(avg(me), 6) AS mean_size FROM a GROUP BY status")
 def ana_two_level(g: Grid) -> DataFrame:
     a = g.tracks.filter("level = 0").groupBy("uid", "status").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("mx"), F.avg("size").alias("me"))
     return a.groupBy("status").agg(F.count(F.lit(1)).alias("groups"), F.round(F.avg("n"), 6).alias("mean_n"), F.round(F.stddev_samp("n"), 6).alias("std_n"), F.max("mx").alias("max_size"), F.round(F.avg("me"), 6).alias("mean_size"))
 
 
-@query(f", {TT} SELECT frame, label, uid, lifetime FROM tt WHERE uid IN (1, 2, 3, 5, 8)")
+@query(f", {TT} SELECT frame, label, uid, lifetime FROM tt WHERE level = 0 AND uid IN (1, 2, 3, 5, 8)")
 def ana_filter_uid(g: Grid) -> DataFrame:
     return g.tracks.filter("level = 0 AND uid IN (1, 2, 3, 5, 8)").select("frame", "label", "uid", "lifetime")
 
@@ -374,9 +387,10 @@ def win_argmax(g: Grid) -> DataFrame:
     return g.feats.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*K, "size")
 
 
-@query("SELECT p.frame, p.y, p.x, u.uid AS value FROM lab p JOIN u0 u ON u.frame = p.frame AND u.label = p.label WHERE p.level = 0")
+@query("SELECT p.frame, p.level, p.y, p.x, u.iuid AS value FROM lab p JOIN ia u USING (frame, level, label)")
 def raster_labels(g: Grid) -> DataFrame:
-    return g.labelled.filter("level = 0").join(g.links.select(*K, "uid"), K).select("frame", "y", "x", F.col("uid").alias("value"))
+    """uid at level 0, iuid above."""
+    return g.labelled.join(g.links.select(*K, "uid", "iuid"), K).select("frame", "level", "y", "x", F.when(F.col("level") == 0, F.col("uid").cast("double")).otherwise(F.col("iuid")).alias("value"))
 
 
 @query("SELECT frame, level, y, x, size AS value FROM lab JOIN clus USING (frame, level, label)")
@@ -408,6 +422,6 @@ def edges(g: Grid) -> DataFrame:
     return g.partners
 
 
-@query(SEAM + f", {TT} SELECT tt.frame, tt.label, coalesce(o.uid, tt.uid) AS uid, coalesce(o.status, tt.status) AS status, bo.label IS NOT NULL AS board FROM tt LEFT JOIN bo ON bo.frame = tt.frame AND bo.label = tt.label LEFT JOIN tt o ON o.frame = bo.frame AND o.label = bo.board_label")
+@query(SEAM + f", {TT} SELECT tt.frame, tt.level, tt.label, coalesce(o.uid, tt.uid) AS uid, coalesce(o.status, tt.status) AS status, bo.label IS NOT NULL AS board FROM tt LEFT JOIN bo ON tt.level = 0 AND bo.frame = tt.frame AND bo.label = tt.label LEFT JOIN tt o ON o.level = 0 AND o.frame = bo.frame AND o.label = bo.board_label")
 def link_edges(g: Grid) -> DataFrame:
-    return g.joined_tracks.filter("level = 0").select("frame", "label", "uid", "status", "board")
+    return g.joined_tracks.select(*K, "uid", "status", "board")
