@@ -168,3 +168,23 @@ def inside(r: Rings, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
                 odd ^= ((y0 > py) != (y1 > py)) & (px < (x1 - x0) * (py - y0) / (y1 - y0) + x0)
         hit[near] ^= odd
     return hit
+
+
+def measures(texts) -> dict[str, np.ndarray]:
+    """Area, length of all rings and bounds of each geometry; NaN where there is none. Holes count negatively."""
+    texts = list(texts)
+    n, r = len(texts), rings(texts)
+    names = ("area", "perimeter", "x0", "x1", "y0", "y1")
+    out = {k: np.full(n, np.nan) for k in names}
+    if not len(r.row):
+        return out
+    nxt = np.arange(1, len(r.x) + 1)
+    nxt[r.start + r.length - 1] = r.start
+    area = np.abs(np.add.reduceat(r.x * r.y[nxt] - r.x[nxt] * r.y, r.start) / 2) * np.where(r.shell, 1, -1)
+    side = np.add.reduceat(np.hypot(r.x[nxt] - r.x, r.y[nxt] - r.y), r.start)
+    some = np.bincount(r.row, minlength=n) > 0
+    out["area"][some], out["perimeter"][some] = np.bincount(r.row, area, n)[some], np.bincount(r.row, side, n)[some]
+    rows, first = np.unique(np.repeat(r.row, r.length), return_index=True)
+    for k, f, v in (("x0", np.minimum, r.x), ("x1", np.maximum, r.x), ("y0", np.minimum, r.y), ("y1", np.maximum, r.y)):
+        out[k][rows] = f.reduceat(v, first)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from celltrack.functions import outline
 from celltrack.functions import physics as ph
-from celltrack.operators import enrich, forecast as fc, imaging
+from celltrack.operators import convert, enrich, forecast as fc, imaging
 from celltrack.operators import tracking as T
 from celltrack.plans import tracking_queries as tq
 from celltrack.plans.fixture import Grid
@@ -132,12 +132,33 @@ def forecast(g: Grid) -> DataFrame:
     return fc.forecast(g.tracks, g.labelled, 56, 5, 3, g.cfg)
 
 
-@query()
+MEASURE = """, ed AS (SELECT a.frame, a.level, a.label, count(b.label) AS n FROM lab a LEFT JOIN lab b ON b.frame = a.frame AND b.level = a.level AND b.label = a.label AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL),
+me AS (SELECT frame, level, label, CAST(size AS DOUBLE) AS area, CAST(4 * size - n AS DOUBLE) AS perimeter, CAST(xmin AS DOUBLE) - 0.5 AS x0, CAST(xmax AS DOUBLE) + 0.5 AS x1, CAST(ymin AS DOUBLE) - 0.5 AS y0, CAST(ymax AS DOUBLE) + 0.5 AS y1 FROM clus JOIN ed USING (frame, level, label))"""
+
+
+@query(MEASURE + " SELECT * FROM me")
 def geom_boundary(g: Grid) -> DataFrame:
-    return outline.outlines(T.pixel_arrays(g.labelled), g.cfg.grid).select(*K, "geometry")
+    """Area, length and bounds of the drawn outlines, which must be those of the pixels."""
+    from celltrack.functions import wkt
+
+    def measure(batches):
+        for b in batches:
+            m = wkt.measures(b["geometry"])
+            yield b[["frame", "level", "label"]].assign(**m)
 
+    drawn = outline.outlines(T.pixel_arrays(g.labelled), g.cfg.grid)
+    out = drawn.mapInPandas(measure, "frame int, level int, label bigint, area double, perimeter double, x0 double, x1 double, y0 double, y1 double")
+    return out.select(*K, *r6("area", "perimeter", "x0", "x1", "y0", "y1"))
 
-@query()
+
+HULL = """, ro AS (SELECT frame, level, label, y, min(x) AS a, max(x) + 1 AS b FROM (SELECT frame, level, label, y, x FROM lab UNION ALL SELECT frame, level, label, y + 1, x FROM lab) GROUP BY ALL),
+pt AS MATERIALIZED (SELECT frame, level, label, y, a AS x FROM ro UNION SELECT frame, level, label, y, b FROM ro),
+pq AS (SELECT p.frame, p.level, p.label, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM pt p JOIN pt q USING (frame, level, label) WHERE (p.x, p.y) <> (q.x, q.y)),
+hu AS (SELECT pq.frame, pq.level, pq.label, px * qy - qx * py AS cr FROM pq JOIN pt r USING (frame, level, label)
+  GROUP BY pq.frame, pq.level, pq.label, px, py, qx, qy HAVING bool_and((qx - px) * (r.y - py) - (qy - py) * (r.x - px) > 0 OR ((qx - px) * (r.y - py) - (qy - py) * (r.x - px) = 0 AND (r.x - px) * (r.x - qx) + (r.y - py) * (r.y - qy) <= 0)))"""
+
+
+@query(HULL + " SELECT frame, level, label, sum(cr) / 2.0 AS hull_area FROM hu GROUP BY ALL")
 def geom_hull(g: Grid) -> DataFrame:
     return outline.outlines(T.pixel_arrays(g.labelled), g.cfg.grid).select(*K, "hull_area")
 
@@ -162,21 +183,22 @@ def geom_area(g: Grid) -> DataFrame:
     return drawn.mapInPandas(areas, "frame int, level int, label bigint, area bigint")
 
 
-@query()
+@query(tq.TRAJECTORY + f", {TT} SELECT ts, uid, iuid, level, points FROM pj JOIN tt USING (frame, level, label)")
 def conv_trajectories(g: Grid) -> DataFrame:
-    return g.tracks.filter("trajectory IS NOT NULL").select("ts", "uid", "iuid", "level", "trajectory")
+    return g.tracks.filter("trajectory IS NOT NULL").select("ts", "uid", "iuid", "level", tq.points().alias("points"))
 
 
-@query()
+@query(MEASURE + " SELECT me.frame, me.level, ua.uid, perimeter, 'Feature' AS type FROM me JOIN ua USING (frame, level, label)")
 def sink_geojson(g: Grid) -> DataFrame:
-    """One GeoJSON feature a line, written to the shared folder and read again."""
+    """One GeoJSON feature a line, polygons with their holes, written to the shared folder; read again and measured."""
     path = new_path(g.spark, "geojson")
-    ring = F.regexp_extract_all("geometry", F.lit(r"\(([^()]+)\)"), F.lit(1))
-    coords = F.transform(ring, lambda r: F.transform(F.split(r, ", "), lambda p: F.transform(F.split(p, " "), lambda v: v.cast("double"))))
     d = outline.outlines(T.pixel_arrays(g.labelled), g.cfg.grid).join(g.links.select(*K, "uid"), K)
-    one = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("MultiLineString").alias("type"), coords.alias("coordinates")).alias("geometry"), F.struct("frame", "level", "uid").alias("properties")))
-    d.select(one.alias("value")).write.text(path)
-    return g.spark.read.text(path)
+    convert.write_geojson(d, path, ("frame", "level", "uid"))
+    shape = "type string, geometry struct<type string, coordinates array<array<array<array<double>>>>>, properties struct<frame int, level int, uid bigint>"
+    f = g.spark.read.text(path).select(F.from_json("value", shape).alias("f")).select("f.*")
+    side = lambda ring: F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda t, i: t + F.abs(ring[i][0] - ring[i - 1][0]) + F.abs(ring[i][1] - ring[i - 1][1]))
+    length = F.aggregate(F.flatten("geometry.coordinates"), F.lit(0.0), lambda t, r: t + side(r))
+    return f.select("properties.frame", "properties.level", "properties.uid", F.round(length, 6).alias("perimeter"), "type")
 
 
 @query(f", {TT} SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM tt GROUP BY ALL")
@@ -262,14 +284,26 @@ def vec_farneback(g: Grid) -> DataFrame:
     return imaging.flow_vectors(imaging.normalize(g.cells), g.labelled, g.pairs, g.width, g.width, method="farneback")
 
 
-@query()
+CANNY = """, im AS MATERIALIZED (SELECT frame, y, x, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) * 255 ELSE 0 END AS value FROM cell JOIN (SELECT frame, min(value) AS lo, max(value) AS hi FROM cell GROUP BY frame) USING (frame)),
+sh AS (SELECT frame, max(y) AS my, max(x) AS mx FROM im GROUP BY frame),
+al AS MATERIALIZED (SELECT frame, my, mx, y, x, coalesce(value, 0) AS v FROM (SELECT frame, my, mx, unnest(range(my + 1)) AS y FROM sh) s JOIN (SELECT frame, unnest(range(mx + 1)) AS x FROM sh) t USING (frame) LEFT JOIN im USING (frame, y, x)),
+gr AS MATERIALIZED (SELECT a.frame, a.y, a.x, CASE WHEN least(a.my, a.mx) = 0 THEN 0 ELSE (coalesce(d.v, a.v) - coalesce(u.v, a.v)) / (CASE WHEN d.v IS NULL OR u.v IS NULL THEN 1 ELSE 2 END) END AS gy,
+  CASE WHEN least(a.my, a.mx) = 0 THEN 0 ELSE (coalesce(r.v, a.v) - coalesce(l.v, a.v)) / (CASE WHEN r.v IS NULL OR l.v IS NULL THEN 1 ELSE 2 END) END AS gx FROM al a LEFT JOIN al u ON u.frame = a.frame AND u.y = a.y - 1 AND u.x = a.x LEFT JOIN al d ON d.frame = a.frame AND d.y = a.y + 1 AND d.x = a.x
+  LEFT JOIN al l ON l.frame = a.frame AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN al r ON r.frame = a.frame AND r.y = a.y AND r.x = a.x + 1),
+mg AS MATERIALIZED (SELECT frame, y, x, sqrt(gx * gx + gy * gy) AS m, (CAST(round_even(atan2(gy, gx) / (pi() / 4), 0) AS INTEGER) + 8) % 4 AS k FROM gr),
+ri AS MATERIALIZED (SELECT a.frame, a.y, a.x, a.m FROM mg a JOIN (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) s(k, dy, dx) ON s.k = a.k LEFT JOIN mg p ON p.frame = a.frame AND p.y = a.y + dy AND p.x = a.x + dx
+  LEFT JOIN mg q ON q.frame = a.frame AND q.y = a.y - dy AND q.x = a.x - dx WHERE a.m >= coalesce(p.m, 0) - 1e-9 AND a.m >= coalesce(q.m, 0) - 1e-9 AND a.m >= 20),
+ke AS (SELECT frame, y, x FROM ri WHERE m >= 60 UNION SELECT r.frame, r.y, r.x FROM ke JOIN ri r ON r.frame = ke.frame AND abs(r.y - ke.y) <= 1 AND abs(r.x - ke.x) <= 1)"""
+
+
+@query(CANNY + " SELECT frame, y, x, CASE WHEN ke.frame IS NULL THEN 0.0::DOUBLE ELSE 255.0::DOUBLE END AS value FROM im LEFT JOIN (SELECT * FROM ke) ke USING (frame, y, x)")
 def img_canny(g: Grid) -> DataFrame:
     return imaging.canny(imaging.normalize(g.cells), 20.0, 60.0)
 
 
-@query()
+@query("SELECT a.frame, a.y, a.x, round(sum(b.value * exp(-(pow(b.x - a.x, 2) + 0.25 * pow(b.y - a.y, 2)) / 8) * cos(2 * pi() * (b.x - a.x) / 5)) + 1e-9, 6) AS value FROM cell a JOIN cell b ON a.frame = b.frame AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3 GROUP BY a.frame, a.y, a.x")
 def img_gabor(g: Grid) -> DataFrame:
-    return imaging.gabor(g.cells)
+    return imaging.gabor(g.cells).select("frame", "y", "x", *off("value"))
 
 
 @query()
@@ -289,9 +323,17 @@ def src_arrays(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("frame").agg(hit(">=", 0.05).alias("warm"), hit("<=", -0.05).alias("cold"), F.round(F.max("value"), 6).alias("peak"))
 
 
-@plain()
+def _bubble_sql(frames: int, size: int) -> str:
+    rows = ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in spec) + ")" for spec in S.bubble_specs(size))
+    return f"""WITH b(cx, cy, vx, vy, rx, ry, phase) AS (VALUES {rows}), f AS (SELECT CAST(i AS INTEGER) AS frame FROM range({frames}) t(i)),
+m AS (SELECT frame, cx + frame * vx + 2 * sin(frame / 5.0 + phase) AS mx, cy + frame * vy + 2 * cos(frame / 7.0 + phase) AS my, rx * (1 + 0.3 * sin(frame / 4.0 + phase)) AS ax, ry * (1 + 0.3 * cos(frame / 4.0 + phase)) AS ay FROM b, f),
+g AS (SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM range({size}) s(y), range({size}) t(x))
+SELECT frame, y, x, round(max(50 * (1 - (pow((x - mx) / ax, 2) + pow((y - my) / ay, 2))) + 10), 6) AS value FROM m, g WHERE pow((x - mx) / ax, 2) + pow((y - my) / ay, 2) <= 1 GROUP BY frame, y, x"""
+
+
+@plain(_bubble_sql(40, 96))
 def src_bubbles(spark: SparkSession, d: str) -> DataFrame:
-    return S.bubbles(spark, 40, 96)
+    return S.bubbles(spark, 40, 96).select("frame", "y", "x", *r6("value"))
 
 
 @plain("SELECT date_trunc('day', ts) AS day, count(*) AS n, round(avg(size), 6) AS mean_size FROM (SELECT timestamp AS ts, size FROM trackingtable WHERE timestamp IS NOT NULL) GROUP BY ALL")
@@ -313,7 +355,7 @@ def stream_frames(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query(", ro AS (SELECT level, rf, rl, row_number() OVER (PARTITION BY level ORDER BY rf, rl) AS uid FROM (SELECT DISTINCT level, rf, rl FROM ch)) SELECT 'grid' AS source, level, frame, label, CAST(uid AS BIGINT) AS uid, CAST(size AS INTEGER) AS size FROM ch JOIN ro USING (level, rf, rl) JOIN clus USING (frame, level, label)")
 def stream_link(g: Grid) -> DataFrame:
     path = new_path(g.spark, "cells")
     cells = g.cells.select(F.lit("grid").alias("source"), "frame", (F.col("frame") * 720).cast("bigint").alias("ts_min"), "y", "x", "value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from celltrack.operators import tracking as T
@@ -234,14 +234,21 @@ def link_prev_split(g: Grid) -> DataFrame:
     return g.previous.filter("prv_spl_uid IS NOT NULL").select(*K, "prv_spl_uid", "prv_spl_iuid")
 
 
-@query("""
+TRAJECTORY = """
 , tj(frame, level, label, pts) AS (SELECT frame, level, label, printf('%.4f %.4f', cx, cy) FROM ev JOIN clus USING (frame, level, label) WHERE past_label IS NULL OR contains(status, 'NEW')
-  UNION ALL SELECT e.frame, e.level, e.label, tj.pts || ', ' || printf('%.4f %.4f', c.cx, c.cy) FROM tj JOIN ev e ON e.level = tj.level AND e.prev_frame = tj.frame AND e.past_label = tj.label AND NOT contains(e.status, 'NEW') JOIN clus c ON c.level = e.level AND c.frame = e.frame AND c.label = e.label)
-SELECT frame, level, label, [[round(CAST(string_split(p, ' ')[1] AS DOUBLE), 3), round(CAST(string_split(p, ' ')[2] AS DOUBLE), 3)] FOR p IN string_split(pts, ', ')] AS points FROM tj WHERE contains(pts, ',')""")
-def link_trajectory(g: Grid) -> DataFrame:
-    """Every point of every trajectory, to three decimals."""
+  UNION ALL SELECT e.frame, e.level, e.label, tj.pts || ', ' || printf('%.4f %.4f', c.cx, c.cy) FROM tj JOIN ev e ON e.level = tj.level AND e.prev_frame = tj.frame AND e.past_label = tj.label AND NOT contains(e.status, 'NEW') JOIN clus c ON c.level = e.level AND c.frame = e.frame AND c.label = e.label),
+pj AS (SELECT frame, level, label, [[round(CAST(string_split(p, ' ')[1] AS DOUBLE), 3), round(CAST(string_split(p, ' ')[2] AS DOUBLE), 3)] FOR p IN string_split(pts, ', ')] AS points FROM tj WHERE contains(pts, ','))"""
+
+
+def points() -> Column:
+    """Every point of a trajectory, to three decimals."""
     body = F.split(F.regexp_extract("trajectory", r"\((.*)\)", 1), ", ")
-    return g.links.filter("trajectory IS NOT NULL").select(*K, F.transform(body, lambda p: F.transform(F.split(p, " "), lambda v: F.round(v.cast("double"), 3))).alias("points"))
+    return F.transform(body, lambda p: F.transform(F.split(p, " "), lambda v: F.round(v.cast("double"), 3)))
+
+
+@query(TRAJECTORY + " SELECT * FROM pj")
+def link_trajectory(g: Grid) -> DataFrame:
+    return g.links.filter("trajectory IS NOT NULL").select(*K, points().alias("points"))
 
 
 TT = "tt AS MATERIALIZED (SELECT fr.ts, u.frame, u.level, u.label, u.uid, u.iuid, u.lifetime, c.size, c.min, c.mean, c.max, c.cx, c.cy, c.xmin, c.xmax, c.ymin, c.ymax, e.status FROM ia u JOIN clus c USING (frame, level, label) JOIN ev e USING (frame, level, label) JOIN fr ON fr.frame = u.frame)"

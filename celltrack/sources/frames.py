@@ -79,10 +79,15 @@ def last_frames(frames: DataFrame, k: int, until: str | None = None) -> DataFram
     return kept.orderBy(F.col("ts").desc()).limit(k)
 
 
+def bubble_specs(size: int, count: int = 6, seed: int = 1) -> list[tuple[float, ...]]:
+    """Centre, speed, radii and phase of each ellipse."""
+    rng = np.random.default_rng(seed)
+    return [tuple(float(v) for v in row) for row in np.c_[rng.uniform(0, size, (count, 2)), rng.uniform(-1.5, 1.5, (count, 2)), rng.uniform(size / 14, size / 7, (count, 2)), rng.uniform(0, 6.28, count)]]
+
+
 def bubbles(spark: SparkSession, frames: int, size: int, count: int = 6, seed: int = 1) -> DataFrame:
     """Synthetic cells: ellipses that drift, steer, grow and fade, some meeting and parting."""
-    rng = np.random.default_rng(seed)
-    specs = [tuple(float(v) for v in row) for row in np.c_[rng.uniform(0, size, (count, 2)), rng.uniform(-1.5, 1.5, (count, 2)), rng.uniform(size / 14, size / 7, (count, 2)), rng.uniform(0, 6.28, count)]]
+    specs = bubble_specs(size, count, seed)
     names = ("cx", "cy", "vx", "vy", "rx", "ry", "phase")
     blobs = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, spec))) for spec in specs))
     t = F.col("frame")

@@ -261,6 +261,28 @@ def test_drift(spark):
     assert drift.schema_changes(df.limit(0)).count() == 0 and drift.unified(df.limit(0)).count() == 0
 
 
+def test_part_of_an_alias_is_a_rename_and_long_arrays_fail(spark):
+    df = records(spark, [['{"far":0.5,"far_opt":1}'], ['{"false_alarm":0.5,"u_opt":[1,2],"ratio":3}'], ['{"false_alarm_ratio":0.5,"u_opt":[1]}']])
+    assert rows(drift.schema_changes(df)) == {("f1", "far", "renamed"), ("f1", "u_opt", "added"), ("f2", "far", "renamed")}
+    t = {r.file: r for r in drift.unified(df).collect()}
+    assert t["f1"].u_opt is None and t["f1"].failed == ["u_opt=[1,2]"] and t["f2"].u_opt == 1 and t["f2"].failed is None
+
+
+def test_changes_of_every_path(spark):
+    df = records(spark, [['{"a":1,"o":{"x":1,"p":{"q":true}}}', '{"a":"s"}', "no"], ['{"a":2,"o":{"x":"t"},"n":null}'], ["[1]"], ['{"a":2}']])
+    assert rows(drift.path_changes(df)) == {
+        ("f1", "a", "retyped", "number+string"), ("f1", "o.x", "retyped", "number"), ("f1", "o.p", "removed", None), ("f1", "o.p.q", "removed", None), ("f1", "n", "added", None),
+        ("f2", "a", "removed", None), ("f2", "o", "removed", None), ("f2", "o.x", "removed", None), ("f2", "n", "removed", None), ("f3", "a", "added", None),
+    }
+    assert drift.path_changes(df.limit(0)).count() == 0
+
+
+def test_proposed_renames(spark):
+    df = records(spark, [['{"wind_speed":5.0,"level":1,"t":300.5}', '{"wind_speed":6.0,"level":1,"t":301.5}'], ['{"windSpeed":5.5,"depth":900,"temp":301.0}']])
+    got = {(r.file, r.path): (r.was, r.shared) for r in drift.rename_proposals(df).collect()}
+    assert got == {("f1", "windSpeed"): ("wind_speed", 2), ("f1", "temp"): ("t", 0)}
+
+
 def test_names():
     assert len({drift.name_key(n) for n in ("u_opt", "uOpt", "U_OPT", "u-opt", "opt_u")}) == 1
     assert drift.name_key("far_opt") != drift.name_key("far")
