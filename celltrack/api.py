@@ -21,6 +21,7 @@ from celltrack.operators import forecast as fc
 from celltrack.operators import imaging
 from celltrack.operators import tracking as T
 from celltrack.runtime import cut
+from celltrack.sources import catalog
 
 
 def wildcards(df: DataFrame, names: tuple[str, ...]) -> list[str]:
@@ -66,12 +67,18 @@ class Tracker:
     def nested(self) -> DataFrame:
         return cut(T.inside(self.labelled))
 
+    @cached_property
+    def flow_points(self) -> DataFrame:
+        """Optical-flow vectors at the points of clusters, in cells."""
+        g = self.cfg.grid
+        return cut(imaging.flow_points(imaging.normalize(self.cells), self.labelled, self.pairs, g.y_dim, g.x_dim, method=self.cfg.opt_mtd))
+
     @cached_property
     def vecs(self) -> DataFrame:
         v = T.vectors(self.feats, self.ev, self.edges, self.labelled, self.nested, self.cfg)
         if self.cfg.opt_correction:
             g = self.cfg.grid
-            flow = imaging.flow_vectors(imaging.normalize(self.cells), self.labelled, self.pairs, g.y_dim, g.x_dim, method=self.cfg.opt_mtd)
+            flow = self.flow_points.groupBy(*T.KEY).agg(F.avg("u").alias("u_opt"), F.avg("v").alias("v_opt"))
             v = v.join(flow.select(*T.KEY, (F.col("u_opt") * g.x_res).alias("u_opt"), (F.col("v_opt") * g.y_res).alias("v_opt")), T.KEY, "left")
         return cut(v)
 
@@ -128,6 +135,24 @@ class Tracker:
     def outlines(self) -> DataFrame:
         return outline.outlines(T.pixel_arrays(self.labelled), self.cfg.grid)
 
+    def run(self, root: str, feat_ext: bool = True, spat_ope: bool = True, clst_lnk: bool = True, concat: bool = True, duration: bool = True, clean: bool = False) -> dict[str, str]:
+        """Write the stages that are switched on below ``root``; where each lies. ``clean`` clears the folder first.
+
+        Every stage is computed from the one before whether or not that is written. The tracking table goes by mode and day.
+        """
+        spark = self.cells.sparkSession
+        if clean:
+            catalog.clear(spark, root)
+        done = {}
+        for name, wanted, stage in (("features", feat_ext, lambda: self.feats), ("spatial", spat_ope, lambda: self.ev.join(self.vecs.drop("status"), T.KEY)), ("linked", clst_lnk, lambda: self.links.join(self.previous, T.KEY, "left")), ("durations", duration, self.durations)):
+            if wanted:
+                done[name] = f"{root}/{name}"
+                stage().write.mode("overwrite").parquet(done[name])
+        if concat:
+            done["tracks"] = f"{root}/tracks"
+            catalog.store(self.table(), done["tracks"], "track")
+        return done
+
     def durations(self) -> DataFrame:
         """``(iuid, first_ts, last_ts, duration)`` in whole minutes."""
         d = self.tracks.groupBy(F.coalesce("iuid", F.col("uid").cast("double")).alias("iuid")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

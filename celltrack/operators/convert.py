@@ -109,6 +109,7 @@ def family_report(table: DataFrame) -> DataFrame:
     mean and largest value and expansion, undefined ones as -999.99.
     """
     t = clean(table.select("uid", "ts", "level", "label", F.col("size").cast("double").alias("size"), "cx", "cy", "mean", "max", "expansion"))
+    t = t.withColumns({c: F.col(c).cast("bigint") for c in ("uid", "level", "label")})
     w = Window.partitionBy("uid").orderBy("ts", "level", "label")
     row = F.format_string("%s %2d %8d %10.3f %10.3f %10.2f %10.2f %12.3f", F.date_format("ts", "yyyyMMdd HHmm"), F.col("level"), F.col("size").cast("int"), "cx", "cy", "mean", "max", "expansion")
     body = t.select("uid", F.row_number().over(w).cast("bigint").alias("k"), row.alias("line"))
@@ -141,3 +142,15 @@ def convert(tracker, kind: str, start: str | None = None, end: str | None = None
         return raster_columns(tracker.labelled, rows.withColumn("value", value), ("value",))
     g = tracker.cfg.grid
     return vectorfield(tracker.flow_points.join(rows.select(*KEY), KEY, "left_semi"), (g.x0 + g.x_res / 2, g.y0 + g.y_res / 2), (g.x_res, g.y_res))
+
+
+def split_dateline(pixels: DataFrame, x_dim: int) -> DataFrame:
+    """Pixels beyond the last column taken round to the first, ``part`` telling the turns made: 0 for those that stay."""
+    return pixels.withColumns({"x": F.pmod(F.col("x"), F.lit(x_dim)), "part": F.floor(F.col("x") / x_dim).cast("int")})
+
+
+def lists_by_time(table: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """``(*by, *columns)``: each column as a list for each time, in ``order``."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, *(F.col(c).alias(f"__{c}") for c in columns))))
+    pick = lambda c: F.transform("r", lambda r: r[f"__{c}"]).alias(c)
+    return table.groupBy(*by).agg(rows.alias("r")).select(*by, *map(pick, columns))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from celltrack.operators.proximity import containing_region
+
 
 def asof(left: DataFrame, times: DataFrame, mode: str = "nearest", tolerance_minutes: float | None = None, ts: str = "ts") -> DataFrame:
     """``left`` with ``match_ts``: the entry of ``times(ts)`` that belongs to each row, null where none does.
@@ -64,3 +66,53 @@ def largest_box(pixels: DataFrame, boxes: DataFrame, keys: list[str], cell: int
     n = hit.groupBy(*keys, "box_id").agg(F.count(F.lit(1)).alias("share"))
     best = n.groupBy(*keys).agg(F.min_by(F.struct("box_id", "share"), F.struct(-F.col("share"), F.col("box_id"))).alias("b"))
     return best.select(*keys, "b.box_id", "b.share")
+
+
+STATISTICS = ("count", "mean", "median", "std", "min", "max", "mode")
+
+
+def resample(raster: DataFrame, origin: tuple[float, float], step: tuple[float, float], grid_origin: tuple[float, float], grid_step: tuple[float, float], y_dim: int, x_dim: int) -> DataFrame:
+    """``(ts, y, x, value)`` on another grid: each grid cell takes the raster cell that its centre lies in.
+
+    Origins are the lower corners (x, y), steps the cell sizes. Each raster cell is spread over the grid cells whose
+    centres it holds, so no pair of cells is compared. Cells beyond the grid are left out.
+    """
+    lo = lambda c, k: F.ceil(round_off((origin[k] + F.col(c) * step[k] - grid_origin[k]) / grid_step[k] - 0.5))
+    hi = lambda c, k: F.ceil(round_off((origin[k] + (F.col(c) + 1) * step[k] - grid_origin[k]) / grid_step[k] - 0.5)) - 1
+    span = lambda c, k, n: F.when(F.greatest(lo(c, k), F.lit(0)) <= F.least(hi(c, k), F.lit(n - 1)), F.sequence(F.greatest(lo(c, k), F.lit(0)), F.least(hi(c, k), F.lit(n - 1))))
+    spread = raster.select("ts", "value", F.explode(span("y", 1, y_dim)).alias("ny"), span("x", 0, x_dim).alias("xs"))
+    return spread.select("ts", F.col("ny").cast("int").alias("y"), F.explode("xs").alias("x"), "value").withColumn("x", F.col("x").cast("int"))
+
+
+def round_off(c: Column) -> Column:
+    """Sums of decimals next to a whole number made that number."""
+    return F.round(c, 9)
+
+
+def add_raster(table: DataFrame, pixels: DataFrame, frames: DataFrame, raster: DataFrame, name: str, statistics: tuple[str, ...] = ("mean",), mode: str = "nearest", tolerance_minutes: float | None = None, values: bool = False) -> DataFrame:
+    """``table`` with ``<name>_<statistic>`` of the raster cells under each cluster at its matching time, and their list if asked.
+
+    Rows without a match or without a cell keep nulls. ``pixels`` and ``table`` go by frame, level and label.
+    """
+    unknown = [x for x in statistics if x not in STATISTICS and not x.startswith("percentile_")]
+    if unknown:
+        raise ValueError(f"unknown statistics: {unknown}")
+    keys = ["frame", "level", "label"]
+    shares = tuple(int(x.split("_")[1]) for x in statistics if x.startswith("percentile_"))
+    at = asof(frames.select("frame", "ts"), raster, mode, tolerance_minutes).select("frame", "match_ts")
+    z = zonal(pixels.join(at, "frame").select(*keys, "match_ts", "y", "x"), raster, keys, shares or (25, 90))
+    cols = [F.col(x).alias(f"{name}_{x}") for x in statistics] + ([F.col("values").alias(f"{name}_values")] if values else [])
+    return table.join(z.select(*keys, *cols), keys, "left")
+
+
+def polygons_of_points(points: DataFrame, polygons: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``(*keys, region_id, region_name, share)``: how many of the points ``(*keys, lon, lat)`` of each key lie in each polygon ``(region_id, name, geometry)``."""
+    hit = containing_region(points, polygons, keys)
+    return hit.groupBy(*keys, "region_id", "region_name").agg(F.count(F.lit(1)).alias("share"))
+
+
+def add_polygons(table: DataFrame, points: DataFrame, polygons: DataFrame, keys: tuple[str, ...], name: str = "region") -> DataFrame:
+    """``table`` with ``<name>_id, <name>``: the polygon that holds most of a row's points, the smaller id on a tie, null without any."""
+    n = polygons_of_points(points, polygons, keys)
+    best = n.groupBy(*keys).agg(F.min_by(F.struct("region_id", "region_name"), F.struct(-F.col("share"), F.col("region_id"))).alias("__b"))
+    return table.join(best.select(*keys, F.col("__b.region_id").alias(f"{name}_id"), F.col("__b.region_name").alias(name)), list(keys), "left")

@@ -37,27 +37,44 @@ def image(tracks: DataFrame, labelled: DataFrame, last: int, window: int, cfg: T
     return px.select(clip(y, g.y_dim).alias("y"), x.alias("x"), "value").groupBy("y", "x").agg(F.avg("value").alias("value"))
 
 
-def forecast(tracks: DataFrame, labelled: DataFrame, last: int, window: int, leads: int, cfg: TrackConfig) -> DataFrame:
-    """``(lead, level, label, size, cx, cy, status)`` for each lead step.
+MODES = {"persistence": image}
+
+
+def image_by(mode: str):
+    """The forecast image of a mode; ValueError for an unknown one."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {sorted(MODES)}")
+    return MODES[mode]
+
+
+def forecast(tracks: DataFrame, labelled: DataFrame, last: int, window: int, leads: int, cfg: TrackConfig, mode: str = "persistence") -> DataFrame:
+    """``(issue_ts, ts, lead, frame, level, label, uid, iuid, status, size, mean, max, cx, cy, u_, v_)`` for each lead step.
+
+    Times are those of the last frame and of each step after it. A cluster without a past has no uid. Without a frame
+    ``last`` there are no rows.
 
     Each step's image is segmented, labelled and classified against the step before; a cluster with a past keeps the
     vector and identity it moved with, so the next step carries it on.
     """
-    out = None
+    draw, out = image_by(mode), None
+    issued = F.lit(tracks.filter(F.col("frame") == last).agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    tracks = tracks.select(*T.KEY, "uid", "iuid", "u_", "v_", "cx", "cy")
     for lead in range(1, leads + 1):
         frame = last + lead
-        img = cut(image(tracks, labelled, frame - 1, window, cfg).withColumn("frame", F.lit(frame)))
+        img = cut(draw(tracks, labelled, frame - 1, window, cfg).withColumn("frame", F.lit(frame)))
         lab = cut(T.label_components(T.segment(img.select("frame", "y", "x", "value"), cfg), cfg))
         both = labelled.filter(F.col("frame") == frame - 1).unionByName(lab)
         pairs = tracks.sparkSession.createDataFrame([(frame, frame - 1)], "frame int, prev_frame int")
         edges = cut(T.overlay(both, pairs, cfg))
         feats = T.features(lab, cfg)
         ev = T.events(feats, edges)
-        prev = tracks.filter(F.col("frame") == frame - 1).select("level", F.col("label").alias("past_label"), "iuid", F.col("cx").alias("pcx"), F.col("cy").alias("pcy"))
+        prev = tracks.filter(F.col("frame") == frame - 1).select("level", F.col("label").alias("past_label"), "uid", "iuid", F.col("cx").alias("pcx"), F.col("cy").alias("pcy"))
         here = cut(feats.join(ev.select(*T.KEY, "status", "past_label"), T.KEY).join(prev, ["level", "past_label"], "left"))
-        rows = here.select(F.lit(lead).alias("lead"), "level", "label", "size", "cx", "cy", "status")
+        moved = {"u_": F.col("cx") - F.col("pcx"), "v_": F.col("cy") - F.col("pcy")}
+        rows = here.select(F.lit(lead).alias("lead"), *T.KEY, "uid", "iuid", "status", "size", "mean", "max", "cx", "cy", *(c.alias(n) for n, c in moved.items()))
         out = rows if out is None else out.unionByName(rows)
-        new = here.select(*T.KEY, "iuid", (F.col("cx") - F.col("pcx")).alias("u_"), (F.col("cy") - F.col("pcy")).alias("v_"), "cx", "cy")
-        tracks = cut(tracks.filter(F.col("frame") > frame - window).select(*T.KEY, "iuid", "u_", "v_", "cx", "cy").unionByName(new))
+        new = here.select(*T.KEY, "uid", "iuid", *(c.alias(n) for n, c in moved.items()), "cx", "cy")
+        tracks = cut(tracks.filter(F.col("frame") > frame - window).unionByName(new))
         labelled = cut(labelled.filter(F.col("frame") == frame - 1).unionByName(lab).filter(F.col("frame") == frame))
-    return out
+    step = F.make_interval(mins=F.col("lead") * F.lit(int(cfg.delta_time)))
+    return out.select(issued.alias("issue_ts"), (issued + step).cast("timestamp_ntz").alias("ts"), *rows.columns)

@@ -79,38 +79,92 @@ def dense(y: np.ndarray, x: np.ndarray, v: np.ndarray, shape: tuple[int, int]) -
     return a
 
 
-def lucas_kanade(before: np.ndarray, after: np.ndarray, window: int = 2, steps: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dense least-squares flow by iterated warping; ``(u, v, quality)``, quality being the smaller eigenvalue."""
+def _box(a: np.ndarray, reach: int) -> np.ndarray:
+    """Sums over squares of ``reach`` cells each way, cut off at the edges."""
+    c = np.pad(a, ((reach + 1, reach), (reach + 1, reach))).cumsum(0).cumsum(1)
+    n = 2 * reach + 1
+    return c[n:, n:] - c[:-n, n:] - c[n:, :-n] + c[:-n, :-n]
+
+
+def _halved(a: np.ndarray) -> np.ndarray:
+    a = np.pad(a, ((0, a.shape[0] % 2), (0, a.shape[1] % 2)), mode="edge")
+    return (a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]) / 4
+
+
+def _pyramid(before: np.ndarray, after: np.ndarray, levels: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Both images, each level half the size of the one before, down to ``least`` cells a side."""
+    out = [(before, after)]
+    while len(out) < levels and min(out[-1][0].shape) >= 2 * least:
+        out.append((_halved(out[-1][0]), _halved(out[-1][1])))
+    return out
+
+
+def _doubled(flow: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    return 2 * np.repeat(np.repeat(flow, 2, 0), 2, 1)[: shape[0], : shape[1]]
+
+
+def _moved(a: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The image seen from each cell along its vector, bilinear."""
+    h, w = a.shape
+    y, x = np.mgrid[:h, :w]
+    sy, sx = np.clip(y + v, 0, h - 1), np.clip(x + u, 0, w - 1)
+    y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx = sy - y0, sx - x0
+    return a[y0, x0] * (1 - fy) * (1 - fx) + a[y1, x0] * fy * (1 - fx) + a[y0, x1] * (1 - fy) * fx + a[y1, x1] * fy * fx
+
+
+DAMPING = 0.02
+FARTHEST = 5.0  # cells that one level of the pyramid may move
+
+
+def lucas_kanade(before: np.ndarray, after: np.ndarray, window: int = 2, steps: int = 30, levels: int = 3, settled: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dense least-squares flow by iterated warping from coarse to fine; ``(u, v, quality)``, quality being the smaller eigenvalue.
+
+    Each of up to ``levels`` levels takes at most ``steps`` steps, or stops once none moves by ``settled`` cells.
+    """
     if min(before.shape) < 3:
         return np.zeros_like(before), np.zeros_like(before), np.zeros_like(before)
-    window = min(window, (min(before.shape) - 1) // 2)
-    gy, gx = np.gradient(before)
-    k = np.ones(2 * window + 1)
-    smooth = lambda a: np.apply_along_axis(lambda r: np.convolve(r, k, "same"), 0, np.apply_along_axis(lambda r: np.convolve(r, k, "same"), 1, a))
-    xx, yy, xy = smooth(gx * gx), smooth(gy * gy), smooth(gx * gy)
-    trace, det = xx + yy, xx * yy - xy * xy
-    quality = trace / 2 - np.sqrt(np.maximum(trace**2 / 4 - det, 0))
-    u, v = np.zeros_like(before), np.zeros_like(before)
-    yy0, xx0 = np.mgrid[: before.shape[0], : before.shape[1]]
-    for _ in range(steps):
-        sy, sx = np.clip(yy0 + v, 0, before.shape[0] - 1), np.clip(xx0 + u, 0, before.shape[1] - 1)
-        y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
-        y1, x1 = np.minimum(y0 + 1, before.shape[0] - 1), np.minimum(x0 + 1, before.shape[1] - 1)
-        fy, fx = sy - y0, sx - x0
-        warped = after[y0, x0] * (1 - fy) * (1 - fx) + after[y1, x0] * fy * (1 - fx) + after[y0, x1] * (1 - fy) * fx + after[y1, x1] * fy * fx
-        t = warped - before
-        bx, by = smooth(gx * t), smooth(gy * t)
-        ok = det > 1e-9 * np.maximum(trace**2, 1e-12)
-        with np.errstate(all="ignore"):
-            du = np.where(ok, -(yy * bx - xy * by) / det, 0)
-            dv = np.where(ok, -(xx * by - xy * bx) / det, 0)
-        u, v = u + np.clip(du, -1, 1), v + np.clip(dv, -1, 1)
+    u = v = quality = np.zeros((1, 1))
+    for one, two in reversed(_pyramid(before, after, levels, 8)):
+        reach = min(window, (min(one.shape) - 1) // 2)
+        u, v = (_doubled(f, one.shape) if f.size > 1 else np.zeros(one.shape) for f in (u, v))
+        gy, gx = np.gradient(one)
+        xx, yy, xy = _box(gx * gx, reach), _box(gy * gy, reach), _box(gx * gy, reach)
+        trace, det = xx + yy, xx * yy - xy * xy
+        quality = trace / 2 - np.sqrt(np.maximum(trace**2 / 4 - det, 0))
+        damp = DAMPING * max(quality.max(), 1e-12)  # a place that shows its movement across an edge only stays put along it
+        ax, ay = xx + damp, yy + damp
+        full = ax * ay - xy * xy
+        lead = np.maximum(quality, 1e-6 * max(quality.max(), 1e-12))
+        total = _box(lead, reach)
+        u0, v0 = u, v
+        for _ in range(steps):
+            t = _moved(two, u, v) - one
+            bx, by = _box(gx * t, reach), _box(gy * t, reach)
+            du = np.clip(-(ay * bx - xy * by) / full, -1, 1)
+            dv = np.clip(-(ax * by - xy * bx) / full, -1, 1)
+            # neighbours that share a window must share its flow, the clearer ones leading
+            du, dv = _box(du * lead, reach) / total, _box(dv * lead, reach) / total
+            u, v = np.clip(u + du, u0 - FARTHEST, u0 + FARTHEST), np.clip(v + dv, v0 - FARTHEST, v0 + FARTHEST)
+            if max(np.abs(du).max(), np.abs(dv).max()) < settled:
+                break
+        u, v = _box(u * lead, reach) / total, _box(v * lead, reach) / total
     return u, v, quality
 
 
 def flow_vectors(cells: DataFrame, labelled: DataFrame, pairs: DataFrame, y_dim: int, x_dim: int, least: float = 0.01, method: str = "lucas-kanade") -> DataFrame:
     """``(frame, level, label, u_opt, v_opt)``: mean flow of the previous to the present image over a cluster.
 
+    A point counts for the cluster of the highest level that holds it.
+    """
+    points = flow_points(cells, labelled, pairs, y_dim, x_dim, least, method)
+    return points.groupBy("frame", "level", "label").agg(F.avg("u").alias("u_opt"), F.avg("v").alias("v_opt"))
+
+
+def flow_points(cells: DataFrame, labelled: DataFrame, pairs: DataFrame, y_dim: int, x_dim: int, least: float = 0.01, method: str = "lucas-kanade") -> DataFrame:
+    """``(frame, level, label, y, x, u, v)``: flow of the previous to the present image at the points of clusters.
+
     A task holds the two images of one frame pair. With lucas-kanade, points of less than ``least`` of the best quality
     do not count; with farneback, points that move by a cell or less.
     """
@@ -123,12 +177,13 @@ def flow_vectors(cells: DataFrame, labelled: DataFrame, pairs: DataFrame, y_dim:
             u, v = polynomial_flow(part(0), part(1))
             y, x = np.nonzero(np.hypot(u, v) > 1)
         else:
-            u, v, q = lucas_kanade(part(0), part(1))
+            u, v, q = lucas_kanade(part(0), part(1), max(2, min(y_dim, x_dim) // 20))
             y, x = np.nonzero(q >= least * max(q.max(), 1e-12))
         return pd.DataFrame({"frame": rows["frame"].iat[0], "y": y.astype("int32"), "x": x.astype("int32"), "u": u[y, x], "v": v[y, x]})
 
     field = now.unionByName(old).groupBy("frame").applyInPandas(flow, "frame int, y int, x int, u double, v double")
-    return labelled.join(field, ["frame", "y", "x"]).groupBy("frame", "level", "label").agg(F.avg("u").alias("u_opt"), F.avg("v").alias("v_opt"))
+    top = labelled.groupBy("frame", "y", "x").agg(F.max(F.struct("level", "label")).alias("c"))
+    return top.join(field, ["frame", "y", "x"]).select("frame", "c.level", "c.label", "y", "x", "u", "v")
 
 
 def gabor(cells: DataFrame, size: int = 3, sigma: float = 2.0, theta: float = 0.0, wavelength: float = 5.0, gamma: float = 0.5) -> DataFrame:
@@ -178,9 +233,8 @@ def canny(cells: DataFrame, low: float, high: float) -> DataFrame:
     return cells.groupBy("frame").applyInPandas(edges, "frame int, y int, x int, value double")
 
 
-def polynomial_flow(before: np.ndarray, after: np.ndarray, sigma: float = 1.2, radius: int = 3, window: int = 5, steps: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Dense flow from local quadratic fits of both images, averaged over a window and refined by moving the second fit."""
-    window = min(window, (min(before.shape) - 1) // 2)
+def polynomial_flow(before: np.ndarray, after: np.ndarray, sigma: float = 1.2, radius: int = 3, window: int = 20, steps: int = 4, levels: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Dense flow from local quadratic fits of both images, averaged over a window and refined from coarse to fine by moving the second fit."""
     d = np.arange(-radius, radius + 1)
     g = np.exp(-(d**2) / (2 * sigma**2))
     yy, xx = np.meshgrid(d, d, indexing="ij")
@@ -192,22 +246,23 @@ def polynomial_flow(before: np.ndarray, after: np.ndarray, sigma: float = 1.2, r
         views = np.lib.stride_tricks.sliding_window_view(np.pad(a, radius, mode="edge"), (2 * radius + 1,) * 2)
         return views.reshape(*a.shape, -1) @ solve.T
 
-    p, q = fit(before), fit(after)
-    kernel = np.ones(2 * window + 1) / (2 * window + 1)
-    smooth = lambda a: np.apply_along_axis(lambda r: np.convolve(r, kernel, "same"), 0, np.apply_along_axis(lambda r: np.convolve(r, kernel, "same"), 1, a))
-    u, v = np.zeros_like(before), np.zeros_like(before)
-    y0, x0 = np.mgrid[: before.shape[0], : before.shape[1]]
-    for _ in range(steps):
-        ry, rx = np.rint(v).astype(int), np.rint(u).astype(int)
-        there = q[np.clip(y0 + ry, 0, before.shape[0] - 1), np.clip(x0 + rx, 0, before.shape[1] - 1)]
-        axx, ayy, axy = (p[..., 3] + there[..., 3]) / 2, (p[..., 4] + there[..., 4]) / 2, (p[..., 5] + there[..., 5]) / 4
-        bx = (p[..., 1] - there[..., 1]) / 2 + axx * rx + axy * ry
-        by = (p[..., 2] - there[..., 2]) / 2 + axy * rx + ayy * ry
-        g11, g22, g12 = smooth(axx**2 + axy**2), smooth(ayy**2 + axy**2), smooth(axy * (axx + ayy))
-        h1, h2 = smooth(axx * bx + axy * by), smooth(axy * bx + ayy * by)
-        det = g11 * g22 - g12**2
-        ok = det > 1e-9 * np.maximum((g11 + g22) ** 2, 1e-12)
-        with np.errstate(all="ignore"):
-            u = np.where(ok, (g22 * h1 - g12 * h2) / det, 0)
-            v = np.where(ok, (g11 * h2 - g12 * h1) / det, 0)
+    u = v = np.zeros((1, 1))
+    for one, two in reversed(_pyramid(before, after, levels, 24)):
+        reach = min(window, (min(one.shape) - 1) // 2)
+        u, v = (_doubled(f, one.shape) if f.size > 1 else np.zeros(one.shape) for f in (u, v))
+        p, q = fit(one), fit(two)
+        y0, x0 = np.mgrid[: one.shape[0], : one.shape[1]]
+        for _ in range(steps):
+            ry, rx = np.rint(v).astype(int), np.rint(u).astype(int)
+            there = q[np.clip(y0 + ry, 0, one.shape[0] - 1), np.clip(x0 + rx, 0, one.shape[1] - 1)]
+            axx, ayy, axy = (p[..., 3] + there[..., 3]) / 2, (p[..., 4] + there[..., 4]) / 2, (p[..., 5] + there[..., 5]) / 4
+            bx = (p[..., 1] - there[..., 1]) / 2 + axx * rx + axy * ry
+            by = (p[..., 2] - there[..., 2]) / 2 + axy * rx + ayy * ry
+            g11, g22, g12 = _box(axx**2 + axy**2, reach), _box(ayy**2 + axy**2, reach), _box(axy * (axx + ayy), reach)
+            h1, h2 = _box(axx * bx + axy * by, reach), _box(axy * bx + ayy * by, reach)
+            det = g11 * g22 - g12**2
+            ok = det > 1e-9 * np.maximum((g11 + g22) ** 2, 1e-12)
+            with np.errstate(all="ignore"):
+                u = np.where(ok, (g22 * h1 - g12 * h2) / det, 0)
+                v = np.where(ok, (g11 * h2 - g12 * h1) / det, 0)
     return u, v
