@@ -100,11 +100,12 @@ def solve_core(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("v"), F.col("a").alias("p")).unionByName(edges.select(F.col("a").alias("v"), F.col("a").alias("p"))).distinct()
 
 
-def groups(edges: DataFrame) -> DataFrame:
+def groups(edges: DataFrame, worthwhile: float = WORTHWHILE) -> DataFrame:
     """``(v, root)`` for every vertex of ``edges(a, b)``; equal roots are linked directly or indirectly.
 
     Null ends, loops and repeated pairs are allowed and change nothing, though a vertex that occurs only in
-    loops or beside a null has no row. No edges give no rows. The root is some vertex of the group.
+    loops or beside a null has no row. No edges give no rows. Stripping goes on while a round removes a share of
+    ``worthwhile`` of the vertices (0: to the end); what is left is the core. The groups do not depend on it. The root is some vertex of the group.
     """
     left = cut(_simple(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))))
     removed: list[DataFrame] = []
@@ -113,7 +114,7 @@ def groups(edges: DataFrame) -> DataFrame:
         left, gone, n_gone, n = reduce_once(before)
         drop(before)
         removed.append(gone)
-        if n_gone < WORTHWHILE * n:
+        if n_gone < worthwhile * n or not n_gone:
             break
     labels = solve_core(left) if not left.isEmpty() else left.select(F.col("a").alias("v"), F.col("b").alias("p"))
     labels = labels.select("v", F.col("p").alias("root"))

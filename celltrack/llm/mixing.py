@@ -30,7 +30,8 @@ EDGE = 1e-9
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``(doc_id, source, n_tokens)``: null and empty texts have 0 tokens; rows without doc_id are left out.
+    """``(doc_id, source, n_tokens)``: null and empty texts have 0 tokens; rows without doc_id are left out. Of rows
+    of one doc_id that of the first source by name, then of the fewest tokens, counts.
 
     ``tokenizer`` is a file of merge ranks at the same path on every executor.
     """
@@ -45,7 +46,8 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]})
 
-    return base.mapInPandas(count, "doc_id bigint, source string, n_tokens bigint").dropDuplicates(["doc_id"])
+    counted = base.mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
+    return counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("m")).select("doc_id", "m.*")
 
 
 def targets(sizes: DataFrame, mix_targets: DataFrame, total_tokens: int | None = None) -> DataFrame:

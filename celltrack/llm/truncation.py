@@ -191,8 +191,11 @@ def language(c: Column) -> Column:
     return F.when(code.rlike("^[a-z]{2}$"), code).otherwise("und")
 
 
-def scored_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key, *keep, language, form, log_odds, truncated`` for every row.
+def scored_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: tuple[str, ...] = (), thresholds: dict[str, float] | None = None) -> DataFrame:
+    """``key, *keep, language, form, log_odds, truncated`` for every row of one column of texts.
+
+    The log-odds are over the language's own rate of ends in that column, so one threshold serves; ``thresholds`` sets
+    others for some languages.
 
     Null and empty texts are whole, with null form and log_odds. Repeated rows are judged one by one and alike.
     Rows with a null key are left out. Columns of any other name are ignored.
@@ -314,7 +317,10 @@ def scored_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     odds = lambda x: F.log10(x / (1 - x))
     judged = tails.select("id", "language", "form").join(wide, "id", "left").join(rate, "language").withColumn("p", F.least(p, F.lit(0.999)))
     judged = judged.withColumn("log_odds", F.when(F.col("form").isin("word", "sentence"), odds(F.col("p")) - odds(F.least(F.col("rate"), F.lit(0.5)))))
-    limit = F.when(F.col("form") == "sentence", F.lit(SENTENCE_THRESHOLD)).otherwise(F.lit(THRESHOLD))
+    word_limit = F.lit(THRESHOLD)
+    for name, least in (thresholds or {}).items():
+        word_limit = F.when(F.col("language") == name, F.lit(float(least))).otherwise(word_limit)
+    limit = F.when(F.col("form") == "sentence", F.lit(SENTENCE_THRESHOLD)).otherwise(word_limit)
     cut_off = F.col("form").isin("code", "bracket") | F.coalesce(F.col("log_odds") < limit, F.lit(False))
     verdict = judged.select(F.col("id").alias(key), "form", "log_odds", cut_off.alias("truncated")).distinct()
     out = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), *(F.col(k) for k in keep), language(F.col(lang)).alias("language"))
