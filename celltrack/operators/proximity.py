@@ -6,8 +6,9 @@ many tasks). A point is copied into each strip and block within reach. Every cel
 is sorted by longitude and swept with an active window; distances are verified on
 the sphere. A pair belongs to the home cell of its smaller id, so it comes out once.
 
-Regions: a region list below ``REGION_BYTES`` of text (checked by a count over the
-table) travels with the tasks; a larger one is cut into grid cells and equi-joined.
+Regions: polygons are laid out on grid cells once; a point meets only the regions of its cell, and a cell wholly inside
+a region decides without a test. A region list below ``REGION_BYTES`` of text (checked by a count over the table) travels
+with the tasks; a larger one is equi-joined by cell, and its polygons are sent once to each share of the points at their rims.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ STRIP_REACHES = 4.0  # strip height in search distances
 BLOCK_DEGREES = 20.0
 REGION_BYTES = 16 << 20
 CELL_DEGREES = 1.0
+SHARES = 16  # parts into which the points at a large region's rim are cut
 PAIRS_AT_ONCE = 1 << 20
 
 
@@ -163,6 +165,36 @@ def near_pairs(points: DataFrame, km: float, group: tuple[str, ...] = (), id_col
     return placed.mapInPandas(sweep, "a_id bigint, b_id bigint").distinct()
 
 
+def cell_of(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """Number of the ``CELL_DEGREES`` cell of each place, longitudes modulo 360."""
+    turn = int(360 / CELL_DEGREES)
+    return np.floor(lat / CELL_DEGREES).astype(np.int64) * turn + np.mod(np.floor(lon / CELL_DEGREES).astype(np.int64), turn)
+
+
+def region_cells(r: wkt.Rings) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that a geometry reaches, and which of them lie in it wholly, no side coming near them."""
+    if not len(r.row):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    nxt = np.arange(1, len(r.x) + 1)
+    nxt[r.start + r.length - 1] = r.start
+    eps = 1e-9
+    floor = lambda v: np.floor(v / CELL_DEGREES).astype(np.int64)
+    x0, x1 = floor(np.minimum(r.x, r.x[nxt]) - eps), floor(np.maximum(r.x, r.x[nxt]) + eps)
+    y0, y1 = floor(np.minimum(r.y, r.y[nxt]) - eps), floor(np.maximum(r.y, r.y[nxt]) + eps)
+    turn = int(360 / CELL_DEGREES)
+    touched: set[tuple[int, int]] = set()
+    reached: set[tuple[int, int]] = set()
+    for a, b, c, d in zip(x0.tolist(), x1.tolist(), y0.tolist(), y1.tolist()):
+        touched.update((cy, cx % turn) for cx in range(a, b + 1) for cy in range(c, d + 1))
+    for s, k in zip(r.start.tolist(), r.length.tolist()):
+        reached.update((cy, cx % turn) for cx in range(int(x0[s : s + k].min()), int(x1[s : s + k].max()) + 1) for cy in range(int(y0[s : s + k].min()), int(y1[s : s + k].max()) + 1))
+    free = np.array(sorted(reached - touched), np.int64).reshape(-1, 2)
+    inner = free[wkt.inside(r, (free[:, 1] + 0.5) * CELL_DEGREES, (free[:, 0] + 0.5) * CELL_DEGREES)]
+    rim = np.array(sorted(touched), np.int64).reshape(-1, 2)
+    both = np.concatenate([rim, inner])
+    return both[:, 0] * turn + both[:, 1], np.arange(len(both)) >= len(rim)
+
+
 def containing_region(points: DataFrame, regions: DataFrame, id_cols: tuple[str, ...], region_bytes: int = REGION_BYTES) -> DataFrame:
     """``id_cols`` plus ``region_id, region_name`` for points with lon/lat that lie in a region.
 
@@ -183,42 +215,69 @@ def containing_region(points: DataFrame, regions: DataFrame, id_cols: tuple[str,
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parsed = [(i, n, wkt.rings([w])) for i, n, w in sent.value]
+            at = [region_cells(r) for _, _, r in parsed]
+            cell = np.concatenate([c for c, _ in at]) if at else np.zeros(0, np.int64)
+            region = np.repeat(np.arange(len(at)), [len(c) for c, _ in at])
+            whole = np.concatenate([w for _, w in at]) if at else np.zeros(0, bool)
+            order = np.argsort(cell, kind="stable")
+            cell, region, whole = cell[order], region[order], whole[order]
             for b in batches:
                 lon, lat = b["lon"].to_numpy(float), b["lat"].to_numpy(float)
-                for i, n, r in parsed:
-                    hit = wkt.inside(r, lon, lat) if len(r.row) else np.zeros(len(b), bool)
-                    if hit.any():
-                        yield b.loc[hit, list(id_cols)].assign(region_id=i, region_name=n)
+                own = cell_of(lon, lat)
+                lo, hi = np.searchsorted(cell, own, "left"), np.searchsorted(cell, own, "right")
+                n = hi - lo
+                point = np.repeat(np.arange(len(b)), n)
+                entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hit = whole[entry].copy()
+                for k in np.unique(region[entry[~hit]]).tolist():
+                    some = np.flatnonzero((region[entry] == k) & ~whole[entry])
+                    hit[some] = wkt.inside(parsed[k][2], lon[point[some]], lat[point[some]])
+                if hit.any():
+                    of = region[entry[hit]]
+                    out = b.iloc[point[hit]][list(id_cols)].reset_index(drop=True)
+                    yield out.assign(region_id=[parsed[k][0] for k in of], region_name=[parsed[k][1] for k in of])
 
         return picked.mapInPandas(search, schema)
 
-    turn = int(360 / CELL_DEGREES)
-
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for row in b.itertuples(index=False):
-                r = wkt.rings([row[2]])
-                cells = set()
-                for s, k in zip(r.start, r.length):
-                    x, y = r.x[s : s + k], r.y[s : s + k]
-                    for cy in range(math.floor(y.min() / CELL_DEGREES), math.floor(y.max() / CELL_DEGREES) + 1):
-                        for cx in range(math.floor(x.min() / CELL_DEGREES), math.floor(x.max() / CELL_DEGREES) + 1):
-                            cells.add((cy, cx % turn))
-                if cells:
-                    ys, xs = zip(*cells)
-                    yield pd.DataFrame({"region_id": row[0], "region_name": row[1], "__wkt": row[2], "cy": ys, "cx": xs})
-
-    covered = listed.mapInPandas(cover, "region_id bigint, region_name string, __wkt string, cy bigint, cx bigint")
-    gridded = picked.withColumn("cy", F.floor(F.col("lat") / CELL_DEGREES)).withColumn("cx", F.pmod(F.floor(F.col("lon") / CELL_DEGREES), F.lit(turn)))
+            for i, name, text in b.itertuples(index=False, name=None):
+                cell, whole = region_cells(wkt.rings([text]))
+                if len(cell):
+                    yield pd.DataFrame({"region_id": i, "region_name": name, "cell": cell, "whole": whole})
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(cell=cell_of(b["lon"].to_numpy(float), b["lat"].to_numpy(float)))
+
+    covered = listed.mapInPandas(cover, "region_id bigint, region_name string, cell bigint, whole boolean")
+    met = cut(picked.mapInPandas(number, f"{fields}, lon double, lat double, cell bigint").join(covered, "cell").drop("cell"))
+    sure = met.filter("whole").select(*id_cols, "region_id", "region_name")
+    # each polygon's text goes once to each of its shares of points, ahead of them, and never on a point's row
+    nothing = {c: F.lit(None).cast(t) for c, t in met.dtypes}
+    doubtful = met.filter("NOT whole").select(*met.columns, F.pmod(F.xxhash64("lon", "lat"), F.lit(SHARES)).alias("share"), F.lit(None).cast("string").alias("__wkt"))
+    shapes = listed.select(*(F.col(c) if c == "region_id" else nothing[c].alias(c) for c in met.columns), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))).alias("share"), "__wkt")
+    lined = doubtful.unionByName(shapes).repartition("region_id", "share").sortWithinPartitions("region_id", "share", F.col("__wkt").desc_nulls_last())
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapes_of: dict[int, list[wkt.Rings]] = {}
         for b in batches:
-            for text, part in b.groupby("__wkt", sort=False):
-                hit = wkt.inside(wkt.rings([text]), part["lon"].to_numpy(float), part["lat"].to_numpy(float))
-                if hit.any():
-                    yield part.loc[hit, [*id_cols, "region_id", "region_name"]]
+            rid = b["region_id"].to_numpy()
+            edge = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
+            for lo, hi in zip(edge, np.r_[edge[1:], len(b)]):
+                part, k = b.iloc[lo:hi], int(rid[lo])
+                if k not in shapes_of:
+                    shapes_of = {k: []}  # regions come one after another
+                text = part["__wkt"].notna()
+                shapes_of[k] += [wkt.rings([t]) for t in dict.fromkeys(part.loc[text, "__wkt"])]
+                part = part[~text]
+                lon, lat = part["lon"].to_numpy(float), part["lat"].to_numpy(float)
+                for r in shapes_of[k]:
+                    hit = wkt.inside(r, lon, lat) if len(part) else np.zeros(0, bool)
+                    if hit.any():
+                        yield part.loc[hit, [*id_cols, "region_id", "region_name"]]
 
-    return gridded.join(covered, ["cy", "cx"]).mapInPandas(test, schema)
+    return sure.unionByName(lined.mapInPandas(test, schema))
 
 
 def proximity_report(tracking: DataFrame, regions: DataFrame, km: float = 60.0) -> DataFrame:

@@ -44,6 +44,23 @@ def test_regions_by_broadcast_and_by_cells_agree(spark):
     assert rows(P.containing_region(pts, reg, ("id",), region_bytes=-1)) == want
 
 
+def test_region_search_equals_a_test_of_every_pair(spark, monkeypatch):
+    from celltrack.functions import wkt
+
+    rng = np.random.default_rng(4)
+    texts = ["POLYGON ((-10 0, 0 0, 0 10, -10 10, -10 0), (-7 3, -3 3, -3 7, -7 7, -7 3))", "MULTIPOLYGON (((170 -9, 191.5 -9, 185 4.2, 170 -9)), ((20 20, 20.3 20, 20.1 20.4, 20 20)))", "POLYGON ((5 -5, 9 -5, 9 -1, 7 -3, 5 -1, 5 -5))"]
+    reg = spark.createDataFrame([(i, f"r{i}", t) for i, t in enumerate(texts)] + [(0, "r0", texts[0])], "region_id bigint, name string, geometry string").distinct()
+    lon, lat = np.r_[rng.uniform(-12, 12, 900), rng.uniform(168, 180, 300), rng.uniform(-180, -167, 300), rng.uniform(19.9, 20.4, 300)], np.r_[rng.uniform(-7, 12, 1500), rng.uniform(19.9, 20.5, 300)]
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(lon, lat))], "id bigint, lon double, lat double")
+    want = {(int(i), k, f"r{k}") for k, t in enumerate(texts) for i in np.flatnonzero(wkt.inside(wkt.rings([t]), lon, lat))}
+    monkeypatch.setattr(P, "SHARES", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)  # polygons and their points in different batches
+    assert rows(P.containing_region(pts, reg, ("id",))) == want
+    assert rows(P.containing_region(pts, reg, ("id",), region_bytes=-1)) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert P.containing_region(pts.limit(0), reg, ("id",), region_bytes=-1).count() == P.containing_region(pts, reg.limit(0), ("id",)).count() == 0
+
+
 def test_report(spark):
     sq = lambda x, y: f"POLYGON (({x} {y}, {x + 0.2} {y}, {x + 0.2} {y + 0.2}, {x} {y + 0.2}, {x} {y}))"
     t = "2020-01-01 00:00:00"
