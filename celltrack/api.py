@@ -57,7 +57,8 @@ class Tracker:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cut(T.overlay(self.labelled, self.pairs, self.cfg))
+        shapes = cut(outline.hull_pixels(self.labelled)) if self.cfg.convex_hull else self.labelled
+        return cut(T.overlay(shapes, self.pairs, self.cfg))
 
     @cached_property
     def ev(self) -> DataFrame:

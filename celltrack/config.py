@@ -52,6 +52,7 @@ class Level:
 class TrackConfig:
     """``delta_time`` and ``delta_tolerance`` are minutes, ``min_overlap`` per cent of the earlier cluster.
 
+    ``convex_hull`` compares frames by the pixels whose centres lie in the clusters' hulls instead of their own.
     ``opt_correction`` scores the optical-flow vector of ``opt_mtd`` beside the others; ``validation`` writes the vector of
     least far into u_ and v_ of the tracks. Both are off unless asked for.
     """
@@ -64,6 +65,7 @@ class TrackConfig:
     cluster_method: str = "ndimage"
     eps: float = 1.0
     min_overlap: float = 10.0
+    convex_hull: bool = False
     edges: bool = False
     preserv_split: bool = False
     mrg_expansion: bool = False

@@ -89,3 +89,22 @@ def outlines(arrays: DataFrame, g: GridSpec) -> DataFrame:
             yield pd.DataFrame({"frame": b["frame"], "level": b["level"], "label": b["label"], "geometry": geo, "hull_area": area})
 
     return arrays.select("frame", "level", "label", "array_y", "array_x").mapInPandas(draw, "frame int, level int, label bigint, geometry string, hull_area double")
+
+
+def hull_pixels(labelled: DataFrame) -> DataFrame:
+    """``(frame, level, label, y, x)`` of the pixels whose centres lie in the convex hull of a cluster's pixels."""
+    from pyspark.sql import functions as F
+
+    arrays = labelled.groupBy("frame", "level", "label").agg(F.collect_list("y").alias("ys"), F.collect_list("x").alias("xs"))
+
+    def fill(batches):
+        for b in batches:
+            for frame, level, label, ys, xs in b.itertuples(index=False, name=None):
+                ring = np.array(hull(np.asarray(ys), np.asarray(xs)))
+                gy, gx = np.mgrid[min(ys) : max(ys) + 1, min(xs) : max(xs) + 1]
+                ok = np.ones(gy.shape, bool)
+                for (x0, y0), (x1, y1) in zip(ring[:-1], ring[1:]):
+                    ok &= (x1 - x0) * (gy + 0.5 - y0) - (y1 - y0) * (gx + 0.5 - x0) >= 0
+                yield pd.DataFrame({"frame": frame, "level": level, "label": label, "y": gy[ok].astype("int32"), "x": gx[ok].astype("int32")})
+
+    return arrays.mapInPandas(fill, "frame int, level int, label bigint, y int, x int")

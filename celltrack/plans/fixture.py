@@ -46,7 +46,7 @@ _grids: dict[tuple, Grid] = {}
 def grid(spark: SparkSession, sf_dir: str, name: str = "plain") -> Grid:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _grids:
-        settings: dict = {"gap": {"skip": (10, 11, 30), "empty": (20,)}, "dbscan": {"cluster_method": "dbscan", "eps": 2.0}, "split": {"preserv_split": True}, "expansion": {"mrg_expansion": True, "spl_expansion": True}, "opt": {"opt_correction": True, "validation": True}}.get(name, {})
+        settings: dict = {"gap": {"skip": (10, 11, 30), "empty": (20,)}, "dbscan": {"cluster_method": "dbscan", "eps": 2.0}, "split": {"preserv_split": True}, "expansion": {"mrg_expansion": True, "spl_expansion": True}, "opt": {"opt_correction": True, "validation": True}, "hull": {"convex_hull": True}}.get(name, {})
         _grids[key] = Grid(spark, sf_dir, **settings)
     return _grids[key]
 

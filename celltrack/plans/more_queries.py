@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -346,13 +344,12 @@ def src_catalog(spark: SparkSession, d: str) -> DataFrame:
 def stream_frames(spark: SparkSession, d: str) -> DataFrame:
     """The windows as a stream over the event files, driven to the end of the input.
 
-    The memory sink keeps one row for each window. Complete mode, as the last windows are never passed by a watermark.
+    Complete mode, as the last windows are never passed by a watermark; the result lies in files.
     """
     src = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"frames_{uuid.uuid4().hex[:8]}"
-    q = live.window_counts(src.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    windows = live.window_counts(src.withColumn("ts", F.col("ts").cast("timestamp")))
+    out = live.run_to_table(windows, new_path(spark, "windows"), new_path(spark, "ckpt"), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(", ro AS (SELECT level, rf, rl, row_number() OVER (PARTITION BY level ORDER BY rf, rl) AS uid FROM (SELECT DISTINCT level, rf, rl FROM ch)) SELECT 'grid' AS source, level, frame, label, CAST(uid AS BIGINT) AS uid, CAST(size AS INTEGER) AS size FROM ch JOIN ro USING (level, rf, rl) JOIN clus USING (frame, level, label)")
@@ -361,4 +358,4 @@ def stream_link(g: Grid) -> DataFrame:
     cells = g.cells.select(F.lit("grid").alias("source"), "frame", (F.col("frame") * 720).cast("bigint").alias("ts_min"), "y", "x", "value")
     cells.unionByName(live.end_marks(cells, g.cfg.delta_time)).orderBy("frame").coalesce(1).write.parquet(path)
     src = g.spark.readStream.schema(cells.schema).parquet(path)
-    return live.run_to_table(live.link_stream(src, g.cfg, g.width), f"links_{uuid.uuid4().hex[:8]}", new_path(g.spark, "ckpt"))
+    return live.run_to_table(live.link_stream(src, g.cfg, g.width), new_path(g.spark, "links"), new_path(g.spark, "ckpt"))

@@ -26,9 +26,9 @@ QUERIES: dict[str, tq.Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, pre: str = P):
+def query(sql: str | None = None, pre: str = P, fixture: str = "plain"):
     def put(f):
-        tq.query(sql, pre)(f)
+        tq.query(sql, pre, fixture)(f)
         QUERIES[f.__name__] = tq.QUERIES.pop(f.__name__)
         if sql is not None:
             SQL[f.__name__] = tq.SQL.pop(f.__name__)
@@ -199,6 +199,18 @@ def fn_dateline(g: Grid) -> DataFrame:
     return convert.split_dateline(g.labelled.select(*K, "y", (F.col("x") + 5).alias("x")), g.width)
 
 
+HULLS = mq.HULL.replace("px * qy - qx * py AS cr FROM", "px, py, qx, qy, px * qy - qx * py AS cr FROM") + """,
+hp AS MATERIALIZED (SELECT c.frame, c.level, c.label, gy.y, gx.x FROM clus c JOIN (SELECT CAST(i AS INTEGER) AS y FROM range(0, (SELECT w FROM w)) t(i)) gy ON gy.y BETWEEN c.ymin AND c.ymax JOIN (SELECT CAST(i AS INTEGER) AS x FROM range(0, (SELECT w FROM w)) t(i)) gx ON gx.x BETWEEN c.xmin AND c.xmax
+  JOIN hu e ON e.frame = c.frame AND e.level = c.level AND e.label = c.label GROUP BY ALL HAVING bool_and((qx - px) * (gy.y + 0.5 - py) - (qy - py) * (gx.x + 0.5 - px) >= 0)),
+hs AS (SELECT frame, level, label, count(*) AS size FROM hp GROUP BY ALL)"""
+
+
+@query(HULLS + " SELECT * FROM (SELECT a.frame, a.level, a.label, fp.prev_frame, b.label AS prev_label, count(*) AS shared, any_value(s.size) AS size, any_value(p.size) AS prev_size, round(100.0 * count(*) / any_value(p.size), 6) AS overlap FROM hp a JOIN fp ON fp.frame = a.frame JOIN hp b ON b.frame = fp.prev_frame AND b.level = a.level AND b.y = a.y AND b.x = a.x JOIN hs s ON (s.frame, s.level, s.label) = (a.frame, a.level, a.label) JOIN hs p ON (p.frame, p.level, p.label) = (b.frame, b.level, b.label) GROUP BY a.frame, a.level, a.label, fp.prev_frame, b.label) WHERE overlap >= 10", fixture="hull")
+def overlay_hull(g: Grid) -> DataFrame:
+    """Overlaps of convex hulls, by pixel centres."""
+    return g.edges.select(*K, "prev_frame", "prev_label", "shared", "size", "prev_size", *r6("overlap"))
+
+
 @query("SELECT frame, list(label ORDER BY level, label) AS label, list(size ORDER BY level, label) AS size FROM clus GROUP BY frame")
 def ana_lists(g: Grid) -> DataFrame:
     return convert.lists_by_time(g.feats, ("label", "size"), ("level", "label"))

@@ -105,8 +105,15 @@ def end_marks(cells: DataFrame, step_min: int) -> DataFrame:
     return last.select(*(mark.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in cells.schema))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Drive a stream over the input there is and read what it gave."""
-    q = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Drive a stream over the input there is, its rows going to Parquet files, and read what it gave.
+
+    In complete mode each batch replaces the files by the whole result.
+    """
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        w = w.format("parquet").option("path", path)
+    else:
+        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    w.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -35,7 +35,7 @@ def test_entry(spark, data):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p4_found", "p5_found", "p7_found", "p7_plan", "evt_all", "link_uid", "features_arrays", "far_best", "asof_nearest", "img_equalize", "geom_area"])
+@pytest.mark.parametrize("name", ["p1_found", "p3_found", "p3_readings", "p4_found", "p4_nodes", "p5_found", "p5_table", "p5_paths", "p7_found", "p7_plan", "link_iuid", "link_trajectory", "tracking_columns", "geom_hull", "sink_geojson", "sink_report", "enrich_raster", "src_bad_frame", "stream_link", "overlay_hull", "evt_all", "link_uid", "features_arrays", "far_best", "asof_nearest", "img_equalize", "geom_area"])
 def test_query_equals_sql(spark, data, duck, name):
     df = entry.queries()[name](spark, data)
     got = df.collect()
@@ -55,7 +55,7 @@ def test_stream_links_agree_with_batch_on_plain_tracks(spark, tmp_path):
     cells = run.cells.selectExpr("'a' AS source", "frame", "CAST(frame * 12 AS bigint) AS ts_min", "y", "x", "value")
     cells.orderBy("frame").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(cells.schema).parquet(str(tmp_path / "in"))
-    got = live.run_to_table(live.link_stream(stream, CFG, 12), "live_links", str(tmp_path / "ckpt"))
+    got = live.run_to_table(live.link_stream(stream, CFG, 12), str(tmp_path / "links"), str(tmp_path / "ckpt"))
     batch = {(k[0], k[2]): r.uid for k, r in run.links().items() if k[1] == 0}
     live_ = {(r.frame, r.label): r.uid for r in got.collect()}
     assert len(live_) == 8 and {k: batch[k] for k in live_} == live_  # the last frame is not closed yet
@@ -77,7 +77,7 @@ def test_stream_links_every_frame_and_level_as_the_batch_does(spark, tmp_path, o
     cells = run.cells.selectExpr("'a' AS source", "frame", "CAST(frame * 12 AS bigint) AS ts_min", "y", "x", "value")
     cells.unionByName(live.end_marks(cells, 12)).orderBy("frame").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(cells.schema).parquet(str(tmp_path / "in"))
-    got = live.run_to_table(live.link_stream(stream, cfg, 12), f"live_all_{'ge' if operator == '>=' else 'gt'}", str(tmp_path / "ckpt")).collect()
+    got = live.run_to_table(live.link_stream(stream, cfg, 12), str(tmp_path / "links"), str(tmp_path / "ckpt")).collect()
     batch = run.links()
     assert {(r.frame, r.level, r.label) for r in got} == set(batch) and len(got) == len(batch)
     assert {r.frame for r in got} == {0, 1, 2, 3, 4} and {r.level for r in got} == {0, 1}
