@@ -58,6 +58,14 @@ def test_groups_match_union_find(spark, seed):
     assert classes(got) == classes(union_find([e for e in edges if e[0] != e[1]]))
 
 
+@pytest.mark.parametrize("worthwhile", [0.0, 1.1])
+def test_groups_do_not_depend_on_how_far_stripping_goes(spark, worthwhile):
+    edges = shapes(random.Random(77))
+    got = {r.v: r.root for r in C.groups(spark.createDataFrame(edges, "a bigint, b bigint"), worthwhile).collect()}
+    want = union_find([e for e in edges if e[0] != e[1]])
+    assert classes(got) == classes(want)
+
+
 def test_nothing(spark):
     assert C.groups(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 

@@ -209,7 +209,7 @@ def test_a_run_with_one_undamaged_stretch_is_found(spark):
     slip = lambda w: w[:3] + ("x" if w[3] != "x" else "k") + w[4:]
     damaged = [w if k in (9, 10, 11) else slip(w) for k, w in enumerate(words)]
     text, ends = leaks.item_words(" ".join(words))
-    whole, _ = leaks.stream("and " + " ".join(damaged) + " then")
+    whole = "and" + "".join(damaged) + "then"
     assert sum(text[p : p + leaks.SEED] in whole for p in ends[:-1] if len(text) - p >= leaks.SEED) < 4
     items = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
     # an earlier place repeats the undamaged words alone
@@ -247,3 +247,16 @@ def test_counts_equal_brute_force_in_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(truncation, "HELD_AT_ONCE", 50)
     monkeypatch.setattr(truncation, "LEAST_BITS", 1 << 16)
     assert {(r.doc_id, r.form, r.log_odds, r.truncated) for r in truncation.scored_ends(d).collect()} == base
+
+
+def test_differing_rows_of_a_document_count_once_and_alike(spark):
+    docs = spark.createDataFrame([(1, "b", "one two three"), (1, "a", "one two three four"), (1, "a", "one"), (2, None, None), (None, "a", "x")], "doc_id bigint, source string, text string")
+    first = mixing.token_counts(docs.repartition(5)).collect()
+    assert {(r.doc_id, r.source) for r in first} == {(1, "a"), (2, "(none)")} and {r.doc_id: r.n_tokens for r in first} == {1: 1, 2: 0}
+
+
+def test_thresholds_by_language(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, "en" if i % 2 else "de", "x", " ".join(passage(rng, 8)) + (" the end" if i % 3 else " of")) for i in range(60)], "doc_id bigint, lang string, source string, text string")
+    every = truncation.scored_ends(docs, thresholds={"de": 99.0}).collect()
+    assert all(r.truncated for r in every if r.language == "de") and {r.truncated for r in every if r.language == "en"} != {True}
