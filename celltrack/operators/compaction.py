@@ -317,3 +317,9 @@ def merged_records(features: DataFrame, linked: DataFrame) -> DataFrame:
     """``(stage, frame, cidx)`` of each record whose copies consolidation merged."""
     merged = [consolidate(s, df)[0].merged().select(F.lit(s).alias("stage"), "frame", "cidx") for s, df in (("features", features), ("linked", linked))]
     return merged[0].unionByName(merged[1]).distinct()
+
+
+def consolidated(features: DataFrame, linked: DataFrame) -> DataFrame:
+    """``(stage, frame, cidx, records)``: how many records each cluster has in the consolidated tables."""
+    kept = [consolidate(s, df)[0].read().groupBy("frame", "cidx").agg(F.count(F.lit(1)).alias("records")).select(F.lit(s).alias("stage"), "frame", "cidx", "records") for s, df in (("features", features), ("linked", linked))]
+    return kept[0].unionByName(kept[1])

@@ -1,4 +1,4 @@
-"""Image filters on cells, as stencils: each cell is sent to its neighbours and aggregated there."""
+"""Image filters on cells. A stencil works on tiles with a rim as wide as its reach, so a cell travels once, rims apart."""
 
 from __future__ import annotations
 
@@ -10,38 +10,65 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TILE = 256
 
-def _stencil(cells: DataFrame, weights: dict[tuple[int, int], float], agg: Callable[[Column, Column], Column]) -> DataFrame:
-    """Apply ``agg(value, weight)`` at every cell over its present neighbours."""
-    offs = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(w)).alias("w")) for (dy, dx), w in weights.items()))
-    sent = cells.select("frame", "y", "x", "value", F.explode(offs).alias("o")).select("frame", (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"), "value", F.col("o.w").alias("w"), ((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("own"))
-    return sent.groupBy("frame", "y", "x").agg(agg(F.col("value"), F.col("w")).alias("value"), F.max("own").alias("own")).filter("own").drop("own")
+
+def _stencil(cells: DataFrame, weights: dict[tuple[int, int], float], combine: Callable[[np.ndarray, np.ndarray], np.ndarray], tile: int = TILE) -> DataFrame:
+    """``combine(values, weights)`` at every cell over its present neighbours.
+
+    ``values`` holds, for each of n cells, one row of a value per offset, NaN where there is no cell; cells without a value are
+    not there, and of cells at one place the largest counts.
+    """
+    reach = max(max(abs(dy), abs(dx)) for dy, dx in weights)
+    offsets, w = np.array(list(weights)), np.array(list(weights.values()), float)
+    span = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile).cast("int"), F.floor((F.col(c) + reach) / tile).cast("int"))
+    placed = cells.filter(F.col("value").isNotNull() & ~F.isnan("value")).select("frame", "y", "x", "value").withColumn("ty", F.explode(span("y"))).withColumn("tx", F.explode(span("x")))
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(rows["ty"].iat[0]), int(rows["tx"].iat[0])
+        y, x = rows["y"].to_numpy() - ty * tile + reach, rows["x"].to_numpy() - tx * tile + reach
+        v = rows["value"].to_numpy(float)
+        size = tile + 2 * reach
+        grid = np.full((size + 2 * reach, size + 2 * reach), np.nan)
+        order = np.argsort(v, kind="stable")
+        grid[y[order] + reach, x[order] + reach] = v[order]
+        own = np.unique((y * size + x)[(y >= reach) & (y < reach + tile) & (x >= reach) & (x < reach + tile)])
+        oy, ox = own // size, own % size
+        around = grid[oy[:, None] + reach + offsets[:, 0], ox[:, None] + reach + offsets[:, 1]]
+        out = combine(around, w) if len(own) else np.zeros(0)
+        return pd.DataFrame({"frame": rows["frame"].iat[0], "y": (oy - reach + ty * tile).astype("int32"), "x": (ox - reach + tx * tile).astype("int32"), "value": out})
+
+    return placed.groupBy("frame", "ty", "tx").applyInPandas(work, "frame int, y int, x int, value double")
 
 
 SQUARE = {(dy, dx): 1.0 for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
 
 
+def _weighted_sum(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.nansum(v * w, axis=1)
+
+
 def gaussian_blur(cells: DataFrame, sigma: float = 1.0) -> DataFrame:
     w = {(dy, dx): math.exp(-(dy * dy + dx * dx) / (2 * sigma * sigma)) for dy, dx in SQUARE}
-    return _stencil(cells, w, lambda v, k: F.sum(v * k) / F.sum(k))
+    return _stencil(cells, w, lambda v, k: _weighted_sum(v, k) / ((~np.isnan(v)) * k).sum(1))
 
 
 def median(cells: DataFrame) -> DataFrame:
-    return _stencil(cells, SQUARE, lambda v, k: F.percentile(v, 0.5))
+    return _stencil(cells, SQUARE, lambda v, k: np.nanmedian(v, axis=1))
 
 
 def dilate(cells: DataFrame) -> DataFrame:
-    return _stencil(cells, SQUARE, lambda v, k: F.max(v))
+    return _stencil(cells, SQUARE, lambda v, k: np.nanmax(v, axis=1))
 
 
 def erode(cells: DataFrame) -> DataFrame:
-    return _stencil(cells, SQUARE, lambda v, k: F.min(v))
+    return _stencil(cells, SQUARE, lambda v, k: np.nanmin(v, axis=1))
 
 
 def sharpen(cells: DataFrame) -> DataFrame:
     """Centre by 5, its four neighbours by -1; a missing neighbour counts as the centre does not."""
     w = {(0, 0): 5.0, (1, 0): -1.0, (-1, 0): -1.0, (0, 1): -1.0, (0, -1): -1.0}
-    return _stencil(cells, w, lambda v, k: F.sum(v * k))
+    return _stencil(cells, w, _weighted_sum)
 
 
 def by_frame(cells: DataFrame, f: Callable[[Column, Column, Column, Column, Column], Column]) -> DataFrame:
@@ -174,7 +201,7 @@ def flow_points(cells: DataFrame, labelled: DataFrame, pairs: DataFrame, y_dim:
     def flow(rows: pd.DataFrame) -> pd.DataFrame:
         part = lambda k: dense(*(rows.loc[rows["now"] == k, c].to_numpy() for c in ("y", "x", "value")), (y_dim, x_dim))
         if method == "farneback":
-            u, v = polynomial_flow(part(0), part(1))
+            u, v = polynomial_flow(part(0), part(1), window=min(20, min(y_dim, x_dim) // 3))
             y, x = np.nonzero(np.hypot(u, v) > 1)
         else:
             u, v, q = lucas_kanade(part(0), part(1), max(2, min(y_dim, x_dim) // 20))
@@ -193,7 +220,7 @@ def gabor(cells: DataFrame, size: int = 3, sigma: float = 2.0, theta: float = 0.
         for dx in range(-size, size + 1):
             a, b = dx * math.cos(theta) + dy * math.sin(theta), -dx * math.sin(theta) + dy * math.cos(theta)
             w[dy, dx] = math.exp(-(a * a + gamma * gamma * b * b) / (2 * sigma * sigma)) * math.cos(2 * math.pi * a / wavelength)
-    return _stencil(cells, w, lambda v, k: F.sum(v * k))
+    return _stencil(cells, w, _weighted_sum)
 
 
 def scale(cells: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:

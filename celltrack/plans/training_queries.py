@@ -69,11 +69,15 @@ def p7_files(spark: SparkSession, d: str) -> DataFrame:
     return compaction.consolidation(table(spark, d, "features"), table(spark, d, "linked"))
 
 
+def p7_once(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.consolidated(table(spark, d, "features"), table(spark, d, "linked"))
+
+
 def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     return compaction.small_file_plan(table(spark, d, "stored_files"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_series, p3_readings, p4_found, p4_nodes, p5_found, p5_table, p5_paths, p5_renames, p6_found, p7_found, p7_files, p7_plan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_series, p3_readings, p4_found, p4_nodes, p5_found, p5_table, p5_paths, p5_renames, p6_found, p7_found, p7_files, p7_once, p7_plan)}
 
 # The names under which each quantity appears.
 NAMES = """('u_opt','u_opt'),('U_OPT','u_opt'),('u-opt','u_opt'),('opt_u','u_opt'),('u_optical','u_opt'),
@@ -133,6 +137,9 @@ SELECT DISTINCT stage, frame, cidx FROM (
   SELECT 'linked', frame, cidx FROM linked
   GROUP BY frame, cidx, cindex, uid, iuid, threshold_level, lifetime, list_sort(prv_mrg_uids),
            list_sort(prv_mrg_iuids), prv_spl_uid, prv_spl_iuid HAVING count(*) > 1)""",
+    "p7_once": """
+SELECT 'features' AS stage, frame, cidx, count(DISTINCT list_sort(list_distinct(list_zip(coalesce(array_y, []), coalesce(array_x, []), coalesce(array_values, []))))) AS records FROM features GROUP BY frame, cidx
+UNION ALL SELECT 'linked', frame, cidx, count(*) FROM (SELECT DISTINCT frame, cidx, cindex, uid, iuid, threshold_level, lifetime, list_sort(prv_mrg_uids) AS a, list_sort(prv_mrg_iuids) AS b, prv_spl_uid, prv_spl_iuid FROM linked) GROUP BY frame, cidx""",
     "p7_plan": """
 SELECT stage, coalesce(nullif(regexp_extract(file, '([0-9]{8})_[0-9]{6}', 1), ''), 'none') AS day,
        count(*) AS n_files, count(*) FILTER (coalesce(n_bytes, 0) < 33554432) AS small_files,

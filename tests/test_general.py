@@ -125,6 +125,49 @@ def test_frozen_within_a_tolerance():
     assert np.flatnonzero(anomalies.stuck(np.full(6, 2.0), np.array([0, 1, 1, 1, 1, 1]))).tolist() == [1, 2, 3, 4, 5]
 
 
+def plain_filter(v):
+    """The filter of one short series, one reading after another."""
+    n = len(v)
+    if n < 3:
+        return set()
+    sd = 1.4826 * np.median(np.abs(np.diff(v))) / np.sqrt(2) * np.sqrt(1 + anomalies.FEW / n)
+    sd = max(sd, 1e-6 * (1 + abs(np.median(v))))
+    r, level, flags, away = sd**2, np.median(v[: anomalies.START]), set(), []
+    p = r
+    for t, y in enumerate(v):
+        p += 0 if away else anomalies.GAIN_RATIO * r
+        limit = anomalies.THRESHOLD**2 * (p + r)
+        e = y - level
+        if e * e > (limit / 4 if away else limit):
+            if e * e > limit and len(away) < t:
+                flags.add(t)
+            away.append(t)
+            if len(away) >= anomalies.LASTING:  # a lasting change
+                flags -= set(away)
+                level, p, away = np.median(v[away]), r, []
+        else:
+            level, p, away = level + p / (p + r) * e, p * (1 - p / (p + r)), []
+    return flags - set(away)
+
+
+def test_filter_side_by_side_equals_one_after_another():
+    rng = np.random.default_rng(11)
+    series_ = []
+    for _ in range(300):
+        v = rng.normal(0, 1, rng.integers(1, 60)).round(3) + rng.normal(0, 0.3, 1)
+        for at in rng.integers(0, len(v), len(v) // 12):
+            v[at] += rng.choice([-40, 25])
+        if rng.random() < 0.2:
+            v[len(v) // 2 :] += 30
+        series_.append(v)
+    number = np.repeat(np.arange(len(series_)), [len(v) for v in series_])
+    got = anomalies.flag_series(number, np.concatenate(series_), 360.0)
+    at = 0
+    for v in series_:
+        assert set(np.flatnonzero(got[at : at + len(v)])) == plain_filter(v)
+        at += len(v)
+
+
 def test_track_anomalies_in_tables(spark):
     v = [0.1, 0.11, 0.1, 0.09, 5.0, 0.1, 0.11, 0.1, 0.09, 0.1, None]
     sp = spark.createDataFrame([(i, 0, x, 500.0 if i == 2 else 0.1, float("nan") if i == 3 else float(i % 3)) for i, x in enumerate(v)], "frame int, cidx int, u_ double, v_ double, expansion double").selectExpr("*", "1 AS src", "2 AS piece")

@@ -189,3 +189,16 @@ def test_forecast_rows_tell_issue_and_lead(spark):
     step = timedelta(minutes=CFG.delta_time)
     assert {(r.issue_ts, r.ts, r.lead) for r in f} == {(last, last + step, 1), (last, last + 2 * step, 2)}
     assert {r.uid for r in f} == {1} and [r.u_ for r in sorted(f, key=lambda r: r.lead)] == [1.0, 1.0]
+
+
+def test_stencils_equal_brute_force_over_tile_borders(spark):
+    rng = random.Random(2)
+    cells = {(f, rng.randrange(30), rng.randrange(30)): rng.uniform(-5, 5) for f in (0, 3) for _ in range(400)}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()] + [(0, 2, 2, None), (3, 1, 1, float("nan"))], "frame int, y int, x int, value double").dropDuplicates(["frame", "y", "x"])
+    there = {(r.frame, r.y, r.x): r.value for r in df.collect() if r.value is not None and r.value == r.value}
+    weights = {(dy, dx): dy + 2.0 * dx + 0.5 for dy in (-2, 0, 1) for dx in (-1, 0, 3)} | {(0, 0): 1.0}
+    got = {(r.frame, r.y, r.x): r.value for r in imaging._stencil(df, weights, lambda v, w: np.nansum(v * w, axis=1), tile=7).collect()}
+    assert set(got) == set(there)
+    for (f, y, x), v in got.items():
+        assert v == pytest.approx(sum(w * there.get((f, y + dy, x + dx), 0.0) for (dy, dx), w in weights.items()))
+    assert imaging.median(df.limit(0)).count() == 0
