@@ -11,12 +11,16 @@ from celltrack.config import GridSpec
 
 def boundary_rings(y: np.ndarray, x: np.ndarray) -> list[list[tuple[int, int]]]:
     """Closed rings (x, y) around unit pixels: shells anticlockwise, holes clockwise; pixels that touch at a corner stay apart."""
-    cells = set(zip(x.tolist(), y.tolist()))
+    y, x = np.asarray(y, np.int64), np.asarray(x, np.int64)
+    wide = int(x.max()) + 3 if len(x) else 3
+    code = np.unique((y + 1) * wide + x + 1)
+    cy, cx = code // wide - 1, code % wide - 1
     nxt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for cx, cy in cells:
-        for dx, dy, a, b in ((0, -1, (cx, cy), (cx + 1, cy)), (1, 0, (cx + 1, cy), (cx + 1, cy + 1)), (0, 1, (cx + 1, cy + 1), (cx, cy + 1)), (-1, 0, (cx, cy + 1), (cx, cy))):
-            if (cx + dx, cy + dy) not in cells:
-                nxt.setdefault(a, []).append(b)
+    for step, (ax, ay), (bx, by) in ((-wide, (0, 0), (1, 0)), (1, (1, 0), (1, 1)), (wide, (1, 1), (0, 1)), (-1, (0, 1), (0, 0))):
+        at = np.searchsorted(code, code + step)
+        free = code[np.minimum(at, len(code) - 1)] != code + step  # sides without a neighbour
+        for px, py in zip(cx[free].tolist(), cy[free].tolist()):
+            nxt.setdefault((px + ax, py + ay), []).append((px + bx, py + by))
     rings = []
     while nxt:
         start = min(nxt)
@@ -65,7 +69,11 @@ def polygon_wkt(y: np.ndarray, x: np.ndarray, g: GridSpec) -> str:
 
 def hull(y: np.ndarray, x: np.ndarray) -> list[tuple[int, int]]:
     """Convex hull of the pixel corners, anticlockwise and closed."""
-    pts = sorted({(a + i, b + j) for a, b in zip(x.tolist(), y.tolist()) for i in (0, 1) for j in (0, 1)})
+    rows, row = np.unique(y, return_inverse=True)  # a row's outermost pixels are enough
+    low, high = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).min)
+    np.minimum.at(low, row, x)
+    np.maximum.at(high, row, x)
+    pts = sorted({(a, b + j) for a, b in zip([*low.tolist(), *(high + 1).tolist()], [*rows.tolist()] * 2) for j in (0, 1)})
 
     def half(seq) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []

@@ -125,9 +125,40 @@ def forecast_image(g: Grid) -> DataFrame:
     return fc.image(g.tracks, g.labelled, 56, 5, g.cfg).select("y", "x", *r6("value"))
 
 
-@query()
+def _lead_sql(k: int, last: int = 56, window: int = 5) -> str:
+    """One step of the forecast: image, clusters, events and identities from the step before."""
+    f, t, lb = last + k - 1, f"tr{k - 1}", f"lb{k - 1}"
+    near = "abs(b.y - r.y) <= 1 AND abs(b.x - r.x) <= 1"
+    return f""", al{k} AS (SELECT DISTINCT level, iuid FROM {t} WHERE frame = {f} AND u_ IS NOT NULL AND v_ IS NOT NULL),
+mv{k} AS (SELECT level, iuid, avg(u_) AS um, avg(v_) AS vm FROM {t} SEMI JOIN al{k} USING (level, iuid) WHERE frame > {f - window} AND frame <= {f} GROUP BY level, iuid),
+im{k} AS MATERIALIZED (SELECT y, x, avg(value) AS value FROM (SELECT greatest(0, least(w - 1, CAST(round_even(l.y + vm, 0) AS INTEGER))) AS y, greatest(0, least(w - 1, CAST(round_even(l.x + um, 0) AS INTEGER))) AS x, l.value
+  FROM {t} t JOIN mv{k} USING (level, iuid) JOIN {lb} l ON l.level = t.level AND l.label = t.label, w WHERE t.frame = {f}) GROUP BY y, x),
+px{k} AS MATERIALIZED (SELECT level, min_size, y, x, value, CAST(y AS BIGINT) * w + x AS id FROM im{k}, lv, w WHERE value >= threshold),
+re{k} AS (SELECT level, id AS root, id, y, x FROM px{k} r WHERE NOT EXISTS (SELECT 1 FROM px{k} b WHERE b.level = r.level AND {near} AND b.id < r.id) UNION SELECT r.level, r.root, b.id, b.y, b.x FROM re{k} r JOIN px{k} b ON b.level = r.level AND {near}),
+lb{k} AS MATERIALIZED (SELECT level, label, y, x, value FROM (SELECT p.*, m.label, count(*) OVER (PARTITION BY p.level, m.label) AS n FROM px{k} p JOIN (SELECT level, id, min(root) AS label FROM re{k} GROUP BY ALL) m USING (level, id)) WHERE n >= min_size),
+cl{k} AS MATERIALIZED (SELECT level, label, count(*) AS size, avg(x) AS cx, avg(y) AS cy FROM lb{k} GROUP BY ALL),
+ov{k} AS (SELECT o.*, c.size, p.size AS prev_size FROM (SELECT a.level, a.label, b.label AS prev_label, count(*) AS shared FROM lb{k} a JOIN {lb} b USING (level, y, x) GROUP BY ALL) o JOIN cl{k} c USING (level, label)
+  JOIN (SELECT level, label AS prev_label, count(*) AS size FROM {lb} GROUP BY ALL) p USING (level, prev_label) WHERE 100.0 * shared / p.size >= 10),
+fa{k} AS (SELECT level, label, count(*) AS n_prev, max(n_cur) AS n_cur, bool_or(n_cur > 1 AND rank = 1) AS major, bool_or(n_cur > 1 AND rank > 1) AS minor, arg_min(prev_label, -prev_size * 1e9 + prev_label) AS largest
+  FROM (SELECT *, count(*) OVER (PARTITION BY level, prev_label) AS n_cur, row_number() OVER (PARTITION BY level, prev_label ORDER BY size DESC, label) AS rank FROM ov{k}) GROUP BY level, label),
+fo{k} AS MATERIALIZED (SELECT c.level, c.label, c.size, c.cx, c.cy, CASE WHEN n_prev > 1 AND major THEN 'MRG/SPL' WHEN minor THEN 'NEW/SPL' WHEN major THEN 'SPL' WHEN n_prev > 1 THEN 'MRG' WHEN n_prev = 1 THEN 'CON' ELSE 'NEW' END AS status,
+  p.uid, p.iuid, c.cx - p.cx AS u_, c.cy - p.cy AS v_ FROM cl{k} c LEFT JOIN fa{k} a USING (level, label) LEFT JOIN {t} p ON p.frame = {f} AND p.level = c.level AND p.label = CASE WHEN n_prev > 1 OR major OR (n_prev = 1 AND n_cur = 1) THEN largest END),
+tr{k} AS MATERIALIZED (SELECT * FROM {t} WHERE frame > {f + 1 - window} UNION ALL SELECT {f + 1}, level, label, uid, iuid, u_, v_, cx, cy FROM fo{k})"""
+
+
+def _zero(c: str) -> str:
+    return f"CASE WHEN round({c}, 6) = 0 THEN 0::DOUBLE ELSE round({c}, 6) END AS {c}"
+
+
+LEADS = f""", {TT}, tr0 AS MATERIALIZED (SELECT tt.frame, tt.level, tt.label, tt.uid, tt.iuid, vec.u_, vec.v_, tt.cx, tt.cy FROM tt JOIN vec USING (frame, level, label)),
+lb0 AS MATERIALIZED (SELECT level, label, y, x, value FROM lab WHERE frame = 56)""" + "".join(map(_lead_sql, (1, 2, 3)))
+
+
+@query(LEADS + " UNION ALL".join(f" SELECT TIMESTAMP '2024-01-29' AS issue_ts, TIMESTAMP '2024-01-29' + INTERVAL {12 * k} HOUR AS ts, {k} AS lead, {56 + k} AS frame, level, label, uid, iuid, status, size, round(cx, 6) AS cx, round(cy, 6) AS cy, {_zero('u_')}, {_zero('v_')} FROM fo{k}" for k in (1, 2, 3)))
 def forecast(g: Grid) -> DataFrame:
-    return fc.forecast(g.tracks, g.labelled, 56, 5, 3, g.cfg)
+    zero = lambda c: F.when(F.round(c, 6) == 0, 0.0).otherwise(F.round(c, 6)).alias(c)
+    f = fc.forecast(g.tracks, g.labelled, 56, 5, 3, g.cfg)
+    return f.select("issue_ts", "ts", "lead", "frame", "level", "label", "uid", "iuid", "status", "size", *r6("cx", "cy"), zero("u_"), zero("v_"))
 
 
 MEASURE = """, ed AS (SELECT a.frame, a.level, a.label, count(b.label) AS n FROM lab a LEFT JOIN lab b ON b.frame = a.frame AND b.level = a.level AND b.label = a.label AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL),

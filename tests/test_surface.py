@@ -21,9 +21,11 @@ SPLIT_MERGE = [[(1, 4, 1, 9, 3)], [(1, 4, 1, 4, 3), (1, 4, 6, 9, 2)], [(1, 4, 1,
 def test_numbers_follow_the_order_of_the_key(spark):
     keys = random.Random(1).sample(range(-(10**15), 10**15), 5000)
     df = spark.createDataFrame([(k,) for k in keys], "root bigint").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
     got = {r.root: r.n for r in T.number_in_order(df, "root", "n").collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
     assert T.number_in_order(df.limit(0), "root", "n").count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_trails_of_trees_with_several_heirs(spark):
