@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from celltrack.runtime import cut, drop
+from celltrack.runtime import cut, drop, scratch
 
 BLOCK = 64
-PEELS = 3
+PEELS = 2
 PIECES = 256  # parts into which one parent's children are cut
 
 
@@ -89,10 +89,10 @@ def _contract(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner = mid.select("v", F.lit(True).alias("m"))
     below = mid.join(inner.withColumnsRenamed({"v": "c", "m": "mc"}), "c", "left").join(inner.withColumnsRenamed({"v": "p", "m": "mp"}), "p", "left")
     at = cut(below.select("v", F.col("p").alias("a"), F.col("mp").isNotNull().alias("up"), F.col("c").alias("b"), F.col("mc").isNotNull().alias("down")))
-    for _ in range(-(-n.bit_length() // 2)):
+    for _ in range(n.bit_length()):
         if at.filter("up OR down").isEmpty():
             break
-        before, at = at, cut(_hop(_hop(at)))
+        before, at = at, cut(_hop(at))
         drop(before)
     ring = at.filter("up AND down").select("v", F.col("v").alias("a"), F.col("v").alias("b"))
     chain = at.filter("NOT up").select("v", "a", "b")
@@ -199,16 +199,16 @@ class Hierarchy:
     """
 
     def __init__(self, links: DataFrame, uids: DataFrame | None = None):
-        links = cut(links.select(F.col("p").cast("bigint").alias("p"), F.col("c").cast("bigint").alias("c")).filter("p <> c").distinct())
-        best = cut(tree_parents(links))
-        nodes = links.select(F.explode(F.array("p", "c")).alias("v"))
-        nodes = (nodes if uids is None else nodes.unionByName(uids.select(F.col("v").cast("bigint").alias("v")))).distinct()
-        forest = cut(nodes.join(best.withColumnRenamed("c", "v"), "v", "left").select("v", "p"))
-        self.nodes = cut(euler_intervals(forest))
-        self.tree = cut(interval_pairs(self.nodes))
-        tree_links = forest.select(F.col("v").alias("c"), "p").filter("p IS NOT NULL")
-        self.cross = cut(links.join(tree_links, ["p", "c"], "left_anti"))
-        drop(links)
+        with scratch() as keep:
+            links = cut(links.select(F.col("p").cast("bigint").alias("p"), F.col("c").cast("bigint").alias("c")).filter("p <> c").distinct())
+            best = cut(tree_parents(links))
+            nodes = links.select(F.explode(F.array("p", "c")).alias("v"))
+            nodes = (nodes if uids is None else nodes.unionByName(uids.select(F.col("v").cast("bigint").alias("v")))).distinct()
+            forest = cut(nodes.join(best.withColumnRenamed("c", "v"), "v", "left").select("v", "p"))
+            self.nodes = cut(euler_intervals(forest))
+            self.tree = cut(interval_pairs(self.nodes))
+            self.cross = cut(links.join(best, ["p", "c"], "left_anti"))
+            keep(self.nodes, self.tree, self.cross)
 
     def _cross_pairs(self) -> DataFrame:
         """Pairs that need at least one cross link."""
