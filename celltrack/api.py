@@ -20,7 +20,7 @@ from celltrack.functions import physics as ph
 from celltrack.operators import forecast as fc
 from celltrack.operators import imaging
 from celltrack.operators import tracking as T
-from celltrack.runtime import cut
+from celltrack.runtime import cut, scratch
 from celltrack.sources import catalog
 
 
@@ -85,7 +85,11 @@ class Tracker:
 
     @cached_property
     def links(self) -> DataFrame:
-        return cut(T.link(self.feats, self.ev, self.nested, self.frames, self.cfg))
+        parts = self.feats, self.ev, self.nested, self.frames  # before the block, so that they stay
+        with scratch() as keep:
+            out = cut(T.link(*parts, self.cfg))
+            keep(out)
+        return out
 
     @cached_property
     def previous(self) -> DataFrame:

@@ -73,12 +73,15 @@ def write_geojson(df: DataFrame, path: str, properties: tuple[str, ...], geometr
 def write_grid(cells: DataFrame, path: str, y_dim: int, x_dim: int, keys: tuple[str, ...] = ("frame", "level")) -> None:
     """Cells as rows of the grid, ``(*keys, y, row array<double>)`` in Parquet by the first key; cells without data are NaN.
 
-    A row of the grid, not the whole grid, is the largest value, so a grid may be of any height.
+    A row of the grid, not the whole grid, is the largest value, so a grid may be of any height. Of several values of a
+    cell the largest is written; rows without a place, or beyond the grid, are left out.
     """
-    at = F.map_from_entries(F.collect_list(F.struct(F.col("x"), F.col("value").cast("double"))))
-    rows = cells.groupBy(*keys, "y").agg(at.alias("m"))
+    held = cells.filter((F.col("y") >= 0) & (F.col("y") < y_dim) & (F.col("x") >= 0) & (F.col("x") < x_dim)).repartition(*keys, "y")
+    one = held.groupBy(*keys, "y", "x").agg(F.max(F.col("value").cast("double")).alias("value"))  # stays where it is
+    at = F.map_from_entries(F.collect_list(F.struct("x", "value")))
+    rows = one.groupBy(*keys, "y").agg(at.alias("m"))
     out = rows.select(*keys, "y", F.transform(F.sequence(F.lit(0), F.lit(x_dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(float("nan")))).alias("row"))
-    out.filter(F.col("y") < y_dim).repartition(keys[0]).sortWithinPartitions(*keys, "y").write.partitionBy(keys[0]).parquet(path)
+    out.repartition(keys[0]).sortWithinPartitions(*keys, "y").write.partitionBy(keys[0]).parquet(path)
 
 
 def read_grid(spark: SparkSession, path: str, keys: str) -> DataFrame:

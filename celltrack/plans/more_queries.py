@@ -101,10 +101,10 @@ def enrich_vector(g: Grid) -> DataFrame:
     return enrich.largest_box(g.labelled.select(*K, "y", "x"), boxes(g), K)
 
 
-@query(BOXES + f", {TT} SELECT n_name, count(DISTINCT l.frame * 1000000 + l.label) AS clusters, count(*) AS cells FROM lab l JOIN bx ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 WHERE level = 0 GROUP BY n_name")
+@query(BOXES + f", {TT} SELECT n_name, count(DISTINCT (l.frame, l.level, l.label)) AS clusters, count(*) AS cells FROM lab l JOIN bx ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY n_name")
 def ana_spatial_join(g: Grid) -> DataFrame:
     b = boxes(g).withColumn("y", F.explode(F.sequence(F.ceil("y0").cast("int"), (F.ceil("y1") - 1).cast("int")))).withColumn("x", F.explode(F.sequence(F.ceil("x0").cast("int"), (F.ceil("x1") - 1).cast("int"))))
-    return g.labelled.filter("level = 0").join(b.select("n_name", "y", "x"), ["y", "x"]).groupBy("n_name").agg(F.count_distinct("frame", "label").alias("clusters"), F.count(F.lit(1)).alias("cells"))
+    return g.labelled.join(b.select("n_name", "y", "x"), ["y", "x"]).groupBy("n_name").agg(F.count_distinct("frame", "level", "label").alias("clusters"), F.count(F.lit(1)).alias("cells"))
 
 
 @query(f", {TT}, v AS (SELECT tt.*, vec.u_, vec.v_ FROM tt JOIN vec USING (frame, level, label)), al AS (SELECT DISTINCT level, iuid FROM v WHERE frame = 56 AND u_ IS NOT NULL) SELECT frame, level, label, uid FROM v SEMI JOIN al USING (level, iuid) WHERE frame > 51")
@@ -238,11 +238,11 @@ def sink_parquet(g: Grid) -> DataFrame:
     return g.spark.read.option("mergeSchema", True).parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT frame, label, round(CASE WHEN degrees(atan2(v_, u_)) < 0 THEN degrees(atan2(v_, u_)) + 360 ELSE degrees(atan2(v_, u_)) END, 6) AS dir, round(sqrt(u_ * u_ + v_ * v_), 6) AS speed, round(sqrt(u_ * u_ + v_ * v_) * 111.32 / 12, 6) AS kmh FROM vec WHERE level = 0 AND u_ IS NOT NULL")
+@query("SELECT frame, level, label, round(CASE WHEN degrees(atan2(v_, u_)) < 0 THEN degrees(atan2(v_, u_)) + 360 ELSE degrees(atan2(v_, u_)) END, 6) AS dir, round(sqrt(u_ * u_ + v_ * v_), 6) AS speed, round(sqrt(u_ * u_ + v_ * v_) * 111.32 / 12, 6) AS kmh FROM vec WHERE u_ IS NOT NULL")
 def fn_angle(g: Grid) -> DataFrame:
     u, v = F.col("u_"), F.col("v_")
     m = ph.magnitude(u, v)
-    return g.vecs.filter("level = 0 AND u_ IS NOT NULL").select("frame", "label", F.round(ph.angle(u, v), 6).alias("dir"), F.round(m, 6).alias("speed"), F.round(ph.velocity(m, 720, "km/h"), 6).alias("kmh"))
+    return g.vecs.filter("u_ IS NOT NULL").select(*K, F.round(ph.angle(u, v), 6).alias("dir"), F.round(m, 6).alias("speed"), F.round(ph.velocity(m, 720, "km/h"), 6).alias("kmh"))
 
 
 @plain("SELECT event_id, round(value * cos(radians(user_id % 360)), 6) AS u, round(value * sin(radians(user_id % 360)), 6) AS v FROM events")

@@ -322,37 +322,37 @@ def tracks_validated(g: Grid) -> DataFrame:
     return g.tracks.select("ts", *K, "uid", "method", *r6("far", "u_", "v_"))
 
 
-@query(f", {TT} SELECT count(DISTINCT uid) AS tracks, min(ts) AS first_ts, max(ts) AS last_ts FROM tt WHERE level = 0 AND size >= 5")
+@query(f", {TT} SELECT count(DISTINCT uid) AS tracks, min(ts) AS first_ts, max(ts) AS last_ts FROM tt WHERE size >= 5")
 def ana_count_distinct(g: Grid) -> DataFrame:
-    return g.tracks.filter("level = 0 AND size >= 5").agg(F.count_distinct("uid").alias("tracks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return g.tracks.filter("size >= 5").agg(F.count_distinct("uid").alias("tracks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query(f", {TT} SELECT uid, max(size) AS max_size FROM tt WHERE level = 0 GROUP BY uid ORDER BY max_size DESC, uid LIMIT 10")
+@query(f", {TT} SELECT uid, max(size) AS max_size FROM tt GROUP BY uid ORDER BY max_size DESC, uid LIMIT 10")
 def ana_top_size(g: Grid) -> DataFrame:
-    return g.tracks.filter("level = 0").groupBy("uid").agg(F.max("size").alias("max_size")).orderBy(F.col("max_size").desc(), "uid").limit(10)
+    return g.tracks.groupBy("uid").agg(F.max("size").alias("max_size")).orderBy(F.col("max_size").desc(), "uid").limit(10)
 
 
-@query(f", {TT} SELECT uid, max(lifetime) AS max_lifetime FROM tt WHERE level = 0 GROUP BY uid ORDER BY max_lifetime DESC, uid LIMIT 10")
+@query(f", {TT} SELECT uid, max(lifetime) AS max_lifetime FROM tt GROUP BY uid ORDER BY max_lifetime DESC, uid LIMIT 10")
 def ana_top_lifetime(g: Grid) -> DataFrame:
-    return g.tracks.filter("level = 0").groupBy("uid").agg(F.max("lifetime").alias("max_lifetime")).orderBy(F.col("max_lifetime").desc(), "uid").limit(10)
+    return g.tracks.groupBy("uid").agg(F.max("lifetime").alias("max_lifetime")).orderBy(F.col("max_lifetime").desc(), "uid").limit(10)
 
 
-@query(f", {TT}, k AS (SELECT uid FROM tt WHERE level = 0 GROUP BY uid ORDER BY count(*) DESC, uid LIMIT 5) SELECT frame, label, uid, size FROM tt WHERE level = 0 AND uid IN (SELECT uid FROM k)")
+@query(f", {TT}, k AS (SELECT uid FROM tt GROUP BY uid ORDER BY count(*) DESC, uid LIMIT 5) SELECT frame, level, label, uid, size FROM tt WHERE uid IN (SELECT uid FROM k)")
 def ana_nlargest(g: Grid) -> DataFrame:
-    t = g.tracks.filter("level = 0").select("frame", "label", "uid", "size")
+    t = g.tracks.select(*K, "uid", "size")
     top = t.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "uid").limit(5)
-    return t.join(top, "uid", "left_semi").select("frame", "label", "uid", "size")
+    return t.join(top, "uid", "left_semi").select(*K, "uid", "size")
 
 
-@query(f", {TT}, a AS (SELECT uid, status, count(*) AS n, max(size) AS mx, avg(size) AS me FROM tt WHERE level = 0 GROUP BY ALL) SELECT status, count(*) AS groups, round(avg(n), 6) AS mean_n, round(stddev_samp(n), 6) AS std_n, max(mx) AS max_size, round(avg(me), 6) AS mean_size FROM a GROUP BY status")
+@query(f", {TT}, a AS (SELECT uid, status, count(*) AS n, max(size) AS mx, avg(size) AS me FROM tt GROUP BY ALL) SELECT status, count(*) AS groups, round(avg(n), 6) AS mean_n, round(stddev_samp(n), 6) AS std_n, max(mx) AS max_size, round(avg(me), 6) AS mean_size FROM a GROUP BY status")
 def ana_two_level(g: Grid) -> DataFrame:
-    a = g.tracks.filter("level = 0").groupBy("uid", "status").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("mx"), F.avg("size").alias("me"))
+    a = g.tracks.groupBy("uid", "status").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("mx"), F.avg("size").alias("me"))
     return a.groupBy("status").agg(F.count(F.lit(1)).alias("groups"), F.round(F.avg("n"), 6).alias("mean_n"), F.round(F.stddev_samp("n"), 6).alias("std_n"), F.max("mx").alias("max_size"), F.round(F.avg("me"), 6).alias("mean_size"))
 
 
-@query(f", {TT} SELECT frame, label, uid, lifetime FROM tt WHERE level = 0 AND uid IN (1, 2, 3, 5, 8)")
+@query(f", {TT} SELECT frame, level, label, uid, lifetime FROM tt WHERE uid IN (1, 2, 3, 5, 8)")
 def ana_filter_uid(g: Grid) -> DataFrame:
-    return g.tracks.filter("level = 0 AND uid IN (1, 2, 3, 5, 8)").select("frame", "label", "uid", "lifetime")
+    return g.tracks.filter("uid IN (1, 2, 3, 5, 8)").select(*K, "uid", "lifetime")
 
 
 @query("SELECT frame, level, label FROM clus, w WHERE xmin <= w // 2 AND ymin <= w // 2 AND xmax >= w // 4 AND ymax >= w // 4")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,17 +57,34 @@ def drop(df: DataFrame) -> None:
     """Delete the table behind a ``cut`` that nothing reads any more."""
     path = getattr(df, "_celltrack_path", None)
     if path in _written:
-        spark = _written.pop(path)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(path)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Tables cut inside are deleted at the end of the block, but for those of the DataFrames passed to what it gives.
+
+        with scratch() as keep:
+            out = cut(...)
+            keep(out)
+    """
+    before, kept = set(_written), set()
+    yield lambda *dfs: kept.update(getattr(df, "_celltrack_path", None) for df in dfs)
+    for path in [p for p in _written if p not in before and p not in kept]:
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _drop_all() -> None:
-    for path, spark in list(_written.items()):
+    for path in list(_written):
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(path)
         except Exception:  # the application is gone already; the folder's owner cleans it
             return
 

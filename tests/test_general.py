@@ -422,3 +422,33 @@ def test_every_usable_uid_of_linked_has_a_row(spark, data):
     linked = table(spark, data, "linked")
     got = [r.uid for r in entry.queries()["p4_nodes"](spark, data).collect()]
     assert len(got) == len(set(got)) and {r.v for r in hierarchy.usable_uids(linked).collect()} <= set(got)
+
+
+def test_scratch_tables_go_but_for_those_kept(spark):
+    import os
+
+    from celltrack import runtime
+
+    with runtime.scratch() as keep:
+        a, b = runtime.cut(spark.range(3)), runtime.cut(spark.range(4))
+        keep(b)
+    assert not os.path.exists(a._celltrack_path) and b.count() == 4
+    runtime.drop(b)
+    assert not os.path.exists(b._celltrack_path)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from celltrack import runtime
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("Sc", (), {"getCheckpointDir": staticmethod(lambda: type("None_", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError):
+        runtime.shared_dir(Session)

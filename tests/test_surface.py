@@ -105,7 +105,7 @@ def test_polygons_take_the_largest_share(spark):
 
 
 def test_grid_files_keep_every_cell(spark, tmp_path):
-    cells = spark.createDataFrame([(0, 1, 2, 3, 1.5), (0, 1, 0, 0, -2.0), (4, 0, 2, 4, 7.0), (4, 0, 9, 0, 1.0)], "frame int, level int, y int, x int, value double")
+    cells = spark.createDataFrame([(0, 1, 2, 3, 1.5), (0, 1, 0, 0, -2.0), (4, 0, 2, 4, 7.0), (4, 0, 2, 4, 6.0), (4, 0, 9, 0, 1.0), (4, 0, 1, -1, 1.0), (4, 0, None, 1, 1.0), (4, 0, 1, 1, None)], "frame int, level int, y int, x int, value double")
     convert.write_grid(cells, str(tmp_path / "g"), 5, 5)
     back = convert.read_grid(spark, str(tmp_path / "g"), "frame int, level int")
     assert rows(back) == {(0, 1, 2, 3, 1.5), (0, 1, 0, 0, -2.0), (4, 0, 2, 4, 7.0)}  # beyond the grid is left out
