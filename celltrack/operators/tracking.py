@@ -200,7 +200,10 @@ def inside(labelled: DataFrame) -> DataFrame:
 
 
 def vectors(feats: DataFrame, ev: DataFrame, edges: DataFrame, labelled: DataFrame, nested: DataFrame, cfg: TrackConfig) -> DataFrame:
-    """``(frame, level, label, u_, v_, expansion, u_spl, v_spl, u_mrg, v_mrg, u_inc, v_inc, u_elp, v_elp)``."""
+    """``(frame, level, label, u_, v_, expansion, u_spl, v_spl, u_mrg, v_mrg, u_inc, v_inc, u_elp, v_elp)``.
+
+    With ``spl_expansion`` the pieces can outgrow the earlier cluster; where the mean size is then 0, expansion is null.
+    """
     me = feats.select(*KEY, "size", "cx", "cy")
     prev = lambda label: feats.select(F.col("frame").alias("prev_frame"), "level", F.col("label").alias(label), F.col("size").alias("psize"), F.col("cx").alias("pcx"), F.col("cy").alias("pcy"))
     sizes = feats.select(F.col("frame").alias("prev_frame"), "level", F.col("label").alias("m"), F.col("size").alias("msize"), F.col("cx").alias("mcx"), F.col("cy").alias("mcy"))
@@ -214,7 +217,7 @@ def vectors(feats: DataFrame, ev: DataFrame, edges: DataFrame, labelled: DataFra
         p = F.coalesce("merged_size", p)
     if cfg.spl_expansion:
         p = p - F.coalesce("news_size", F.lit(0))
-    rate = 1e6 * ((F.col("size") - p) / (60.0 * cfg.delta_time)) / ((F.col("size") + p) / 2.0)
+    rate = 1e6 * ((F.col("size") - p) / (60.0 * cfg.delta_time)) / (F.nullif(F.col("size") + p, F.lit(0)) / 2.0)
     px = labelled.select("frame", "level", "y", "x", "label")
     part = ev.filter("split_parent IS NOT NULL").select(*KEY, "prev_frame", "split_parent")
     cut_px = px.join(part, KEY).join(px.select(F.col("frame").alias("prev_frame"), "level", "y", "x", F.col("label").alias("split_parent")), ["prev_frame", "level", "y", "x", "split_parent"])

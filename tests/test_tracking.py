@@ -89,6 +89,18 @@ def test_merge_and_split(spark):
     assert r.vector(1, 15).expansion == pytest.approx(308.641975) and r.links()[1, 0, 13].uid == 3
 
 
+def test_expansion_without_a_mean_size_is_null(spark):
+    from dataclasses import replace
+
+    # five cells part into three pieces of five: 5 + (5 - 10) = 0
+    r = Run(spark, [[(1, 1, 1, 5, 1)], [(1, 5, x, x, 1) for x in (1, 3, 5)]], replace(CFG, mrg_expansion=True, spl_expansion=True))
+    assert r.status(1) == {13: "SPL", 15: "NEW/SPL", 17: "NEW/SPL"}
+    assert (r.vector(1, 13).u_, r.vector(1, 13).expansion) == (-2, None)
+    # with a smaller piece the mean is one half, and what is left of the earlier cluster is negative
+    r = Run(spark, [[(1, 1, 1, 5, 1)], [(1, 5, 1, 1, 1), (1, 5, 3, 3, 1), (1, 4, 5, 5, 1)]], replace(CFG, mrg_expansion=True, spl_expansion=True))
+    assert r.vector(1, 13).expansion == pytest.approx(1e6 * (5 + 4) / 720 / 0.5)
+
+
 def test_new_and_small_overlap(spark):
     assert Run(spark, [[(0, 0, 0, 0, 1)], [(4, 4, 4, 4, 1)]]).status(1) == {52: "NEW"}
     assert Run(spark, [[(1, 1, 0, 10, 1)], [(1, 1, 10, 11, 1)]]).status(1) == {22: "NEW"}
